@@ -56,4 +56,4 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
             raise ValueError(f"no column {name!r} among {df.columns}")
         places.append((exact or loose)[0])
     flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return flat.select(*(flat[f"c{i}"].alias(n) for i, n in zip(places, names, strict=True)))
+    return flat.select(*(flat[f"c{i}"].alias(f"{k} {n}") for k, (i, n) in enumerate(zip(places, names, strict=True)))).toDF(*names)

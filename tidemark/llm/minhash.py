@@ -6,7 +6,7 @@ generate candidates, and the low four bits of every minimum are packed into eigh
 counts give a collision-corrected similarity that discards hopeless candidates.  What is left is confirmed
 on the full sets: 100 * |A n B| >= 75 * |A u B|.
 
-A bucket never emits all its pairs.  First each member is held against two pivots of its bucket; connected
+A bucket never emits all its pairs.  First each member is held against two pivots of its bucket, which differ from band to band; connected
 classes are contracted; only pairs of a bucket that are still in different components, and whose bit counts
 and sizes allow a link, are then confirmed.  Every link between candidates is thus found or already implied.
 
@@ -172,7 +172,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "classes",
     )
     banded = classes.select("node", F.explode("bands").alias("band"))
-    buckets = written(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "buckets")
+    # Each band orders the nodes in its own way, so a group that fills many buckets gets many different pivots.
+    turned = F.col("node").bitwiseXOR(F.xxhash64("band"))
+    back = lambda c: F.col(c).bitwiseXOR(F.xxhash64("band")).alias(c)
+    buckets = banded.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low < high")
+    buckets = written(buckets.select("band", back("low"), back("high")), "buckets")
     members = written(banded.join(buckets, "band"), "members")
 
     signs = written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least", "n", "sign"), "candidates")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import ship
 
@@ -19,6 +22,64 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    def learn(i):
+        return F.crc32(i.cast("string")) % 5 != 0
+
+    found = identify(_table(spark, sf_dir, "documents"), learn=learn)
+    return found.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back, unescape, with_mark_conversation
+
+    def digest(batches):
+        for batch in batches:
+            n, turns, loss, losses, sizes = [], [], [], [], []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                read = read_back(text)
+                n.append(len(read))
+                turns.append(sha256("".join(f"{r}\n{t}\n" for r, t in read).encode()).hexdigest())
+                masked = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
+                loss.append(len(masked))
+                losses.append(sha256(masked.encode()).hexdigest())
+                sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(turns, pa.string()), pa.array(loss, pa.int64()), pa.array(losses, pa.string()), pa.array(sizes, pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    made = format_conversations(with_mark_conversation(_table(spark, sf_dir, "conversations")))
+    return made.mapInArrow(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    def learn(i):
+        return F.crc32(i.cast("string")) % 4 != 2
+
+    found = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=learn)
+    return found.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -31,9 +92,9 @@ WITH RECURSIVE w AS (
                                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), p AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS hits FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL
 ), e AS (
-  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * hits >= 75 * (na.n + nb.n - hits)
 ), r AS (
   SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a
 ), c AS (SELECT a, min(root) AS component_id FROM r GROUP BY a)
