@@ -22,6 +22,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -183,8 +184,6 @@ def _by_length(slots: list[tuple[int, int, int, int, int]]) -> dict[str, np.ndar
 
 
 def _placer(table):
-    import pandas as pd
-
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         t = table.value
         i = np.searchsorted(t["key"], (length.to_numpy(np.int64) << 48) + rank.to_numpy(np.int64), "right") - 1

@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-Seven heuristic labellers vote good, bad or abstain on every document.  Votes are counted by pattern over the
-whole table (at most 3**7 patterns), and expectation-maximisation on those counts estimates how often each
+Eight heuristic labellers vote good, bad or abstain on every document.  Votes are counted by pattern over the
+whole table (at most 3**8 patterns), and expectation-maximisation on those counts estimates how often each
 labeller gives each vote on good and on bad documents, and the share of good ones.  The posterior of a pattern
 is a soft label; a bounded sample of documents with these labels trains a linear scorer over hashed byte
 trigrams and hashed buckets of the statistics, which then scores every document.
@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import pick, written
+from ._common import pick
 
 #: Documents that train the scorer, at most, but for chance: a document is drawn with this number over the table's rows.
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.5
+PRIOR_SHARE = 0.02
 TRIGRAM_BITS = 14
-DIM = (1 << TRIGRAM_BITS) + 7 * 16 * 2
+DIM = (1 << TRIGRAM_BITS) + 8 * 16 * 2
 GOOD, BAD, ABSTAIN = 1, 0, 2
-NAMES = ("symbols", "capitals", "markers", "distinct", "echoes", "leader", "function_words")
+NAMES = ("symbols", "capitals", "markers", "distinct", "echoes", "leader", "function_words", "tails")
 
 # Frequent function words of the four languages.
 FUNCTION_WORDS = {
@@ -46,7 +47,7 @@ _UPPER[65:91] = 1
 _LETTER[65:91] = _LETTER[97:123] = 1
 _LETTER[0xC0:] = 1  # first bytes of characters beyond ASCII
 #: For each labeller: bad from here on, good up to here (reversed where low is bad), and the least words.
-_RULES = {"symbols": (0.08, 0.03, 1), "capitals": (0.5, 0.25, 2), "markers": (0.12, 0.03, 4), "distinct": (0.3, 0.36, 50), "echoes": (0.2, 0.08, 8), "leader": (0.25, 0.18, 20), "function_words": (0.02, 0.08, 20)}
+_RULES = {"symbols": (0.08, 0.03, 1), "capitals": (0.5, 0.25, 2), "markers": (0.12, 0.03, 4), "distinct": (0.3, 0.36, 50), "echoes": (0.2, 0.08, 8), "leader": (0.25, 0.18, 20), "function_words": (0.02, 0.08, 20), "tails": (0.25, 0.1, 2)}
 _LOW_IS_BAD = {"distinct", "function_words"}
 
 
@@ -54,7 +55,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     """Per text: number of words, then the share that each labeller looks at."""
     buf, at = B.texts(column)
     n = len(at) - 1
-    out = np.zeros((n, 8))
+    out = np.zeros((n, 9))
     full = np.flatnonzero(at[1:] > at[:-1])
     if not len(full):
         return out
@@ -63,13 +64,15 @@ def statistics(column: pa.Array) -> np.ndarray:
     out[full, 1] = total(_SYMBOL) / np.maximum(total((~B.WHITE).astype(np.uint8)), 1)
     out[full, 2] = total(_UPPER) / letters
     low = np.frombuffer(buf.tobytes().translate(B.LOWER), np.uint8)
-    marked, listed, words, which = [], [], [], []
+    marked, tailed, listed, words, which = [], [], [], [], []
     for b, s, e, w in B.words(low, at, B.WHITE):
         sums = B.prefix_sums(b)
         words.append(B.spans_hash(sums, s, e))
         which.append(w)
-        inside = np.concatenate([[0], np.cumsum(_LETTER[b])])
+        inside = np.concatenate([[0], np.cumsum(_LETTER[b], dtype=np.int32)])
         marked.append(inside[e] == inside[s])
+        odd = np.concatenate([[0], np.cumsum(_SYMBOL[b], dtype=np.int32)])
+        tailed.append(odd[e] - odd[s] >= 2)
     for b, s, e, w in B.words(low, at, _LETTERS):
         h = B.spans_hash(B.prefix_sums(b), s, e)
         k = np.minimum(np.searchsorted(_LISTED, h), len(_LISTED) - 1)
@@ -80,6 +83,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     safe = np.maximum(count, 1)
     out[:, 0] = count
     out[:, 3] = np.bincount(which, marked, n) / safe
+    out[:, 8] = np.bincount(which, np.concatenate(tailed), n) / safe
     out[:, 7] = np.bincount(listed[0], listed[1], n) / np.maximum(np.bincount(listed[0], minlength=n), 1)
     echo = np.zeros(len(words))
     echo[1:] = (words[1:] == words[:-1]) & (which[1:] == which[:-1])
@@ -107,13 +111,14 @@ def votes(stats: np.ndarray) -> np.ndarray:
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[str, np.ndarray]:
     """EM for two classes: {prior, table[class, labeller, vote], posterior of good by pattern}.
 
-    Votes are taken as independent given the class; a Dirichlet prior of one count a vote keeps rates away
-    from 0.  It starts from labellers that are right four times in five, so class 1 stays the good one.
+    Votes are taken as independent given the class.  The labellers are alarms: each sees one kind of fault, so
+    on a bad document most still vote good, and on a good one a bad vote is rare.  That is where EM starts, and
+    what a Dirichlet prior of ``PRIOR_SHARE`` of the table says; it also keeps the classes from trading places.
     """
     n = patterns.shape[1]
-    table = np.full((2, n, 3), 1 / 3)
-    for j in range(n):
-        table[1, j], table[0, j] = (0.1, 0.6, 0.3), (0.6, 0.1, 0.3)
+    start = np.empty((2, n, 3))
+    start[GOOD], start[BAD] = (0.005, 0.995, 1.0), (0.3, 0.7, 1.0)  # by vote; to abstain says nothing
+    table = start.copy()
     prior = 0.7
     post = np.zeros(len(patterns))
     for _ in range(rounds):
@@ -121,9 +126,9 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -
         logit = logs[1] - logs[0] + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
         weight = np.stack([(1 - new) * counts, new * counts])
-        for v in range(3):
-            table[:, :, v] = weight @ (patterns == v) + 1.0
-        table /= table.sum(axis=2, keepdims=True)
+        for v in (BAD, GOOD):
+            table[:, :, v] = weight @ (patterns == v) + (1 + PRIOR_SHARE * counts.sum()) * start[:, :, v]
+        table[:, :, :2] /= table[:, :, :2].sum(axis=2, keepdims=True)
         prior = float(np.clip(weight[1].sum() / max(counts.sum(), 1), 0.01, 0.99))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
@@ -145,9 +150,9 @@ def features(column: pa.Array, stats: np.ndarray) -> Iterator[tuple[np.ndarray,
                 h = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - TRIGRAM_BITS)
                 seen += np.bincount(h, minlength=grams)
         at_, total = np.flatnonzero(seen), max(int(seen.sum()), 1)
-        bucket = np.searchsorted(edges, stats[i, 1:], "right") + 16 * np.arange(7)
-        long_ = 112 * int(stats[i, 0] >= 20)  # statistics of a few words say something else
-        yield np.concatenate([at_, grams + long_ + bucket]), np.concatenate([np.sqrt(seen[at_] / total), np.full(7, 0.5)])
+        bucket = np.searchsorted(edges, stats[i, 1:], "right") + 16 * np.arange(8)
+        long_ = 128 * int(stats[i, 0] >= 20)  # statistics of a few words say something else
+        yield np.concatenate([at_, grams + long_ + bucket]), np.concatenate([np.sqrt(seen[at_] / total), np.full(8, 0.5)])
 
 
 def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray]], rounds: int = 300, ridge: float = 1e-3, rate: float = 2.0) -> np.ndarray:
@@ -210,7 +215,7 @@ def _score(weights, posterior):
 def quality_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], np.ndarray]:
     """Posterior by vote pattern and the scorer's weights, from a frame with the columns ``__id`` and ``__text``."""
     texts = docs.select("__text")
-    found = texts.mapInArrow(_vote, "votes string").groupBy("votes").count().collect()  # at most 3**7 rows
+    found = texts.mapInArrow(_vote, "votes string").groupBy("votes").count().collect()  # at most 3**8 rows
     found.sort()
     patterns = np.array([[int(c) for c in r["votes"]] for r in found], np.int8).reshape(-1, len(NAMES))
     counts = np.array([r["count"] for r in found], float)
