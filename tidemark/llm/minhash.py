@@ -32,8 +32,11 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 4
 #: A candidate whose estimate is below this, five standard deviations under the threshold, is discarded.
 LEAST_ESTIMATE = 0.55
-_LONGS = BANDS * ROWS * BITS // 64
-_COEFFICIENTS = np.random.default_rng(20240229).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Where many candidates of one bucket are left, a longer signature is held against them, with the same five deviations.
+LONG_MINIMA, LONG_BITS, LONG_LEAST = 1024, 2, 0.67
+_RANDOM = np.random.default_rng(20240229)
+_COEFFICIENTS = _RANDOM.integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_COEFFICIENTS = _RANDOM.integers(0, 2**63, (2, LONG_MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -57,9 +60,9 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarra
             yield w
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of the 128 hash functions over a set."""
-    a, x = _COEFFICIENTS
+def minima(hashes: np.ndarray, coefficients: np.ndarray = _COEFFICIENTS) -> np.ndarray:
+    """The least value of each hash function over a set."""
+    a, x = coefficients
     out = np.full(len(a), np.iinfo(np.uint64).max)
     for k in range(0, len(hashes), 2048):
         block = hashes[None, k : k + 2048] ^ x[:, None]
@@ -76,11 +79,10 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def packed(m: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, sixteen to a long."""
-    low = ((m >> np.uint64(5)) & np.uint64((1 << BITS) - 1)).reshape(_LONGS, -1)
-    shifts = np.arange(0, 64, BITS, dtype=np.uint64)
-    return np.bitwise_or.reduce(low << shifts, axis=1).view(np.int64)
+def packed(m: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of the minima, side by side in longs."""
+    low = ((m >> np.uint64(5)) & np.uint64((1 << bits) - 1)).reshape(-1, 64 // bits)
+    return np.bitwise_or.reduce(low << np.arange(0, 64, bits, dtype=np.uint64), axis=1).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +110,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
 
-def estimate(a: Column, b: Column) -> Column:
+def _long_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signs = [packed(minima(np.array(s, np.int64).view(np.uint64), _LONG_COEFFICIENTS), LONG_BITS) for s in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.list_(pa.int64()))], ["node", "long_sign"])
+
+
+def estimate(a: Column, b: Column, minima: int = BANDS * ROWS, bits: int = BITS) -> Column:
     """Similarity of two packed signatures: the share of equal low bits, corrected for chance collisions."""
+    lowest = F.lit(sum(1 << i for i in range(0, 63, bits)))
     odd = []
-    for i in range(_LONGS):
+    for i in range(minima * bits // 64):
         x = F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        odd.append(F.bit_count(x))
-    equal = 1 - reduce(lambda p, q: p + q, odd) / float(BANDS * ROWS)
-    return (equal - 1 / 2**BITS) / (1 - 1 / 2**BITS)
+        for shift in (1, 2)[: bits // 2]:
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        odd.append(F.bit_count(x.bitwiseAND(lowest)))
+    equal = 1 - reduce(lambda p, q: p + q, odd) / float(minima)
+    return (equal - 1 / 2**bits) / (1 - 1 / 2**bits)
 
 
 def _possible(a: str, b: str) -> Column:
@@ -195,9 +204,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     apart = written(placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band"), "apart")
-    held = written(placed.join(apart, "band", "left_semi").join(signs.select("node", "n", "sign"), "node"), "held")
+    held = placed.join(apart, "band", "left_semi")
+    longer = sets.join(held.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_long_signs, "node bigint, long_sign array<bigint>")
+    held = written(held.join(signs.select("node", "n", "sign"), "node").join(written(longer, "longer"), "node"), "held")
     p, q = held.alias("p"), held.alias("q")
-    rest = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q"))
+    rest = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q") & (estimate(F.col("p.long_sign"), F.col("q.long_sign"), LONG_MINIMA, LONG_BITS) >= LONG_LEAST))
     rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "rest")
     more = written(_confirmed(rest, sets), "links")
     if not more.isEmpty():
