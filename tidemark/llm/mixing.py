@@ -32,7 +32,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 LEAST_QUALITY = 0.05
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a slice of keys should have; the number of slices follows the table.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def words(text: Column) -> Column:
