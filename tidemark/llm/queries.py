@@ -52,6 +52,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.mapInArrow(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming import search_vectors
+
+    return search_vectors(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -74,6 +80,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
+def op8_syncmer_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -103,5 +121,14 @@ FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n USING (doc_id)
 """
 
 
+_OP3 = """
+WITH c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS bits FROM embeddings),
+b AS (SELECT id, array_to_string(bits, '')::BIT AS code FROM c),
+p AS (SELECT q.id AS query_id, x.id AS neighbor_id, bit_count(xor(q.code, x.code))::BIGINT AS distance FROM b q JOIN b x ON q.id % 20 = 0 AND q.id <> x.id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id))::INTEGER AS rank, neighbor_id, distance FROM p)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_minhash_near_dedup": _OP10}
+    return {"op3_hamming_topk": _OP3, "op10_minhash_near_dedup": _OP10}
