@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 21
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -133,6 +134,17 @@ def word_hashes(buf: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tupl
     return hashes, np.searchsorted(which, np.arange(len(at)))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, by rows and by bytes of one string column, so that memory stays low."""
+    for batch in batches:
+        at = 0
+        lengths = np.cumsum(np.concatenate([[0], pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)]))
+        while at < len(batch):
+            end = min(at + rows, max(at + 1, int(np.searchsorted(lengths, lengths[at] + size, "right")) - 1), len(batch))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def hash_of(word: str | bytes) -> int:
     """The same hash for one word."""
     b = np.frombuffer(word.encode() if isinstance(word, str) else word, np.uint8)

@@ -33,7 +33,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 #: A candidate whose estimate is below this, five standard deviations under the threshold, is discarded.
 LEAST_ESTIMATE = 0.55
 #: Where many candidates of one bucket are left, a longer signature is held against them, with the same five deviations.
-LONG_MINIMA, LONG_BITS, LONG_LEAST = 1024, 2, 0.67
+LONG_MINIMA, LONG_BITS, LONG_LEAST = 2048, 2, 0.69
 _RANDOM = np.random.default_rng(20240229)
 _COEFFICIENTS = _RANDOM.integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _LONG_COEFFICIENTS = _RANDOM.integers(0, 2**63, (2, LONG_MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,8 +64,9 @@ def minima(hashes: np.ndarray, coefficients: np.ndarray = _COEFFICIENTS) -> np.n
     """The least value of each hash function over a set."""
     a, x = coefficients
     out = np.full(len(a), np.iinfo(np.uint64).max)
-    for k in range(0, len(hashes), 2048):
-        block = hashes[None, k : k + 2048] ^ x[:, None]
+    step = (1 << 18) // len(a)
+    for k in range(0, len(hashes), step):
+        block = hashes[None, k : k + step] ^ x[:, None]
         block *= a[:, None]
         np.minimum(out, block.min(axis=1), out=out)
     return out
@@ -86,7 +87,7 @@ def packed(m: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in B.portions(batches, 1):
         n, h1, h2, bands, signs = [], [], [], [], []
         for s in shingle_sets(batch.column(1)):
             n.append(len(s))
@@ -102,7 +103,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in B.portions(batches, 0):
         nodes, sets = [], []
         for s in shingle_sets(batch.column(0)):
             nodes.append(int(np.sum(s).view(np.int64)))
@@ -112,7 +113,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _long_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        signs = [packed(minima(np.array(s, np.int64).view(np.uint64), _LONG_COEFFICIENTS), LONG_BITS) for s in batch.column(1).to_pylist()]
+        signs = [packed(minima(s.values.to_numpy().view(np.uint64), _LONG_COEFFICIENTS), LONG_BITS) for s in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.list_(pa.int64()))], ["node", "long_sign"])
 
 
@@ -180,7 +181,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         some.groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sign").alias("sign")),
         "classes",
     )
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    banded = classes.select("node", F.posexplode("bands").alias("place", "band"))
     # Each band orders the nodes in its own way, so a group that fills many buckets gets many different pivots.
     turned = F.col("node").bitwiseXOR(F.xxhash64("band"))
     back = lambda c: F.col(c).bitwiseXOR(F.xxhash64("band")).alias(c)
@@ -201,14 +202,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(edges)
 
     # What a bucket still holds apart: pairs of members in different components.
-    placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.select("band", "place", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     apart = written(placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band"), "apart")
     held = placed.join(apart, "band", "left_semi")
     longer = sets.join(held.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_long_signs, "node bigint, long_sign array<bigint>")
-    held = written(held.join(signs.select("node", "n", "sign"), "node").join(written(longer, "longer"), "node"), "held")
+    facts = classes.select("node", "n", "sign", "bands").join(written(longer, "longer"), "node")
+    held = written(held.join(facts, "node"), "held")
     p, q = held.alias("p"), held.alias("q")
-    rest = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q") & (estimate(F.col("p.long_sign"), F.col("q.long_sign"), LONG_MINIMA, LONG_BITS) >= LONG_LEAST))
+    # A pair comes out of the first band that it shares, not of every one.
+    same = [F.element_at("p.bands", i + 1) == F.element_at("q.bands", i + 1) for i in range(BANDS)]
+    first = reduce(lambda c, i: c.when(same[i], F.lit(i)), range(1, BANDS), F.when(same[0], F.lit(0)))
+    rest = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q") & (estimate(F.col("p.long_sign"), F.col("q.long_sign"), LONG_MINIMA, LONG_BITS) >= LONG_LEAST) & (first == F.col("p.place")))
     rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "rest")
     more = written(_confirmed(rest, sets), "links")
     if not more.isEmpty():
