@@ -28,10 +28,10 @@ from . import _bytes as B
 from ._common import pick
 
 THRESHOLD = 0.3
-PER_CLASS = 5000
+PER_CLASS = 2500
 BITS = 20
 STARTS = (5, 7)
-LASSO, RIDGE, PENALTY = 2e-4, 1e-5, 1.0
+LASSO, RIDGE, PENALTY, SCREEN = 5e-4, 1e-5, 1.0, 1.0
 
 # Identity terms by kind; any of a kind may stand for any other.
 IDENTITY = {
@@ -95,7 +95,7 @@ def swapped(slots: np.ndarray, terms: np.ndarray, turn: int = 1) -> np.ndarray:
     return np.array(sorted((out - gone) | came), np.int64)
 
 
-def fit(rows: list[tuple[int, float, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]], *, lasso: float = LASSO, ridge: float = RIDGE, penalty: float = PENALTY, rounds: int = 250, least: int = 3) -> np.ndarray:
+def fit(rows: list[tuple[int, float, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]], *, lasso: float = LASSO, ridge: float = RIDGE, penalty: float = PENALTY, rounds: int = 200, least: int = 3) -> np.ndarray:
     """Weights by slot, bias last, from (label, weight, slots) and the slot sets of texts and their swaps."""
     dim = 1 << BITS
     out = np.zeros(dim + 1)
@@ -111,7 +111,9 @@ def fit(rows: list[tuple[int, float, np.ndarray]], pairs: list[tuple[np.ndarray,
     at = np.concatenate([r[2] for r in rows]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     used = np.bincount(at, minlength=dim)
-    kept = np.flatnonzero(used >= least)
+    # Slots that are rare, or whose pull at the start is far below the penalty's threshold, cannot gain a weight.
+    lift = np.abs(np.bincount(at, (each * (share - y))[row], dim))
+    kept = np.flatnonzero((used >= least) & (lift >= SCREEN * lasso * (np.bincount(at, each[row], dim) + 1e-3) ** 0.25))
     place = np.full(dim, -1)
     place[kept] = np.arange(len(kept))
     sel = place[at] >= 0
@@ -126,27 +128,51 @@ def fit(rows: list[tuple[int, float, np.ndarray]], pairs: list[tuple[np.ndarray,
             d_row.append(np.full(len(p), k))
             d_x.append(np.full(len(p), sign))
     d_at, d_row, d_x = map(np.concatenate, (d_at, d_row, d_x))
-    m, n_pairs = len(kept), max(len(pairs), 1)
     # Slots are scaled by the root of their frequency, so that common and rare ones move alike.
-    scale = 1 / np.sqrt(np.bincount(at, each[row], m) + 1e-4)
-    w, b, z, bz, t = np.zeros(m), np.log(share / (1 - share)), np.zeros(m), np.log(share / (1 - share)), 1.0
-    step = 1.0
-    for _ in range(rounds):
-        s = np.bincount(row, (scale * z)[at], len(rows)) + bz
-        p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-        g = each * (p - y)
-        grad = scale * np.bincount(at, g[row], m) + ridge * z
+    m = len(kept)
+    scale = 1 / np.sqrt(np.bincount(at, each[row], m) + 1e-3)
+    cost = lasso * scale**0.5
+
+    def smooth(w: np.ndarray, b: float, slope: bool) -> tuple[float, np.ndarray, float]:
+        """The differentiable part of the objective and, if asked for, its gradient."""
+        v = scale * w
+        z = np.bincount(row, v[at], len(rows)) + b
+        value = float(each @ (np.logaddexp(0, z) - y * z)) + 0.5 * ridge * float(w @ w)
+        change = np.bincount(d_row, d_x * v[d_at], len(pairs)) if len(d_at) else np.zeros(0)
+        value += penalty * float(change @ change) / max(len(pairs), 1)
+        if not slope:
+            return value, w, 0.0
+        g = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        grad = scale * np.bincount(at, g[row], m) + ridge * w
         if len(d_at):
-            change = np.bincount(d_row, d_x * (scale * z)[d_at], n_pairs)
-            grad += 2 * penalty / n_pairs * scale * np.bincount(d_at, d_x * change[d_row], m)
-        new = z - step * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - step * lasso * scale**0.5, 0)
-        nb = bz - step * 4 * g.sum()
+            grad += 2 * penalty / len(pairs) * scale * np.bincount(d_at, d_x * change[d_row], m)
+        return value, grad, float(g.sum())
+
+    # Accelerated proximal steps; the step is halved until the quadratic bound holds, so they cannot diverge.
+    w, b, t, step = np.zeros(m), float(np.log(share / (1 - share))), 1.0, 1.0
+    z, bz, last = w, b, np.inf
+    for _ in range(rounds):
+        value, grad, slope = smooth(z, bz, True)
+        while True:
+            moved = z - step * grad
+            new = np.sign(moved) * np.maximum(np.abs(moved) - step * cost, 0)
+            nb = bz - step * slope
+            dw, db = new - z, nb - bz
+            after = smooth(new, nb, False)[0]
+            if after <= value + float(grad @ dw) + slope * db + (float(dw @ dw) + db * db) / (2 * step) + 1e-12 or step < 1e-8:
+                break
+            step /= 2
+        whole = after + float(cost @ np.abs(new))
+        if whole > last:  # momentum overshot: start it again from here
+            t, z, bz = 1.0, w, b
+            last = np.inf
+            continue
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, bz = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
-        if (z - new) @ (new - w) > 0 and np.linalg.norm(z) > 1e6:
-            z, bz, nt = new, nb, 1.0
-        w, b, t = new, nb, nt
+        done = last - whole < 1e-5
+        w, b, t, last = new, nb, nt, whole
+        if done:
+            break
     out[kept], out[-1] = scale * w, b
     return out
 
