@@ -535,7 +535,7 @@ def project(df: DataFrame, model: MSM, arms: int, outcome: str = "qs", steps: in
         if np.linalg.cond(m) > 1e10:
             raise StudyError("the working model's terms are collinear")
         step = solve(m, r[:p])
-        beta = beta + np.clip(step, -2, 2)
+        beta = beta + (step if model.link == "identity" else np.clip(step, -2, 2))
         if np.abs(step).max() < tol or model.link == "identity":
             break
     return beta, m
@@ -569,5 +569,5 @@ def msm_fit(f: PointFrame, model: MSM, config: Config = Config(), *, nuisances:
         fitted = total(weight[k] * slope(eta[k]) * model.terms[x](k) * (lit(f.low) + lit(f.span) * F.col(f"qs_{k}") - mean(eta[k])) for k in arms)
         inner.append(F.col("w") * (lit(f.span) * t.components[j].observed * r + fitted))
     inverse = np.linalg.inv(m)
-    params = [Param(label("msm", x), beta[j], total(lit(inverse[j, i]) * inner[i] for i in range(len(names))), "level", "msm", x, axis="msm") for j, x in enumerate(names)]
+    params = [Param(label("msm", x), float(beta[j]), total(lit(inverse[j, i]) * inner[i] for i in range(len(names))), "level", "msm", x, axis="msm") for j, x in enumerate(names)]
     return estimate(n, {"msm": (t, params)})
