@@ -367,8 +367,8 @@ def fold_body(body: list) -> list:
                 cases.append((condition, fold_body(inner)))
                 if condition is None:
                     break
-            if cases and cases[0][0] is None:
-                out.extend(cases[0][1])
+            if cases and cases[0][0] is None:  # what is left stands here, and may join its neighbours
+                out = fold_body([*out, *cases[0][1]])
             elif cases:
                 out.append(If(cases))
     return out

@@ -44,7 +44,6 @@ IDENTITY = {
 _KIND_OF = {B.hash_of(w): k for k, ws in IDENTITY.items() for w in ws.split()}
 _OTHERS = {k: [B.hash_of(w) for w in ws.split()] for k, ws in IDENTITY.items()}
 _IDENTITY = np.array(sorted(_KIND_OF), np.uint64)
-_TERM = {B.hash_of(w): w for ws in IDENTITY.values() for w in ws.split()}
 _LETTERS = B.letters_table()
 
 
@@ -62,11 +61,11 @@ def word_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h = B.spans_hash(sums, s, e)
         slots.append(_slots(h, 1))
         which.append(w)
+        known = _IDENTITY[np.minimum(np.searchsorted(_IDENTITY, h), len(_IDENTITY) - 1)] == h
         for k in STARTS:
-            longer = e - s > k
+            longer = (e - s > k) & ~known  # the beginning of an identity term must not stand in for it
             slots.append(_slots(B.spans_hash(sums, s[longer], s[longer] + k), k))
             which.append(w[longer])
-        known = _IDENTITY[np.minimum(np.searchsorted(_IDENTITY, h), len(_IDENTITY) - 1)] == h
         terms.append(h[known])
         term_of.append(w[known])
     both = np.unique((np.concatenate(which) << BITS) | np.concatenate(slots))
@@ -79,9 +78,7 @@ def word_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _term_slots(term: int) -> list[int]:
-    word = _TERM[term].encode()
-    found = [int(_slots(np.array([term], np.uint64), 1)[0])]
-    return found + [int(_slots(np.array([B.hash_of(word[:k])], np.uint64), k)[0]) for k in STARTS if len(word) > k]
+    return [int(_slots(np.array([term], np.uint64), 1)[0])]
 
 
 def swapped(slots: np.ndarray, terms: np.ndarray, turn: int = 1) -> np.ndarray:
@@ -169,10 +166,14 @@ def fit(rows: list[tuple[int, float, np.ndarray]], pairs: list[tuple[np.ndarray,
             continue
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, bz = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
-        done = last - whole < 1e-5
+        done = last - whole < 1e-6
         w, b, t, last = new, nb, nt, whole
         if done:
             break
+    z = np.bincount(row, (scale * w)[at], len(rows))
+    for _ in range(30):  # the intercept is not penalised, so it is brought to its optimum last
+        q = 1 / (1 + np.exp(-np.clip(z + b, -500, 500)))
+        b += float(np.clip(each @ (y - q) / max(float(each @ (q * (1 - q))), 1e-12), -2, 2))
     out[kept], out[-1] = scale * w, b
     return out
 
