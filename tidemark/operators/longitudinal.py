@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..design import LongitudinalFrame
 from ..errors import CapabilityError, StudyError
 from ..functions.expr import clip, expit, indicator, lit, safe_logit, shrink
+from ..sources.store import durable
 from .inference import Estimate, covariance
 from .learn import CellMean, LinearGram, LogisticNewton, Task
 
@@ -126,6 +127,7 @@ def fit_mechanism(f: LongitudinalFrame, df: DataFrame, plans: Sequence[Regimen],
             running[p.label] = F.col(f"raw_{p.label}_{t}")
             out = out.withColumn(f"cum_{p.label}_{t}", clip(F.col(f"raw_{p.label}_{t}"), *s.g_bounds))
             out = out.drop(*(f"gt__{int(v)}" for v in levels), "ct__")
+        out = durable(out, f"mechanism-{t}")
     return out
 
 
@@ -178,11 +180,11 @@ def fit_cell(f: LongitudinalFrame, df: DataFrame, p: Regimen, cause: int, horizo
         df = df.withColumn(f"s_{tag}_{t}", F.when(risk, new))
         carried = F.coalesce(F.col(f"s_{tag}_{t}"), lit(0.5))
         terms.append(F.when(follow, (target - F.col(f"s_{tag}_{t}")) / F.col(f"cum_{p.label}_{t}")).otherwise(lit(0)))
-        df = df.persist()
     first = F.col(f"s_{tag}_1")
     r = df.agg(F.sum(F.col("w") * first) / F.sum("w")).first()[0]
     ic = lit(span) * F.col("w") * (first - lit(r) + reduce(lambda a, b: a + b, terms))
-    df = df.withColumn(f"ic_{tag}", ic)
+    keep = [c for c in df.columns if not c.startswith((f"z_{tag}", f"q_{tag}", f"s_{tag}"))]
+    df = durable(df.select(*keep, ic.alias(f"ic_{tag}")), f"cell-{tag}")
     return df, Cell(p.label, cause, horizon, f.low + span * r, f"ic_{tag}", epsilon)
 
 
@@ -238,7 +240,7 @@ def ltmle(f: LongitudinalFrame, regimens: Mapping[str, Sequence] | Sequence[Regi
     horizons = list(horizons or [f.design.times])
     if f.design.kind == "mean" and horizons != [f.design.times]:
         raise CapabilityError("a mean at the end has one horizon")
-    df = fit_mechanism(f, with_plans(f, plans), plans, s).persist()
+    df = fit_mechanism(f, with_plans(f, plans), plans, s)
     cells = []
     for p in plans:
         for cause in range(len(f.design.causes)):
