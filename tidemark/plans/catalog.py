@@ -187,12 +187,12 @@ def fold_evaluated(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more  # noqa: F401  (registers the rest)
+    from . import catalog_more, catalog_rest  # noqa: F401  (register the rest)
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_more, catalog_rest  # noqa: F401
 
     return SQL
