@@ -108,8 +108,8 @@ def longitudinal(spark: SparkSession, n: int = 2000, *, seed: int = 0) -> tuple[
     df = _draw(_base(spark, n, 2, seed), "A1", expit(lit(0.3) * F.col("W1") - lit(0.4) * F.col("W2")), seed)
     df = _draw(df, "C1", expit(lit(2.2) + lit(0.3) * F.col("W1") - lit(0.3) * F.col("A1")), seed)
     df = df.withColumn("L2", F.when(F.col("C1") == 1, lit(0.5) * F.col("W1") + lit(0.4) * F.col("A1") + normal("L2", seed)))
-    df = _draw(df, "a2", expit(lit(0.5) * F.col("L2") + lit(0.6) * F.col("A1") - lit(0.2) * F.col("W2")), seed)
-    df = df.withColumn("A2", F.when(F.col("C1") == 1, F.col("a2")))
-    df = _draw(df, "c2", expit(lit(2.4) + lit(0.2) * F.col("L2")), seed).withColumn("C2", F.when(F.col("C1") == 1, F.col("c2")).otherwise(lit(0)))
-    df = _draw(df, "y", expit(lit(-0.5) + lit(0.5) * F.col("A1") + lit(0.6) * F.col("A2") + lit(0.4) * F.col("L2") + lit(0.3) * F.col("W1")), seed)
-    return df.withColumn("Y", F.when(F.col("C2") == 1, F.col("y"))).drop("a2", "c2", "y"), {}
+    df = _draw(df, "draw_a", expit(lit(0.5) * F.col("L2") + lit(0.6) * F.col("A1") - lit(0.2) * F.col("W2")), seed)
+    df = df.withColumn("A2", F.when(F.col("C1") == 1, F.col("draw_a")))
+    df = _draw(df, "draw_c", expit(lit(2.4) + lit(0.2) * F.col("L2")), seed).withColumn("C2", F.when(F.col("C1") == 1, F.col("draw_c")).otherwise(lit(0)))
+    df = _draw(df, "draw_y", expit(lit(-0.5) + lit(0.5) * F.col("A1") + lit(0.6) * F.col("A2") + lit(0.4) * F.col("L2") + lit(0.3) * F.col("W1")), seed)
+    return df.withColumn("Y", F.when(F.col("C2") == 1, F.col("draw_y"))).drop("draw_a", "draw_c", "draw_y"), {}
