@@ -82,6 +82,19 @@ class CellMean:
         return _CellFit(spread.select(*names, FOLD, mean.alias("m")), names, margin, True)
 
 
+    def shares(self, df: DataFrame, code: Column, levels: int, weight: Column, cells: Sequence[Column], outs: Sequence[str]) -> DataFrame:
+        """Add the share of every level of ``code`` within each cell: one aggregate and one join for all levels."""
+        names = [f"cell_{i}" for i in range(len(cells))]
+        rows = df.select(*(c.alias(n) for c, n in zip(cells, names, strict=True)), code.alias("code__"), weight.alias("w__"))
+        sums = [(F.sum(indicator(F.col("code__") == k) * F.col("w__")) / F.sum("w__")).alias(o) for k, o in enumerate(outs[:levels])]
+        t = rows.groupBy(*names).agg(*sums)
+        if not names:
+            return df.crossJoin(F.broadcast(t))  # one row
+        keyed = df.withColumns({n + "__k": c for n, c in zip(names, cells, strict=True)})
+        joined = keyed.join(t, [keyed[n + "__k"].eqNullSafe(t[n]) for n in names])
+        return joined.select(*(keyed[c] for c in df.columns), *(t[o] for o in outs))
+
+
 @dataclass(frozen=True)
 class _CellFit:
     table: DataFrame
@@ -89,6 +102,17 @@ class _CellFit:
     margin: Column
     by_fold: bool
 
+    def predict_arms(self, df: DataFrame, outs: Sequence[str], others: Sequence[Column]) -> DataFrame:
+        """Predictions at arms 0, 1, .. of a fit whose first cell is the arm: one join, as arms of a cell are few."""
+        rest = self.names[1:]
+        keys = rest + ([FOLD] if self.by_fold else [])
+        by_arm = F.map_from_entries(F.collect_list(F.struct(F.col(self.names[0]), F.col("m")))).alias("arms__m")
+        t = self.table.groupBy(*keys).agg(by_arm).withColumnsRenamed({FOLD: "arms__fold"})
+        keyed = df.withColumns({n + "__k": c for n, c in zip(rest, others, strict=True)})
+        on = [keyed[n + "__k"].eqNullSafe(t[n]) for n in rest] + ([keyed[FOLD] == t["arms__fold"]] if self.by_fold else [])
+        joined = keyed.join(t, on, "left") if on else keyed.crossJoin(F.broadcast(t))  # one row when there are no cells
+        return joined.select(*(keyed[c] for c in df.columns), *(F.coalesce(F.try_element_at("arms__m", F.lit(k)), self.margin).alias(o) for k, o in enumerate(outs)))
+
     def predict(self, df: DataFrame, out: str, features: Sequence[Column], cells: Sequence[Column]) -> DataFrame:
         t = self.table.withColumnsRenamed({"m": out + "__m", FOLD: out + "__fold"})
         keyed = df.withColumns({n + "__k": c for n, c in zip(self.names, cells, strict=True)})

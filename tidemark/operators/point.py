@@ -72,6 +72,15 @@ def _features(f: PointFrame, arm: Column | None, z: Column | None = None) -> lis
     return block + ([] if z is None else [z]) + [F.col(c) for c in f.x]
 
 
+def _at_arms(model: Any, df: DataFrame, f: PointFrame, stem: str, others: Sequence[Column], z: Column | None = None) -> DataFrame:
+    """Predictions at every arm: {stem}_k."""
+    if hasattr(model, "predict_arms"):
+        return model.predict_arms(df, [f"{stem}_{k}" for k in range(f.arms)], others)
+    for k in range(f.arms):
+        df = model.predict(df, f"{stem}_{k}", _features(f, F.lit(k), z), [F.lit(k), *others])
+    return df
+
+
 def fit_nuisances(f: PointFrame, config: Config, z: int | None = None) -> Nuisances:
     """g for every arm, the observation and intermediate mechanisms, and the outcome regression at every arm."""
     if f.dose:
@@ -87,26 +96,26 @@ def fit_nuisances(f: PointFrame, config: Config, z: int | None = None) -> Nuisan
     base = _features(f, None)
     names = [f"g_{k}" for k in arms]
     g = learner(config.treatment_learner, True)
-    for k in arms if f.arms > 2 else (1,):
+    one_pass = isinstance(g, CellMean) and not config.folds
+    if one_pass:
+        df = g.shares(df, F.col("a"), f.arms, w, cells, names)
+    for k in () if one_pass else arms if f.arms > 2 else (1,):
         df = g.fit(df, Task(indicator(F.col("a") == k), w, None, config.folds, True), base, cells).predict(df, f"g_{k}", base, cells)
     if f.arms == 2:
         df = df.withColumn("g_0", lit(1) - F.col("g_1"))
-    else:
+    elif not one_pass:
         df = df.withColumn("g__sum", total(F.col(c) for c in names)).withColumns({c: F.col(c) / F.col("g__sum") for c in names}).drop("g__sum")
     if f.has_delta:
         m = learner(config.missingness_learner, True).fit(df, Task(F.col("delta"), w, None, config.folds, True), _features(f, F.col("a")), [F.col("a"), *cells])
-        for k in arms:
-            df = m.predict(df, f"pi_{k}", _features(f, F.lit(k)), [F.lit(k), *cells])
+        df = _at_arms(m, df, f, "pi", cells)
     if z is not None:
         m = learner(config.intermediate_learner, True).fit(df, Task(F.col("z"), w, None, config.folds, True), _features(f, F.col("a")), [F.col("a"), *cells])
-        for k in arms:
-            df = m.predict(df, f"qz_{k}", _features(f, F.lit(k)), [F.lit(k), *cells])
+        df = _at_arms(m, df, f, "qz", cells)
     inner = cells if config.outcome_cells is None else [F.col(c) for c in config.outcome_cells]
     seen = None if not f.has_delta else F.col("delta") == 1
     zc, zf = (None, None) if z is None else (F.col("z"), lit(z))
     q = learner(config.outcome_learner, f.family == "binomial").fit(df, Task(F.col("ys"), w, seen, config.folds, f.family == "binomial"), _features(f, F.col("a"), zc), [F.col("a"), *([] if z is None else [F.col("z")]), *inner])
-    for k in arms:
-        df = q.predict(df, f"q_{k}", _features(f, F.lit(k), zf), [F.lit(k), *([] if z is None else [zf]), *inner])
+    df = _at_arms(q, df, f, "q", [*([] if z is None else [zf]), *inner], zf)
     if z is None:
         df = df.withColumn("q_obs", by_code(F.col("a"), [F.col(f"q_{k}") for k in arms]))
     else:
