@@ -121,6 +121,20 @@ FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n USING (doc_id)
 """
 
 
+_OP2 = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</turn>', '\</turn>') AS t, replace(replace(replace(replace(role, '\', '\\'), '###', '\#\#\#'), '</turn>', '\</turn>'), ':', '\:') AS h FROM r
+), c AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(length(h) + length(t) + 14)::BIGINT AS formatted_chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""
+
 _OP3 = """
 WITH c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS bits FROM embeddings),
 b AS (SELECT id, array_to_string(bits, '')::BIT AS code FROM c),
@@ -131,4 +145,4 @@ SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hamming_topk": _OP3, "op10_minhash_near_dedup": _OP10}
+    return {"op2_chat_format": _OP2, "op3_hamming_topk": _OP3, "op10_minhash_near_dedup": _OP10}
