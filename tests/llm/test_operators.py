@@ -242,6 +242,9 @@ def test_html_main_text(spark):
     assert extract(page) == f"Head & tail\n{want}\nShort one. x\n{want}"
     assert extract("<body><div class=ad>Buy</div><article><h1>A &am</h1><p><b>x.<br><p>y</p></article><footer>f") == "A &am\nx.\ny"
     assert extract(None) == extract("") == extract("<nav>a</nav>") == ""
+    assert extract(f"<div class='layout with-sidebar'><h2>T</h2><p>{para}</p></div>") == f"T\n{want}"
+    assert extract(f"<div class=header><p>{para}</p></div><article><p title=it's>{para}</p><article class='comment'><p>{para}</p></article></article>") == want
+    assert extract("<div class=menu>x</div>" * 3) in ("", "x\nx\nx")
     rows = [(1, "u", page), (2, None, None), (1, "u", page)]
     got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got)

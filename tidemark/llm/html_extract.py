@@ -39,10 +39,14 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class, id and role names that say an element holds no article.
 APART_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|widget\w*|foot\w*|head-?bar|masthead|site-?header|top-?bar|cookie\w*|consent\w*|notice\w*|alert\w*|pop-?up\w*|modal\w*|"
-    r"newsletter\w*|subscri\w*|sign-?up|comment\w*|repl(?:y|ies)|discuss\w*|disqus\w*|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|more-?stories|pagination|pager|login|search\w*|contentinfo|complementary|navigation|banner|form|hidden|toc|tags|meta|byline-?share|legal|copyright|disclaimer\w*)(?:$|[\s_-])",
+    r"header-?nav|responses?|reactions?|newsletter\w*|subscri\w*|sign-?up|comment\w*|repl(?:y|ies)|discuss\w*|disqus\w*|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|more-?stories|pagination|pager|login|search\w*|contentinfo|complementary|navigation|banner|form|hidden|toc|tags|meta|byline-?share|legal|copyright|disclaimer\w*)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+#: A whole class or id of this kind is a page header; "article-header" is not.
+HEADER_NAME = re.compile(r"(?:^|\s)(?:(?:page|site|top|main|global)[_-]?)?header(?:$|\s)", re.IGNORECASE)
+#: An article of this kind is not the page's own.
+OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comment\w*|repl(?:y|ies)|related|promo\w*|teaser\w*|ads?|advert\w*)(?:$|[\s_-])", re.IGNORECASE)
+_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.DOTALL)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _STOPS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
@@ -55,24 +59,27 @@ class Block:
         self.tag, self.apart, self.inside, self.text, self.linked, self.kind = tag, apart, inside, text, linked, ""
 
 
-def _is_apart(tag: str, attributes: str, inside: bool) -> bool:
-    """Does this element hold no article?  A header or an aside within the article counts by its name alone."""
+def _is_apart(tag: str, attributes: str, inside: bool, names: bool) -> bool:
+    """Does this element hold no article?  A header within the article counts by its name alone."""
     if tag in APART and not (inside and tag in ("header", "fieldset")):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or not names or tag in ("html", "body"):
         return False
+    own = OTHER_ARTICLE if tag in ("article", "main") else APART_NAMES
     for name, *values in _NAMED.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             return True
-        if name in ("class", "id", "role") and APART_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
+        if name in ("class", "id", "role"):
+            value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+            if own.search(value) or (own is APART_NAMES and not inside and HEADER_NAME.search(value)):
+                return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with their setting."""
+def blocks(page: str, names: bool = True) -> list[Block]:
+    """The text blocks of a page in order, with their setting; ``names`` says whether classes, ids and roles count."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, apart, inside an article
     parts: list[str] = []
@@ -144,7 +151,7 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
             before = stack[-1] if stack else ("", False, False)
             inside = before[2] or tag in ("article", "main")
-            apart = before[1] or _is_apart(tag, m[4], before[2])
+            apart = before[1] or _is_apart(tag, m[4], before[2], names)
             stack.append((tag, apart, inside))
     close()
     return out
@@ -173,8 +180,11 @@ def first_pass(block: Block) -> str:
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page."""
-    found = blocks(page or "")
+    """The main text of a page.  Where names such as ``with-sidebar`` would leave nothing, only tags are believed."""
+    return _extract_from(blocks(page or "")) or _extract_from(blocks(page or "", False))
+
+
+def _extract_from(found: list[Block]) -> str:
     for b in found:
         b.kind = first_pass(b)
     anchored = any(b.inside and b.kind == "good" for b in found)
