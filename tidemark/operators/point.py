@@ -459,7 +459,8 @@ def strata_params(n: Nuisances, stem: str = "ate") -> Result:
 def fold_evaluated(n: Nuisances) -> DataFrame:
     """(fold, n, psi_k...): the targeted arm means of each fold, for the equal-weight average."""
     t = target(n, "mean")
-    means = [(F.sum(F.col("w") * F.col(f"qs_{k}")) / F.sum("w")).alias(f"ey_{k}") for k in range(n.frame.arms)]
+    f = n.frame
+    means = [(lit(f.low) + lit(f.span) * F.sum(F.col("w") * F.col(f"qs_{k}")) / F.sum("w")).alias(f"ey_{k}") for k in range(n.frame.arms)]
     return t.df.groupBy(FOLD).agg(F.count("*").alias("n"), *means)
 
 

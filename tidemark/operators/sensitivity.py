@@ -152,5 +152,5 @@ def tipping_gamma(n: Nuisances, t: Targeted, *, null: float = 0.0, search: tuple
             i = cross[0] if side[0] == 0.0 else cross[-1]
             a, b = grid[i], grid[i + 1]
         if not math.isnan(a) and (best is None or abs((a + b) / 2) < abs(best)):
-            best = (a + b) / 2
+            best = float((a + b) / 2)
     return best

@@ -7,14 +7,16 @@ import tempfile
 from pyspark.sql import functions as F
 
 from .. import study as Q
-from ..design import PointDesign, point_frame
+from ..design import LongitudinalDesign, PointDesign, longitudinal_frame, point_frame
 from ..functions.expr import lit
 from ..operators import dose as O
 from ..operators import inference as I
 from ..operators import learn as N
+from ..operators import longitudinal as L
 from ..operators import point as P
 from ..operators import resample as R
 from ..operators import selective as X
+from ..operators import sensitivity as V
 from ..operators.folds import hash32
 from ..sources import generators as G
 from ..sources import store
@@ -185,6 +187,72 @@ def study_api(spark, sf_dir):
     return shown(spark, effect.estimate(Q.Method("tmle", saturated())).estimates)
 
 
+@query(
+    "fold_report",
+    S.query(S.base(folds=5), S.nuisances(2, folds=5, q_cells=("seg",)), S.linear_means_by_fold(2), final="SELECT fold::INTEGER AS fold, count(*)::BIGINT AS n, round(sum(w * s0) / sum(w), 6) AS ey_0, round(sum(w * s1) / sum(w), 6) AS ey_1 FROM t GROUP BY fold"),
+)
+def fold_report(spark, sf_dir):
+    """The folds' own targeted arm means."""
+    c = P.Config(N.CellMean(), N.CellMean(), folds=5, stratify=False, fluctuation="linear", fold_targeting=True)
+    r = P.fold_evaluated(P.fit_nuisances(_study(orders(spark, sf_dir)), c))
+    return r.select("fold", "n", *(F.round(f"ey_{k}", 6).alias(f"ey_{k}") for k in (0, 1)))
+
+
+@query("repeats")
+def repeats(spark, sf_dir):
+    """Three cross-fits by other seeds, averaged: mean estimates, and the variance of the mean curve."""
+    f = _study(orders(spark, sf_dir))
+    runs = [P.point_tmle(f, ("ey1", "ey0", "ate"), P.Config(N.CellMean(), N.CellMean(), folds=5, seed=s, stratify=False, fluctuation="linear")) for s in range(3)]
+    rows = None
+    for i, r in enumerate(runs):
+        part = r.rows.select("id", *(F.col(c).alias(f"r{i}_{j}") for j, c in enumerate(r.curves)))
+        rows = part if rows is None else rows.join(part, "id")
+    mean = rows.select("id", *((sum(F.col(f"r{i}_{j}") for i in range(3)) / lit(3)).alias(f"m{j}") for j in range(3)))
+    _, cov, _ = I.covariance(mean, ["m0", "m1", "m2"])
+    return shown(spark, I.average_repeats([r.estimates for r in runs], cov))
+
+
+@query("tipping_point")
+def tipping_point(spark, sf_dir):
+    """The smallest odds factor of unobserved outcomes at which the contrast vanishes."""
+    df = orders(spark, sf_dir).withColumn("delta", F.when(F.col("h") % 4 == 0, 0).otherwise(1))
+    n = P.fit_nuisances(_study(df, delta="delta", outcome="f"), saturated())
+    gamma = V.tipping_gamma(n, P.target(n, "mean"), arm_gamma=(0.0, 1.0))
+    return spark.createDataFrame([(gamma,)], "gamma double")
+
+
+@query("strength_benchmark")
+def strength_benchmark(spark, sf_dir):
+    """How strong a confounder the market segment is: a fit with and one without it."""
+    df = orders(spark, sf_dir).withColumn("k", (F.col("h") % 3).cast("string"))
+
+    def fit(w):
+        n = P.fit_nuisances(_study(df, covariates=w), P.Config(N.CellMean(), N.CellMean(), fluctuation="linear"))
+        return V.elements(n, P.target(n, "mean"))
+
+    b = V.benchmark(fit(("seg", "k")), fit(("k",)))
+    return spark.createDataFrame([tuple(float(b[k]) for k in ("cf_y", "cf_d", "rho", "change"))], "cf_y double, cf_d double, rho double, change double")
+
+
+@query("weighted_fluctuation")
+def weighted_fluctuation(spark, sf_dir):
+    """The covariate's size moved into the loss weight: the same score, another path."""
+    return shown(spark, P.point_tmle(_study(orders(spark, sf_dir)), ("ey1", "ey0", "ate"), saturated(fluctuation="logistic", target_weights=True)).estimates)
+
+
+@query("truth_survival")
+def truth_survival(spark, sf_dir):
+    """Risk and competing incidences of generated studies with censoring."""
+    plans = {"always": (1, 1), "never": (0, 0)}
+    one, _ = G.longitudinal_survival(spark, 800, seed=6)
+    two, _ = G.longitudinal_survival(spark, 800, seed=6, causes=2)
+    coarse = lambda d: d.withColumns({c: F.signum(c) for c in ("W1", "W2", "L2")})
+    roles = {"treatment": ("A1", "A2"), "baseline": ("W1",), "id": "id", "time_varying": (("L2",),), "censoring": ("C1", "C2")}
+    a = L.ltmle(longitudinal_frame(coarse(one), LongitudinalDesign(outcome=("Y1", "Y2"), **roles)), plans)
+    b = L.ltmle(longitudinal_frame(coarse(two), LongitudinalDesign(outcome={"r": ("R1", "R2"), "d": ("D1", "D2")}, **roles)), plans)
+    return shown(spark, a.means + b.means)
+
+
 @query("row_fingerprint")
 def row_fingerprint(spark, sf_dir):
     df = orders(spark, sf_dir).select("id", hash32(F.col("id")).alias("h"))

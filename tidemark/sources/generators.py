@@ -113,3 +113,49 @@ def longitudinal(spark: SparkSession, n: int = 2000, *, seed: int = 0) -> tuple[
     df = _draw(df, "draw_c", expit(lit(2.4) + lit(0.2) * F.col("L2")), seed).withColumn("C2", F.when(F.col("C1") == 1, F.col("draw_c")).otherwise(lit(0)))
     df = _draw(df, "draw_y", expit(lit(-0.5) + lit(0.5) * F.col("A1") + lit(0.6) * F.col("A2") + lit(0.4) * F.col("L2") + lit(0.3) * F.col("W1")), seed)
     return df.withColumn("Y", F.when(F.col("C2") == 1, F.col("draw_y"))).drop("draw_a", "draw_c", "draw_y"), {}
+
+
+def nonlinear_ate(spark: SparkSession, n: int = 1000, *, seed: int = 0) -> tuple[DataFrame, dict[str, float]]:
+    """Nonlinear confounding and an effect 2 + 0.7 W1 - 0.5 [W2 > 0]."""
+    w = [F.col(f"W{j}") for j in range(1, 5)]
+    pos = lambda c: F.when(c > 0, lit(1)).otherwise(lit(0))
+    df = _draw(_base(spark, n, 4, seed), "A", expit(lit(0.6) * w[0] - lit(0.4) * w[1] ** 2 + lit(0.5) * w[1] * w[2] + lit(0.3) * pos(w[3])), seed)
+    base = lit(1) + lit(0.8) * F.sin(lit(1.5) * w[0]) + lit(0.6) * w[1] ** 2 - lit(0.5) * w[2] * w[3] + lit(0.4) * F.abs(w[3])
+    return df.withColumn("Y", base + F.col("A") * (lit(2) + lit(0.7) * w[0] - lit(0.5) * pos(w[1])) + normal("e", seed)), {"ate": 1.75}
+
+
+def instrument(spark: SparkSession, n: int = 1000, *, seed: int = 0, strength: float = 1.5) -> tuple[DataFrame, dict[str, float]]:
+    """W2 moves the treatment alone, W3 the outcome alone."""
+    df = _draw(_base(spark, n, 3, seed), "A", expit(lit(0.8) * F.col("W1") + lit(strength) * F.col("W2")), seed)
+    return df.withColumn("Y", lit(1) + F.col("A") + lit(1.5) * F.col("W1") + lit(0.8) * F.col("W3") + normal("e", seed)), {"ate": 1.0}
+
+
+def longitudinal_weighted(spark: SparkSession, n: int = 3000, *, seed: int = 0) -> tuple[DataFrame, dict[str, float]]:
+    """The longitudinal study kept with probability 0.3 where W1 > 0 and 0.9 elsewhere, with the inverse as a weight."""
+    df, truth = longitudinal(spark, n, seed=seed)
+    keep = F.when(F.col("W1") > 0, lit(0.3)).otherwise(lit(0.9))
+    return df.where(uniform("keep", seed) < keep).withColumn("weight", lit(1) / keep), truth
+
+
+def longitudinal_survival(spark: SparkSession, n: int = 2000, *, seed: int = 0, causes: int = 1) -> tuple[DataFrame, dict[str, float]]:
+    """Two times with an absorbing event, or with competing causes that share the hazard; events are carried forward."""
+    df = _draw(_base(spark, n, 2, seed), "A1", expit(lit(0.3) * F.col("W1") - lit(0.4) * F.col("W2")), seed)
+    df = _draw(df, "C1", expit(lit(2.2) + lit(0.3) * F.col("W1")), seed)
+    df = _draw(df, "hit1", expit(lit(-1.4) - lit(0.5) * F.col("A1") + lit(0.4) * F.col("W1")), seed)
+    df = _draw(df, "kind1", lit(0.6), seed)
+    live = (F.col("C1") == 1) & (F.col("hit1") == 0)
+    df = df.withColumn("L2", F.when(live, lit(0.5) * F.col("W1") + lit(0.4) * F.col("A1") + normal("L2", seed)))
+    df = _draw(df, "draw_a", expit(lit(0.5) * F.coalesce("L2", lit(0)) + lit(0.6) * F.col("A1")), seed).withColumn("A2", F.when(live, F.col("draw_a")))
+    df = _draw(df, "draw_c", expit(lit(2.4) + lit(0.2) * F.coalesce("L2", lit(0))), seed)
+    df = df.withColumn("C2", F.when(F.col("C1") == 1, F.when(F.col("hit1") == 1, lit(1)).otherwise(F.col("draw_c"))).otherwise(lit(0)))
+    df = _draw(df, "hit2", expit(lit(-1.0) - lit(0.5) * F.coalesce("A2", lit(0)) + lit(0.3) * F.coalesce("L2", lit(0))), seed)
+    df = _draw(df, "kind2", lit(0.6), seed)
+    seen1 = (F.col("C1") == 1) & (F.col("hit1") == 1)
+    seen2 = seen1 | (live & (F.col("C2") == 1) & (F.col("hit2") == 1))
+    late = F.when(seen1, F.col("kind1")).otherwise(F.col("kind2"))
+    one = lambda c: F.when(c, lit(1)).otherwise(lit(0))
+    if causes == 1:
+        df = df.withColumns({"Y1": one(seen1), "Y2": one(seen2)})
+    else:
+        df = df.withColumns({"R1": one(seen1 & (F.col("kind1") == 1)), "D1": one(seen1 & (F.col("kind1") == 0)), "R2": one(seen2 & (late == 1)), "D2": one(seen2 & (late == 0))})
+    return df.drop("hit1", "hit2", "kind1", "kind2", "draw_a", "draw_c"), {}
