@@ -25,7 +25,7 @@ from ._common import pick
 
 #: Documents that train the scorer, at most, but for chance: a document is drawn with this number over the table's rows.
 SAMPLE_ROWS = 4000
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 PRIOR_SHARE = 0.02
 TRIGRAM_BITS = 14
 DIM = (1 << TRIGRAM_BITS) + 8 * 16 * 2
@@ -41,7 +41,8 @@ FUNCTION_WORDS = {
 }
 _LISTED = np.array(sorted({B.hash_of(w) for ws in FUNCTION_WORDS.values() for w in ws.split()}), np.uint64)
 _LETTERS = B.letters_table()
-_SYMBOL, _UPPER, _LETTER = (np.zeros(256, np.uint8) for _ in range(3))
+_SYMBOL, _UPPER, _LETTER, _DIGIT = (np.zeros(256, np.uint8) for _ in range(4))
+_DIGIT[48:58] = 1
 _SYMBOL[[ord(c) for c in "#$%&*@^~=+<>{}[]\\_|!"]] = 1
 _UPPER[65:91] = 1
 _LETTER[65:91] = _LETTER[97:123] = 1
@@ -69,7 +70,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         sums = B.prefix_sums(b)
         words.append(B.spans_hash(sums, s, e))
         which.append(w)
-        inside = np.concatenate([[0], np.cumsum(_LETTER[b], dtype=np.int32)])
+        inside = np.concatenate([[0], np.cumsum(_LETTER[b] | _DIGIT[b], dtype=np.int32)])
         marked.append(inside[e] == inside[s])
         odd = np.concatenate([[0], np.cumsum(_SYMBOL[b], dtype=np.int32)])
         tailed.append(odd[e] - odd[s] >= 2)
@@ -230,7 +231,7 @@ def quality_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, kept, votes, posterior, *carry) of every row: score in 0 to 1, kept where it is at least one half."""
+    """(doc_id, score, kept, votes, posterior, *carry) of every row: score in 0 to 1, kept where it is at least ``THRESHOLD``, below one half as most documents are good."""
     docs = pick(df, id_col, text_col, *carry).toDF("__id", "__text", *carry)
     posterior, w = quality_model(docs, sample_rows)
     weights = docs.sparkSession.sparkContext.broadcast(w)
