@@ -369,3 +369,49 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert near_duplicates(empty(spark)).count() == 0
     one = spark.createDataFrame([(None, "a b c d e f", "", "", ""), (7, "a b c d e f", "", "", ""), (7, "a b c d e f", "", "", "")], DOCS)
     assert sorted((str(r.doc_id), r.component_id) for r in near_duplicates(one).collect()) == [("7", 7), ("7", 7), ("None", 7)]
+
+
+# Findings of the first round.
+
+
+def chain_by_brute_force(a, b):
+    """(place, hash) lists: k-th places of a hash paired, runs at one distance, the heaviest ascending chain, as Dice."""
+    where = {}
+    for k, x in enumerate(b):
+        where.setdefault(x.hash, []).append(x.place)
+    seen, pairs = Counter(), []
+    for x in a:
+        k = seen[x.hash]
+        seen[x.hash] += 1
+        if k < len(where.get(x.hash, [])):
+            pairs.append((x.place, where[x.hash][k]))
+    runs = []
+    for p, q in pairs:
+        if runs and runs[-1][3] == p - q:
+            runs[-1][1:3] = q, runs[-1][2] + 1
+        else:
+            runs.append([q, q, 1, p - q])
+    best = []
+    for i, (low, _, n, _) in enumerate(runs):
+        best.append(n + max((best[j] for j in range(i) if runs[j][1] < low), default=0))
+    return 2 * max(best, default=0) / (len(a) + len(b)) if len(a) + len(b) else 1.0
+
+
+def test_fingerprints_hold_all_anchors_and_match_by_position(spark):
+    from tidemark.llm.syncmers import fingerprint_edits, with_anchors
+
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage, half, other = make(60), make(1500), make(1500)
+    texts = [make(900) + passage + make(1100), make(100) + passage + make(1900), half + other, other + half, ["again"] * 700, ["again", "and"] * 400]
+    edited = list(half)
+    for k in range(0, 1500, 100):
+        edited[k : k + 1] = make(rng.randint(0, 3))
+    df = spark.createDataFrame([(i, " ".join(t), "", "", "") for i, t in enumerate([*texts, half, edited])], DOCS)
+    anchors = {r.doc_id: r.anchors for r in with_anchors(df).collect()}
+    got = {r.doc_id: r for r in fingerprint_edits(df).collect()}
+    for i, r in got.items():
+        held = r.fingerprint.split("|")[0].split(",")
+        assert [(int(x[:10], 16), int(x[10:], 16)) for x in held] == [(x.hash, x.place) for x in anchors[i]]
+        assert r.near_next == pytest.approx(chain_by_brute_force(anchors[i], anchors[(i - 1) % len(got)]), abs=1e-12)
+    assert got[1].near_next > 0.01 and 0.45 < got[3].near_next < 0.55 and 0.9 < got[7].near_next < 1

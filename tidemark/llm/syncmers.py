@@ -2,12 +2,13 @@
 
 A text is a sequence of tokens.  A window of ``K`` = 5 tokens holds four inner pairs; it is a closed syncmer
 when the pair with the least hash is its first or its last one.  That depends on the window alone, so an edit
-moves no anchors but those it touches, and equal passages share anchors wherever they stand.  ``anchors``
-gives all of them with their places, for positional matching; the fingerprint holds the ``SKETCH`` smallest
-anchor hashes, 40 bits each, over words and, for texts of at most ``SHORT`` characters, over characters too.
+moves no anchors but those it touches, and equal passages share anchors wherever they stand.  The fingerprint
+holds all of them in order, each as ten hexadecimal digits of its hash and six of its place, over words and,
+for texts of at most ``SHORT`` characters, over characters too.  Places from ``LAST`` on count as ``LAST``.
 
-``likeness`` is the Dice coefficient of the anchor sets, estimated from the least hashes of both together
-(exact where both sets are small).
+``likeness`` matches by position.  The k-th place of a hash in one text pairs with its k-th place in the other;
+pairs that follow each other at one distance form a run, and the heaviest chain of runs that ascends in both
+texts counts.  The likeness is twice the anchors of that chain over the anchors of both texts, all of them.
 
 Tokens are runs without white space, at most 32 characters long, and single characters of scripts written
 without spaces.  Texts with fewer than five tokens have one anchor, the hash of all of them.  Null is empty;
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from ._common import BROADCAST_ROWS, fresh, pick, written
 
 K = 5
-SKETCH = 64
 SHORT = 300
+PLACE_BITS = 24
+#: The last place told apart; the bit above it says which of two texts an anchor is of.
+LAST = 2 ** (PLACE_BITS - 1) - 1
 _SINGLE = r"\u0E00-\u0E7F\u2E80-\u9FFF\uAC00-\uD7AF"
 TOKEN = rf"[{_SINGLE}]|[^\x20\x09-\x0D{_SINGLE}]{{1,32}}"
 #: Ids in one bucket when neighbours are looked up.
@@ -57,9 +60,13 @@ def _forty(h: Column) -> Column:
     return F.shiftrightunsigned(h, 24)
 
 
-def _sketch(anchors: str) -> Column:
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(F.col(anchors), lambda x: x["hash"]))), 1, SKETCH)
-    return F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x), 10, "0")), ",")
+def _packed(anchors: str) -> Column:
+    """Each anchor as one number: its hash above its place."""
+    return F.transform(F.col(anchors), lambda x: F.shiftleft(x["hash"], PLACE_BITS).bitwiseOR(F.least(x["place"], F.lit(LAST)).cast("bigint")))
+
+
+def _digits(packed: Column) -> Column:
+    return F.array_join(F.transform(packed, lambda x: F.lpad(F.hex(x), 16, "0")), ",")
 
 
 def with_anchors(df: DataFrame, text_col: str = "text", out: str = "anchors") -> DataFrame:
@@ -67,25 +74,59 @@ def with_anchors(df: DataFrame, text_col: str = "text", out: str = "anchors") ->
     return _closed(df, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0)), out)
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``df`` with a fingerprint string: the sketch over words, and after a bar the one over characters of short texts."""
+def with_places(df: DataFrame, text_col: str = "text", out: str = "places") -> DataFrame:
+    """``df`` with a struct of the packed anchors over ``words``, and over ``letters`` of short texts."""
     words, letters = fresh(df, "words"), fresh(df, "letters")
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = with_anchors(df, text_col, words)
     df = _closed(df, F.when(F.length(text) <= SHORT, F.split(text, "")).otherwise(F.array().cast("array<string>")), letters)
-    return df.withColumn(out, F.concat(_sketch(words), F.lit("|"), _sketch(letters))).withColumn(out, F.when(F.size(words) > 0, F.col(out)).otherwise("")).drop(words, letters)
+    return df.withColumn(out, F.struct(_packed(words).alias("words"), _packed(letters).alias("letters"))).drop(words, letters)
+
+
+def fingerprint(places: str) -> Column:
+    """All anchors as a string: those over words, and after a bar those over characters of short texts."""
+    c = F.col(places)
+    return F.when(F.size(c["words"]) > 0, F.concat(_digits(c["words"]), F.lit("|"), _digits(c["letters"]))).otherwise("")
 
 
 def likeness(df: DataFrame, one: str, two: str, out: str) -> DataFrame:
-    """``df`` with the likeness of two fingerprint columns: over characters where both have them, else over words."""
-    a, b, u = fresh(df, "a"), fresh(df, "b"), fresh(df, "u")
-    short = (F.substring_index(one, "|", -1) != "") & (F.substring_index(two, "|", -1) != "")
-    side = lambda c: F.split(F.when(short, F.substring_index(c, "|", -1)).otherwise(F.substring_index(c, "|", 1)), ",")
-    df = df.withColumn(a, side(one)).withColumn(b, side(two))
-    df = df.withColumn(u, F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH))
-    share = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), F.col(u))) / F.size(u)
-    value = F.when(F.col(one) == F.col(two), 1.0).when((F.col(one) == "") | (F.col(two) == ""), 0.0).otherwise(2 * share / (1 + share))
-    return df.withColumn(out, value).drop(a, b, u)
+    """``df`` with the likeness of two columns of places: over characters where both have them, else over words.
+
+    Each step is a column of its own, so nothing is computed twice.
+    """
+    a, b, s, g, p, r = (fresh(df, x) for x in "absgpr")
+    x, y = F.col(one), F.col(two)
+    short = (F.size(x["letters"]) > 0) & (F.size(y["letters"]) > 0)
+    df = df.withColumn(a, F.when(short, x["letters"]).otherwise(x["words"])).withColumn(b, F.when(short, y["letters"]).otherwise(y["words"]))
+    at = lambda c, i: F.get(F.col(c), i)
+    numbers = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+    # Anchors of both by hash, text and place, and where a hash of one text begins.
+    df = df.withColumn(s, F.sort_array(F.concat(F.col(a), F.transform(b, lambda v: v.bitwiseOR(F.lit(LAST + 1).cast("bigint"))))))
+    side, hash_ = lambda v: F.shiftright(v, PLACE_BITS - 1), lambda v: F.shiftright(v, PLACE_BITS)
+    df = df.withColumn(g, F.filter(numbers(s), lambda i: (i == 0) | (side(at(s, i)) != side(at(s, i - 1)))))
+    both = lambda i, j: hash_(at(s, i)) == hash_(at(s, at(g, j + 1)))
+    met = F.filter(F.transform(g, lambda i, j: F.when(both(i, j), F.struct(i.alias("one"), at(g, j + 1).alias("two"), F.coalesce(at(g, j + 2), F.size(s)).alias("end")))), lambda v: v.isNotNull())
+    place = lambda v: v.bitwiseAND(F.lit(LAST).cast("bigint"))
+    pair = lambda v, k: F.shiftleft(place(at(s, v["one"] + k)), 32).bitwiseOR(place(at(s, v["two"] + k)))
+    pairs = F.flatten(F.transform(met, lambda v: F.transform(F.sequence(F.lit(0), F.least(v["two"] - v["one"], v["end"] - v["two"]) - 1), lambda k: pair(v, k))))
+    df = df.withColumn(p, F.sort_array(pairs))
+    first, second = lambda v: F.shiftright(v, 32), lambda v: v.bitwiseAND(F.lit(2**32 - 1))
+    distance = lambda v: first(v) - second(v)
+    df = df.withColumn(r, F.filter(numbers(p), lambda i: (i == 0) | (distance(at(p, i)) != distance(at(p, i - 1)))))
+    end = lambda j: F.coalesce(at(r, j + 1), F.size(p))
+    runs = F.transform(r, lambda i, j: F.struct(second(at(p, i)).alias("low"), second(at(p, end(j) - 1)).alias("high"), (end(j) - i).alias("n")))
+    df = df.withColumn(r, runs)
+
+    def longer(chains: Column, run: Column) -> Column:
+        """Chains by their end in the second text, without those that another equals or beats by then."""
+        best = F.coalesce(F.array_max(F.transform(F.filter(chains, lambda c: c["end"] < run["low"]), lambda c: c["n"])), F.lit(0)) + run["n"]
+        grown = F.array(F.struct(run["high"].alias("end"), best.alias("n")))
+        return F.concat(F.filter(chains, lambda c: (c["end"] < run["high"]) | (c["n"] > F.get(grown, F.lit(0))["n"])), grown)
+
+    chained = F.aggregate(r, F.array().cast("array<struct<end:bigint,n:int>>"), longer, lambda c: F.coalesce(F.array_max(F.transform(c, lambda v: v["n"])), F.lit(0)))
+    most = F.when(F.size(r) == 0, 0).when(F.size(r) == 1, F.size(p)).otherwise(chained)
+    total = F.size(a) + F.size(b)
+    return df.withColumn(out, F.when(total == 0, 1.0).otherwise(2.0 * most / F.greatest(total, F.lit(1)))).drop(a, b, s, g, p, r)
 
 
 def _targets(ids: DataFrame) -> DataFrame:
@@ -117,14 +158,15 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         targets = F.broadcast(targets)
     copies = docs.drop("bucket").join(targets, F.col("at") == F.col("head")).select("doc_id", "text", "at", "bucket")
     rows = docs.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
-    rows = with_fingerprint(rows.withColumn("tie", F.xxhash64("text")))
     order = W.partitionBy("bucket").orderBy("copy", F.desc("at"), "tie")
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("copy = 0")
+    # Anchors are taken between two windows of one order: texts are shuffled, anchors are not.
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("next_text", F.lead("text").over(order))
+    rows = with_places(rows).withColumn("next_places", F.lead("places").over(order)).where("copy = 0")
     n = F.length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("third", F.floor(n / 3).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("third")), F.substring(F.col("next_text"), F.lit(1), F.col("third")))
     rows = rows.withColumn("edited", edited).drop("text", "next_text")
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint")
-    rows = likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
-    rows = likeness(rows, "fingerprint", "next_fingerprint", "near_next")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    rows = with_places(rows, "edited", "edited_places")
+    rows = likeness(rows, "places", "edited_places", "near_edited")
+    rows = likeness(rows, "places", "next_places", "near_next")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("places").alias("fingerprint"), fingerprint("edited_places").alias("edited_fingerprint"), "near_edited", "near_next")
