@@ -415,3 +415,17 @@ def test_fingerprints_hold_all_anchors_and_match_by_position(spark):
         assert [(int(x[:10], 16), int(x[10:], 16)) for x in held] == [(x.hash, x.place) for x in anchors[i]]
         assert r.near_next == pytest.approx(chain_by_brute_force(anchors[i], anchors[(i - 1) % len(got)]), abs=1e-12)
     assert got[1].near_next > 0.01 and 0.45 < got[3].near_next < 0.55 and 0.9 < got[7].near_next < 1
+
+
+def test_an_article_raises_blocks_but_decides_nothing_alone():
+    from tidemark.llm.html_extract import extract
+
+    para = "This is the first paragraph of the article and it is long enough to be good with the words of the language in it, as it was for the one before it. " * 2
+    want = " ".join(para.split())
+    card = "<article class='card'><p>A teaser of the other post that is not long, but it is a paragraph.</p></article>"
+    got = extract(f"<body><div>{para}</div><div>{para}</div><div class=ad>Buy</div>{card}<div class=footer>f</div></body>")
+    assert got.startswith(f"{want}\n{want}")
+    # Inside an article, words and neighbours decide too: a list of numbers between adverts is no text of it.
+    numbers = "<p>" + " ".join(str(1000 + i) for i in range(20)) + "</p>"
+    assert extract(f"<article><p>{para}</p><div class=ad>Buy</div>{numbers}<div class=ad>Buy</div></article>") == want
+    assert extract(f"<article><p>{para}</p>{numbers}<p>{para}</p></article>").count("\n") == 2

@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags.  The first pass classifies every block by its length, its link
 density and the density of function words: good, bad, near good or short.  Blocks inside elements that hold
 no article (menus, headers, footers, sidebars, forms, scripts, comments of readers, adverts, notices, by tag,
-role or class) are bad from the start; blocks inside the page's ``article`` or ``main`` start one class higher.
-The second pass decides short and near-good blocks by the nearest decided blocks on either side.
+role or class) are bad from the start; blocks inside an ``article`` or ``main`` rise one class (bad or short to
+near good, near good to good) once the rules have run, unless they are mostly links.  Blocks outside have no
+other rules.  The second pass decides short and near-good blocks by the nearest decided blocks on either side.
 
 Character references are decoded, white space inside a block becomes one space, and kept blocks are joined by
 a line feed.  Null or empty pages give the empty text.  Broken markup (tags left open, ends without starts,
@@ -26,7 +27,7 @@ from .quality import FUNCTION_WORDS
 
 #: Limits of the first pass, in characters and shares.
 SHORT, LONG = 70, 200
-LINKS, STOPS_LOW, STOPS_HIGH = 0.2, 0.15, 0.28
+LINKS, LINKS_INSIDE, STOPS_LOW, STOPS_HIGH = 0.2, 0.6, 0.15, 0.28
 
 # Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -158,14 +159,17 @@ def blocks(page: str, names: bool = True) -> list[Block]:
 
 
 def first_pass(block: Block) -> str:
-    """good, bad, near or short, by the block alone."""
-    if block.apart:
-        return "bad"
+    """good, bad, near or short: by the block's length, links and words, then one class higher inside an article."""
+    kind = "bad" if block.apart else _by_words(block)
+    if not block.inside or block.apart or block.linked / len(block.text) > LINKS_INSIDE:
+        return kind
+    return "good" if kind in ("near", "good") else "near"
+
+
+def _by_words(block: Block) -> str:
     n = len(block.text)
-    if block.linked / n > LINKS and not (block.inside and block.linked / n <= 0.6):
+    if block.linked / n > LINKS:
         return "bad"
-    if block.inside:
-        return "good" if n >= SHORT or block.tag in ("p", "pre", "blockquote") else "near"
     if "©" in block.text or "copyright" in block.text.lower():
         return "bad"
     if n < SHORT:
@@ -187,11 +191,6 @@ def extract(page: str | None) -> str:
 def _extract_from(found: list[Block]) -> str:
     for b in found:
         b.kind = first_pass(b)
-    anchored = any(b.inside and b.kind == "good" for b in found)
-    if anchored:  # a page that marks its article has nothing to say outside of it
-        for b in found:
-            if not b.inside:
-                b.kind = "bad"
     decided = [b.kind if b.kind in ("good", "bad") else "" for b in found]
 
     def neighbours(kinds: list[str]) -> tuple[list[str], list[str]]:
@@ -225,7 +224,7 @@ def _extract_from(found: list[Block]) -> str:
     whole = any(b.kind == "good" for b in found)
     for i, b in enumerate(found):
         if b.kind == "near":
-            b.kind = "good" if not whole or b.inside or "good" in (ahead[i], behind[i]) else "bad"
+            b.kind = "good" if not whole or "good" in (ahead[i], behind[i]) else "bad"
     return "\n".join(b.text for b in found if b.kind == "good")
 
 
