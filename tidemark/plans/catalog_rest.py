@@ -100,20 +100,20 @@ def mllib_learner(spark, sf_dir):
 @query("simultaneous_bands")
 def simultaneous_bands(spark, sf_dir):
     r = P.point_tmle(_study(orders(spark, sf_dir)), ("ey1", "ey0", "ate"), saturated())
-    m = I.multiplier_critical(r.rows, r.curves, [e.std_err for e in r.estimates], draws=200)
+    m = I.multiplier_critical(r.rows, r.curves, [e.std_err for e in r.estimates])
     rows = [(kind, n, lo, hi) for kind, z in (("normal", I.normal_critical(r.cov)), ("rademacher", m)) for n, lo, hi in I.bands(r.estimates, z)]
     return spark.createDataFrame(rows, "kind string, estimand string, lower double, upper double")
 
 
 @query("bootstrap")
 def bootstrap(spark, sf_dir):
-    b = R.bootstrap(_study(orders(spark, sf_dir)), "ate", saturated(), replicates=6)
+    b = R.bootstrap(_study(orders(spark, sf_dir)), "ate", saturated(), replicates=200)
     return spark.createDataFrame([(k, float(v)) for k, v in b.items()], "what string, value double")
 
 
 @query("refute")
 def refute(spark, sf_dir):
-    return R.refute(_study(orders(spark, sf_dir)), saturated(), replicates=1)
+    return R.refute(_study(orders(spark, sf_dir)), saturated(), replicates=5)
 
 
 @query("importance")
@@ -122,25 +122,33 @@ def importance(spark, sf_dir):
     return R.variable_importance(df, "y", ("urgent", "odd"), ("seg",), saturated())
 
 
+def _selectable(spark, sf_dir):
+    """The orders study with numeric covariates, among which a treatment model can choose."""
+    o, c = store.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), store.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    df = orders(spark, sf_dir).join(o, F.col("id") == F.col("o_orderkey")).join(c, F.col("cl") == F.col("c_custkey"))
+    df = df.withColumns({"balance": F.col("c_acctbal") / lit(1000), "day": F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")) / lit(1000), "building": F.when(F.col("seg") == "BUILDING", lit(1)).otherwise(lit(0))})
+    return df.select("id", "y", "a", *_W), PointDesign("y", "a", "id", _W)
+
+
+_W = ("balance", "day", "building")
+
+
 @query("collaborative")
 def collaborative(spark, sf_dir):
-    df, _ = G.linear_ate(spark, 800, seed=3)
-    study = Q.CausalStudy(df, PointDesign("Y", "A", "id", ("W1", "W2", "W3")))
+    study = Q.CausalStudy(*_selectable(spark, sf_dir))
     return shown(spark, study.identify(Q.ATE()).estimate("collaborative", strategy="ordered").estimates)
 
 
 @query("outcome_adaptive")
 def outcome_adaptive(spark, sf_dir):
-    df, _ = G.linear_ate(spark, 800, seed=3)
-    f = point_frame(df, PointDesign("Y", "A", "id", ("W1", "W2", "W3")))
+    f = point_frame(*_selectable(spark, sf_dir))
     return shown(spark, X.collaborative(f, ("ate",), P.Config(), strategy="outcome_adaptive").estimates)
 
 
 @query("doubly_robust")
 def doubly_robust(spark, sf_dir):
-    df, _ = G.linear_ate(spark, 800, seed=4)
-    f = point_frame(df, PointDesign("Y", "A", "id", ("W1", "W2", "W3")))
-    return shown(spark, X.doubly_robust(f, P.Config(), rounds=3).estimates)
+    f = point_frame(*_selectable(spark, sf_dir))
+    return shown(spark, X.doubly_robust(f, P.Config()).estimates)
 
 
 @query("known_truth")
@@ -167,7 +175,7 @@ def coverage(spark, sf_dir):
         return df, truth["ate"]
 
     fit = lambda df: P.point_tmle(point_frame(df, PointDesign("Y", "A", "id", ("W1", "W2", "W3", "W4"))), ("ate",), P.Config(fluctuation="linear"))["ate"]
-    return R.summarize(R.coverage_study(spark, draw, fit, replicates=4))
+    return R.summarize(R.coverage_study(spark, draw, fit, replicates=100))
 
 
 @query("stored_result")
