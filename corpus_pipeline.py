@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import written
 from tidemark.llm.minhash import near_duplicates
-from tidemark.llm.mixing import mix_sources
+from tidemark.llm.mixing import mark_of, mix_sources
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import classify
 from tidemark.llm.toxicity import score_toxicity
@@ -32,17 +33,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
+    """One document of each group of near duplicates: the one with the least id, nulls last.
+
+    A row is known by its id and a hash of all columns, so null and repeated ids are rows like others; rows
+    that agree in every column are one document.
+    """
     ship(spark)
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*COLUMNS).alias("mark"))
+    keyed = docs.select(*COLUMNS, row.alias("row"))
+    kept = near_duplicates(keyed, "row").where("kept").select(F.col("doc_id").alias("row"))
+    return keyed.dropDuplicates(["row"]).join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; most documents come once, so few rows are repeated."""
+    """Each document as often as the mix takes it; most documents come once, so few rows are repeated.
+
+    Rows that agree in id, text and source share evenly what the mix takes of them together.
+    """
     ship(spark)
-    times = mix_sources(docs).select("doc_id", (F.col("epochs") + F.col("picked")).cast("int").alias("times")).where("times > 0")
-    return docs.join(times, "doc_id").withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    times = mix_sources(docs).groupBy(F.struct("doc_id", "mark").alias("row")).agg(F.count("*").alias("rows"), F.sum(F.col("epochs") + F.col("picked")).alias("times")).where("times > 0")
+    keyed = docs.select(*COLUMNS, F.struct("doc_id", mark_of("doc_id", "text", "source").alias("mark")).alias("row")).join(times, "row")
+    nth = F.row_number().over(W.partitionBy("row").orderBy("lang", "n_chars"))
+    own = F.floor(F.col("times") / F.col("rows")) + (nth <= F.col("times") % F.col("rows")).cast("int")
+    return keyed.withColumn("own", own.cast("int")).where("own > 0").withColumn("n", F.explode(F.sequence(F.lit(1), "own"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from ._common import pick, written
 MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
 LEAST_QUALITY = 0.05
+SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a slice of keys should have; the number of slices follows the table.
 SLICE_ROWS = 4_000
@@ -68,6 +69,11 @@ def shares(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     return tried.select("source", "source_size", target.alias("target"))
 
 
+def mark_of(id_col: str, text_col: str, source_col: str, seed: int = SEED) -> Column:
+    """A hash of id, text and source."""
+    return F.xxhash64(id_col, text_col, source_col, F.lit(seed))
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -76,7 +82,7 @@ def mix_sources(
     quality: Column | None = None,
     weights: tuple[float, ...] = WEIGHTS,
     most: float = MOST,
-    seed: int = 17,
+    seed: int = SEED,
 ) -> DataFrame:
     """One row (doc_id, source, mark, size, source_size, target, epochs, picked, taken) per row of ``df``.
 
@@ -85,7 +91,7 @@ def mix_sources(
     """
     docs = pick(df, id_col, text_col, source_col).toDF("doc_id", "text", "source")
     grade = F.coalesce(quality if quality is not None else text_quality(F.col("text")), F.lit(LEAST_QUALITY))
-    mark = F.xxhash64("doc_id", "text", "source", F.lit(seed))
+    mark = mark_of("doc_id", "text", "source", seed)
     # 2**-53 to 1: never 0, so its logarithm is finite.
     u = (F.shiftrightunsigned(mark, 11) + F.lit(1)) / F.lit(float(2**53))
     docs = docs.select("doc_id", "source", mark.alias("mark"), words(F.col("text")).alias("size"), (-F.log(u) / F.greatest(grade, F.lit(LEAST_QUALITY))).alias("key"))
