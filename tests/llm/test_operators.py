@@ -66,10 +66,55 @@ def test_language_id_learns_words_and_backs_off(spark):
     assert got[2000].lang_pred == got[2001].lang_pred == got[2002].lang_pred == "und" and got[2000].score == 0
     assert got[2003].lang_pred == "bb" and 0 <= got[2003].score <= 1
     assert identify(empty(spark)).count() == 0
-    m = Model({"aa": {"krokro": 5}, "bb": {"ouioui": 5}})
+    m = Model.of({"aa": {"krokro": 5}, "bb": {"ouioui": 5}})
     assert m.predict(["krox", "ouix", "krokro"])[0] == ["aa", "bb", "aa"]
 
 
+def back_off_by_hand(model, words):
+    """Best language of the words: their log frequency, or the mean of the longest known n-grams at each place."""
+    from tidemark.llm.langid import _hashes
+
+    known = dict(zip(model.word_keys.tolist(), model.word_logs.astype(float)))
+    grams = dict(zip(model.gram_keys.tolist(), model.gram_logs.astype(float)))
+    total = np.zeros(len(model.languages))
+    for w in words:
+        h = int(_hashes([w])[0])
+        if h in known:
+            total += known[h]
+            continue
+        padded, met = f" {w} ", []
+        for i in range(len(padded)):
+            for k in range(min(5, len(padded) - i), 0, -1):
+                g = int(_hashes([padded[i : i + k]])[0])
+                if g in grams:
+                    met.append(grams[g])
+                    break
+        if met:
+            total += np.mean(met, axis=0)
+    return model.languages[int(total.argmax())]
+
+
+def test_language_id_is_that_of_plain_python_and_loses_no_key(spark):
+    from tidemark.llm import langid as L
+
+    rng = random.Random(21)
+    stems = {"aa": ["kro", "plin", "stra", "mut", "é"], "bb": ["elle", "oui", "aux", "kro", "ö"], "cc": ["zor", "plin", "nim"]}
+    make = lambda k, n=25: " ".join(rng.choice(stems[k]) + rng.choice(stems[k]) + rng.choice(stems[k]) for _ in range(n))
+    rows = [(i, make(k), k, None, None) for i in range(30) for k in stems]
+    model = L.fit(spark.createDataFrame([r[:3] for r in rows], "id long, text string, lang string"), words=20, grams=60)
+    tests = [make(k, rng.randint(1, 12)) for k in stems for _ in range(40)]
+    got = model.predict(tests)[0]
+    assert sum(a == back_off_by_hand(model, t.split()) for a, t in zip(got, tests)) == len(tests)
+    # Counts made by the executors are those of plain Python.
+    counts = {k: Counter(w for r in rows if r[2] == k for w in r[1].split()) for k in stems}
+    whole, plain = L.fit(spark.createDataFrame([r[:3] for r in rows], "id long, text string, lang string")), L.Model.of(counts)
+    for a, b in (("word_keys", "word_logs"), ("gram_keys", "gram_logs")):
+        x, y = (dict(zip(getattr(m, a).tolist(), getattr(m, b).tolist())) for m in (whole, plain))
+        assert x.keys() == y.keys() and all(x[k] == pytest.approx(y[k]) for k in x)
+    keys = np.random.default_rng(0).integers(0, 2**63, 200_000, np.uint64) * np.uint64(2)
+    assert (L._Lookup(keys)(keys) == np.arange(len(keys))).all() and (L._Lookup(keys)(keys + np.uint64(1)) == -1).all()
+
+
 # 2
 
 

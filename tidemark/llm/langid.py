@@ -4,33 +4,38 @@ A known word scores by its log frequency in each language.  An unseen word backs
 the longest known character n-gram that starts there is taken, from five characters down to one, and the mean
 of their log frequencies stands for the word.  The language with the greatest sum wins.
 
-Fitting reads a bounded sample of labelled texts (``PER_LANGUAGE`` a language, but for chance) and keeps the
-``WORDS`` most frequent words and ``GRAMS`` n-grams; prediction reads whole texts of every row.
+Fitting reads a bounded sample of labelled texts (``PER_LANGUAGE`` a language, but for chance).  Words, and the
+n-grams of all words of the sample, are counted by the executors; the model holds the ``WORDS`` most frequent
+words and the ``GRAMS`` most frequent n-grams of every language, with their counts in all languages.
+Prediction reads whole texts of every row; a word of any length is one word.
 
 ``und``, with score 0, is what a text gets that is null or has no letter, or when no language was learned.
-Ties go to the language that comes first by code point.  Repeated rows are predicted alike.  An empty table
-gives an empty result.
+Ties go to the language that comes first by code point.  Rows with a null id are predicted like others.
+Repeated rows are predicted alike.  An empty table gives an empty result.  Extra columns, also those whose
+names differ from the named ones by case only, are ignored unless they are carried.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import pick
+from ._common import pick, written
 
-PER_LANGUAGE = 3000
-WORDS, GRAMS, LONGEST = 100_000, 100_000, 5
+#: Texts to learn from, words and n-grams to know, all of them by language.
+PER_LANGUAGE, WORDS, GRAMS = 3000, 100_000, 50_000
+LONGEST = 5
 UNKNOWN = "und"
 _SMOOTH = 0.5
 _BLOCK_CHARS = 1 << 19
-_SLOT_BITS = 20
 _alpha: list[np.ndarray] = []
 
 
@@ -49,10 +54,8 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         lo = 0
         while lo < len(t):
             hi = min(len(t), lo + _BLOCK_CHARS)
-            back = hi
-            while back < len(t) and back > max(lo + 1, hi - 1000) and t[back - 1].isalpha() and t[back].isalpha():
-                back -= 1
-            hi = back if back > max(lo + 1, hi - 1000) or hi == len(t) else hi
+            while hi < len(t) and t[hi - 1].isalpha() and t[hi].isalpha():
+                hi += 1
             rows.append(i)
             parts.append(t[lo:hi])
             size += hi - lo
@@ -93,53 +96,81 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 class _Lookup:
-    """From hashes to row numbers, -1 where unknown.  Of two keys that meet in a slot the first one stays."""
+    """From hashes to row numbers, -1 where unknown: keys are sorted, and a table says where each prefix begins."""
 
     def __init__(self, keys: np.ndarray):
-        slots = (keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        first = np.unique(slots, return_index=True)[1]
-        self.key = np.zeros(1 << _SLOT_BITS, np.uint64)
-        self.row = np.full(1 << _SLOT_BITS, -1, np.int32)
-        self.key[slots[first]], self.row[slots[first]] = keys[first], first
+        self.shift = np.uint64(64 - max(8, int(4 * len(keys)).bit_length()))
+        self.rows = np.argsort(keys)
+        self.keys = keys[self.rows]
+        begins = np.searchsorted((self.keys >> self.shift).astype(np.int64), np.arange((1 << (64 - int(self.shift))) + 1))
+        self.begins = begins.astype(np.int32)
+        self.most = int(np.diff(begins).max(initial=0))
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        slots = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        return np.where(self.key[slots] == hashes, self.row[slots], -1)
+        slots = (hashes >> self.shift).astype(np.int64)
+        at, end = self.begins[slots], self.begins[slots + 1]
+        out = np.full(len(hashes), -1, np.int64)
+        todo = np.flatnonzero(at < end)
+        for j in range(self.most):
+            todo = todo[at[todo] + j < end[todo]]
+            place = at[todo] + j
+            hit = self.keys[place] == hashes[todo]
+            out[todo[hit]] = self.rows[place[hit]]
+            todo = todo[~hit]
+        return out
+
+
+def _gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, length, word number) of every n-gram of words with a blank on either side, but for the blank alone."""
+    own = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(w) for w in words]) + 1  # a word and the blank before it
+    word = np.repeat(np.arange(len(words)), size)
+    ends = np.cumsum(size)[word] + 1  # past the blank after the word
+    sums, here = _sums(own), np.arange(len(word))
+    hashes, lengths, which = [], [], []
+    for k in range(1, LONGEST + 1):
+        at = here[(here + k <= ends) & ((k > 1) | (own[:-1] != 32))]
+        hashes.append(B.spans_hash(sums, at, at + k))
+        lengths.append(np.full(len(at), k))
+        which.append(word[at])
+    return np.concatenate(hashes), np.concatenate(lengths), np.concatenate(which)
+
+
+def _logs(table: np.ndarray) -> np.ndarray:
+    return np.log((table + _SMOOTH) / (table.sum(axis=0) + _SMOOTH * (len(table) + 1))).astype(np.float32)
 
 
 class Model:
     """Languages, and log frequencies by language of words and n-grams under their hashes."""
 
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        """counts: language -> word -> times."""
-        self.languages = sorted(counts)
-        total = Counter()
-        for words in counts.values():
-            total.update(words)
-        words = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:WORDS]]
-        grams: dict[str, np.ndarray] = {}
-        for j, lang in enumerate(self.languages):
-            for w, n in counts[lang].items():
-                padded = f" {w} "
-                for k in range(1, LONGEST + 1):
-                    for i in range(len(padded) - k + 1):
-                        g = padded[i : i + k]
-                        if g not in grams:
-                            grams[g] = np.zeros(len(self.languages))
-                        grams[g][j] += n
-        ranked = sorted((g for g in grams if g != " "), key=lambda g: (-grams[g].sum(), g))[:GRAMS]
-        self.word_keys = _hashes(words) if words else np.empty(0, np.uint64)
-        table = np.array([[counts[lang].get(w, 0) for lang in self.languages] for w in words], float).reshape(len(words), len(self.languages))
-        self.word_logs = np.log((table + _SMOOTH) / (table.sum(axis=0) + _SMOOTH * (len(words) + 1))).astype(np.float32)
-        self.gram_keys = _hashes(ranked) if ranked else np.empty(0, np.uint64)
-        table = np.array([grams[g] for g in ranked]).reshape(len(ranked), len(self.languages))
-        size = np.array([len(g) for g in ranked], int)
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[tuple[int, int], np.ndarray]):
+        """words: word -> times by language; grams: (hash, length) -> times by language."""
+        self.languages = languages
+        m = len(languages)
+        self.word_keys = _hashes(list(words)) if words else np.empty(0, np.uint64)
+        self.word_logs = _logs(np.array(list(words.values()), float).reshape(len(words), m))
+        self.gram_keys = np.array([g for g, _ in grams], np.int64).view(np.uint64)
+        table, size = np.array(list(grams.values()), float).reshape(len(grams), m), np.array([k for _, k in grams], int)
         self.gram_logs = np.zeros(table.shape, np.float32)
         for k in range(1, LONGEST + 1):  # frequencies among the n-grams of one length
-            part = table[size == k]
-            self.gram_logs[size == k] = np.log((part + _SMOOTH) / (part.sum(axis=0) + _SMOOTH * (len(part) + 1)))
+            self.gram_logs[size == k] = _logs(table[size == k])
         self._tables: tuple[_Lookup, _Lookup] | None = None
 
+    @classmethod
+    def of(cls, counts: dict[str, dict[str, int]]) -> Model:
+        """All words and n-grams of counts: language -> word -> times."""
+        languages = sorted(counts)
+        words: dict[str, np.ndarray] = {}
+        grams: dict[tuple[int, int], np.ndarray] = {}
+        for j, lang in enumerate(languages):
+            for w, n in counts[lang].items():
+                words.setdefault(w, np.zeros(len(languages)))[j] += n
+            found = list(counts[lang])
+            if found:
+                for h, k, i in zip(*_gram_hashes(found), strict=True):
+                    grams.setdefault((int(h.view(np.int64)), int(k)), np.zeros(len(languages)))[j] += counts[lang][found[i]]
+        return cls(languages, words, grams)
+
     def __getstate__(self):
         return self.__dict__ | {"_tables": None}
 
@@ -203,20 +234,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS) -> Model:
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, size, n) of the n-grams of counted words."""
+    for batch in B.portions(batches, 1, 20_000, 1 << 20):
+        langs = batch.column(0).dictionary_encode()
+        times = batch.column(2).to_numpy(zero_copy_only=False)
+        h, k, i = _gram_hashes(batch.column(1).to_pylist())
+        code = langs.indices.to_numpy(zero_copy_only=False)[i]
+        order = np.lexsort((h, k, code))
+        h, k, code, n = h[order], k[order], code[order], times[i][order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (code[1:] != code[:-1])]))
+        yield pa.RecordBatch.from_arrays(
+            [langs.dictionary.take(pa.array(code[first])), pa.array(h[first].view(np.int64)), pa.array(k[first].astype(np.int32)), pa.array(np.add.reduceat(n, first))],
+            ["lang", "gram", "size", "n"],
+        )
+
+
+def _most_frequent(counted: DataFrame, keys: list[str], most: int, languages: list[str]) -> dict:
+    """The ``most`` most frequent keys of each language, ties by key, with their counts in every language."""
+    ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), *keys))).where(F.col("r") <= most)
+    chosen = ranked.select(*keys).distinct()
+    got = counted.join(chosen, keys, "left_semi").toArrow()  # languages * most keys, at most
+    place = {lang: j for j, lang in enumerate(languages)}
+    out: dict = {}
+    columns = [got[k].to_pylist() for k in keys]
+    for key, lang, n in zip(zip(*columns, strict=True) if len(keys) > 1 else columns[0], got["lang"].to_pylist(), got["n"].to_pylist(), strict=True):
+        out.setdefault(key, np.zeros(len(languages)))[place[lang]] = n
+    return dict(sorted(out.items()))
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> Model:
     """A model from labelled docs (``id``, ``text``, ``lang``)."""
     docs = docs.where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not sizes:
-        return Model({})
-    rate = F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(int(2**32 * min(1.0, per_language / n))))))
-    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < rate[F.col("lang")]).select("lang", "text")
-    counted = drawn.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "word", "lang").limit(words * 2).toArrow()
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for lang, word, n in zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist(), strict=True):
-        counts[lang][word] = n
-    return Model(counts)
+        return Model([], {}, {})
+    bound = reduce(lambda c, i: c.when(F.col("lang") == i[0], F.lit(int(2**32 * min(1.0, per_language / i[1])))), sorted(sizes.items()), F.when(F.lit(False), F.lit(0)))
+    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < bound).select("lang", "text")
+    counted = written(drawn.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    parts = written(counted.mapInArrow(_count_grams, "lang string, gram bigint, size int, n bigint").groupBy("lang", "gram", "size").agg(F.sum("n").alias("n")), "grams")
+    languages = sorted(sizes)
+    return Model(languages, _most_frequent(counted, ["word"], words, languages), _most_frequent(parts, ["gram", "size"], grams, languages))
 
 
 def _predict(model):

@@ -26,7 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     def learn(i):
-        return F.crc32(i.cast("string")) % 5 != 0
+        return F.coalesce(F.crc32(i.cast("string")) % 5 != 0, F.lit(False))  # a null id is held out
 
     found = identify(_table(spark, sf_dir, "documents"), learn=learn)
     return found.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
@@ -74,7 +74,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
     def learn(i):
-        return F.crc32(i.cast("string")) % 4 != 2
+        return F.coalesce(F.crc32(i.cast("string")) % 4 != 2, F.lit(False))  # a null id is held out
 
     found = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=learn)
     return found.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
