@@ -125,7 +125,9 @@ def test_templates_fold_and_refuse():
     assert len(body) == 1 and body[0].of.value == "abCd"
     render = T.compile_template("{% for t in turns %}{% if loop.first %}<{% endif %}{{ t.role if t.role else 'none' }}{% set n = t.text | length %}{{ n }}{% if not loop.last %},{% endif %}{% endfor %}")
     assert render([{"role": "a", "text": "xy"}, {"role": "", "text": ""}])[0] == "<a2,none0"
-    for bad in ("{{ x.__class__ }}", "{{ open('f') }}", "{{ x | nope }}", "{% for x in y %}{% endfor %}", "{% if a %}", "{{ 1 + }}"):
+    either = T.compile_template("{% if long %}{% for t in turns %}{{ t.text }}.{% endfor %}{% else %}{% for t in turns %}{{ t.text }},{% endfor %}{% endif %}")
+    assert either([{"role": "", "text": "x"}] * 2, long=True)[0] == "x.x." and either([{"role": "", "text": "x"}])[0] == "x,"
+    for bad in ("{{ x.__class__ }}", "{{ open('f') }}", "{{ x | nope }}", "{% for x in y %}{% endfor %}", "{% if a %}", "{{ 1 + }}", "a {{ b", "{% if a", "{% if a %}b{% else if c %}d{% endif %}", "{% if a %}b{% else %}c{% else %}d{% endif %}", "{% for t in turns %}a{% endfor x %}", "{% for t in turns %}a{% endfor %}{% for t in turns %}b{% endfor %}", "{% for t in turns %}{% for u in turns %}b{% endfor %}{% endfor %}"):
         with pytest.raises(T.TemplateError):
             T.compile_template(bad)
 

@@ -3,7 +3,8 @@
 A template is read into a syntax tree, constant parts are folded, and the tree becomes nested Python closures
 that render a conversation and note the spans between ``{% generation %}`` and ``{% endgeneration %}``.  The
 language is sandboxed: values are strings, numbers, booleans, none, and the fields of turns; there are no
-calls, no attributes of Python objects and no loops but over ``turns``, and only the registered filters.
+calls, no attributes of Python objects and no loops but one over ``turns``, and only the registered filters.
+Whatever else a template holds (a second loop, a tag left open, words after ``else``) is refused.
 
     {{ expression }}   {% if e %} {% elif e %} {% else %} {% endif %}   {% for x in turns %} {% endfor %}
     {% set name = e %}   {% generation %} {% endgeneration %}   {# comment #}
@@ -12,7 +13,8 @@ calls, no attributes of Python objects and no loops but over ``turns``, and only
 
 Rows of one conversation are ordered by turn, then role, then text (nulls first); null roles and texts are
 empty, rows with a null conversation id form one conversation, and repeated rows are separate turns.  A
-conversation is rendered turn by turn, and only one is held at a time.  An empty table gives an empty result.
+conversation is rendered turn by turn, texts of any length whole, and only one is held at a time.  An empty
+table gives an empty result.  Extra columns, also those whose names differ by case only, are ignored.
 """
 
 from __future__ import annotations
@@ -246,20 +248,41 @@ def parse(source: str) -> list:
     """The statements of a template."""
     pieces: list[tuple[str, str]] = []
     at = 0
+
+    def plain(text: str) -> None:
+        opened = re.search(r"\{[{%#]", text)
+        if opened:
+            raise TemplateError(f"{opened[0]!r} is not closed")
+        if text:
+            pieces.append(("text", text))
+
     for m in _PIECE.finditer(source):
-        if m.start() > at:
-            pieces.append(("text", source[at : m.start()]))
+        plain(source[at : m.start()])
         if m[1] is not None:
             pieces.append(("emit", m[1]))
         elif m[2] is not None:
             pieces.append(("do", m[2].strip().strip("-").strip()))
         at = m.end()
-    if at < len(source):
-        pieces.append(("text", source[at:]))
-    body, rest = _body(pieces, 0, ())
+    plain(source[at:])
+    body, _ = _body(pieces, 0, ())
+    if _loops(body) > 1:
+        raise TemplateError("turns are read once, so only one loop may run")
     return body
 
 
+def _loops(body: list) -> int:
+    """The most loops that one rendering can run through."""
+    n = 0
+    for node in body:
+        if isinstance(node, If):
+            n += max(_loops(inner) for _, inner in node.cases)
+        elif isinstance(node, For):
+            n += 1 + _loops(node.body)
+        elif isinstance(node, Generation):
+            n += _loops(node.body)
+    return n
+
+
 def _body(pieces: list[tuple[str, str]], at: int, ends: tuple[str, ...]) -> tuple[list, int]:
     """Statements up to one of ``ends``, and where that stands."""
     out: list = []
@@ -267,6 +290,8 @@ def _body(pieces: list[tuple[str, str]], at: int, ends: tuple[str, ...]) -> tupl
         kind, value = pieces[at]
         word = value.split(None, 1)[0] if kind == "do" and value else ""
         if kind == "do" and word in ends:
+            if word != "elif" and value != word:
+                raise TemplateError(f"nothing may follow {word!r}: {value!r}")
             return out, at
         at += 1
         if kind == "text":
@@ -276,7 +301,7 @@ def _body(pieces: list[tuple[str, str]], at: int, ends: tuple[str, ...]) -> tupl
         elif word == "if":
             cases, condition = [], _Expression(value[2:]).whole()
             while True:
-                inner, at = _body(pieces, at, ("elif", "else", "endif"))
+                inner, at = _body(pieces, at, ("endif",) if condition is None else ("elif", "else", "endif"))
                 cases.append((condition, inner))
                 end = pieces[at][1]
                 at += 1
