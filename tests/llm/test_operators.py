@@ -370,6 +370,69 @@ def test_mix_meets_targets(spark):
     assert mix_sources(empty(spark)).count() == 0
 
 
+def mix_by_brute_force(rows, targets):
+    """Words taken of each row (source, size, key, id, mark): keys in order while they fit, then the size nearest to the gap."""
+    out = [0] * len(rows)
+    for source, (size, target) in targets.items():
+        own = sorted((i for i, r in enumerate(rows) if r[0] == source), key=lambda i: (rows[i][2], rows[i][3], rows[i][4]))
+        epochs = int(target / size + 1e-12) if size else 0
+        rest, run, left = target - epochs * size, 0, []
+        gap = rest
+        for i in own:
+            run += rows[i][1]
+            out[i] = epochs * rows[i][1]
+            if run <= rest:
+                out[i] += rows[i][1]
+                gap -= rows[i][1]
+            elif rows[i][1]:
+                left.append(i)
+        near = [i for i in left if abs(rows[i][1] - gap) < gap]
+        if near:
+            best = min(near, key=lambda i: (abs(rows[i][1] - gap), rows[i][2], rows[i][3], rows[i][4]))
+            out[best] += rows[best][1]
+    return out
+
+
+@pytest.mark.parametrize("slice_rows", [7, 1000])
+def test_mix_takes_the_least_keys_and_one_closing_row(spark, monkeypatch, slice_rows):
+    import math
+
+    from tidemark.llm import mixing as M
+
+    monkeypatch.setattr(M, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(M, "BLOCK_SLICES", 4)
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, rng.randint(3, 40)) + " #" * rng.randint(0, 60), "en", f"s{i % 4}", "") for i in range(400)]
+    rows += [(900, "five words are in this", "", "s0", "")] * 12 + [(None, sentence(rng, 9), "", "s1", "")] * 3
+    out = M.mix_sources(spark.createDataFrame(rows, DOCS)).collect()
+
+    def digest(r):
+        return int(hashlib.md5("\x1f".join(["\x1e" if r[0] is None else str(r[0]), r[1], r[3], "17"]).encode()).hexdigest()[:15], 16)
+
+    odd = set("0123456789#$%&*|!<>{}[]()=+/\\_~^@\"'")
+    facts = []
+    for r in rows:
+        quality = max(sum(c not in odd for c in r[1]) / len(r[1]), 0.05)
+        facts.append((r[3], len(split(r[1])), -math.log(((digest(r) >> 7) + 1) / 2**53) / quality, -1 if r[0] is None else r[0], digest(r)))
+    targets = {r.source: (r.source_size, r.target) for r in out}
+    want = sorted((f[3], f[4], t) for f, t in zip(facts, mix_by_brute_force(facts, targets)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.mark, r.taken) for r in out) == want
+    placed = Counter(r.source for r in out)
+    assert sum(placed.values()) == len(rows)
+
+
+def test_no_slice_of_keys_is_crowded_at_any_quality():
+    """The largest slice of simulated keys stays near SLICE_ROWS, also where nearly all documents are poor."""
+    from tidemark.llm.mixing import OCTAVE, SLICE_ROWS
+
+    g = np.random.default_rng(3)
+    n = 200_000
+    for quality in (np.full(n, 1.0), np.full(n, 0.05), np.where(g.random(n) < 0.9, 0.05, 1.0)):
+        key = -np.log(g.random(n)) / quality
+        slices = np.floor(np.log2(np.maximum(key, 2.0**-60)) * np.ceil(n * OCTAVE / SLICE_ROWS))
+        assert np.unique(slices, return_counts=True)[1].max() < 1.2 * SLICE_ROWS
+
+
 # 10
 
 

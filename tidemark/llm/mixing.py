@@ -7,33 +7,37 @@ without replacement: every document draws the exponential key -ln(u) / quality,
 order of their keys while their running size fits, and one more document, the one whose size is nearest to
 what is still missing, closes the gap.
 
-The running sums never need a source in one task: keys are cut into slices by their distribution function,
-slices are summed first, and rows are only sorted within a slice.  u is a hash of the id and the text, so
-reruns agree.
+The running sums never need a source in one task: keys are cut into slices by their logarithm, slices are
+summed first, and rows are only sorted within the slice in which a budget ends.  Whatever the qualities, at most
+0.255 of a source's keys lie between a number and its double: the logarithm of an exponential variable has no
+denser octave, at any rate, and a mixture of rates is no denser than its densest part.  So octaves are cut into
+as many slices as the source's rows ask for, and no slice is expected to hold more than ``SLICE_ROWS``.  u is
+taken from a digest of the id, the text and the source, so reruns agree.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null or non-positive
 quality counts as ``LEAST_QUALITY``.  Documents of size 0 are taken 0 times.  Repeated rows are separate
-documents, ordered by a hash of their columns; rows that agree in everything share a key and are told apart
-only by position in the running sum.  An empty table gives an empty result.
+documents; rows that agree in everything share a key and are told apart only by position in the running sum,
+and one of them, not all, may close a gap.  Texts of any length are counted whole.  An empty table gives an
+empty result.  Extra columns, also those whose names differ by case only, are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import pick, written
+from ._common import BROADCAST_ROWS, pick, written
 
 MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
 LEAST_QUALITY = 0.05
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows a slice of keys should have; the number of slices follows the table.
-SLICE_ROWS = 4_000
+#: Rows a slice of keys should have; the number of slices follows the source.  Slices are summed in blocks.
+SLICE_ROWS, BLOCK_SLICES = 1_000, 256
+#: The greatest share of the keys in an octave: the density of -ln(u)'s logarithm is 1/e at most, times ln 2.
+OCTAVE = 0.2551
 
 
 def words(text: Column) -> Column:
@@ -70,8 +74,25 @@ def shares(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
 
 
 def mark_of(id_col: str, text_col: str, source_col: str, seed: int = SEED) -> Column:
-    """A hash of id, text and source."""
-    return F.xxhash64(id_col, text_col, source_col, F.lit(seed))
+    """A number of 60 bits from a digest of id, text and source."""
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in (id_col, text_col, source_col))
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _running(parts: DataFrame) -> DataFrame:
+    """``parts`` (source, slice, part) with ``ahead``, the sum of the slices before: by blocks, then within blocks."""
+    parts = parts.withColumn("block", F.floor(F.col("slice") / BLOCK_SLICES))
+    before = lambda w: F.coalesce(F.sum("part").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = parts.groupBy("source", "block").agg(F.sum("part").alias("part")).withColumn("far", before(W.partitionBy("source").orderBy("block")))
+    blocks = written(blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "far"), "blocks")
+    near = parts.withColumn("near", before(W.partitionBy("source", "block").orderBy("slice")))
+    out = near.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return out.select("source", "slice", "part", (F.col("near") + F.col("far")).alias("ahead"))
 
 
 def mix_sources(
@@ -93,21 +114,19 @@ def mix_sources(
     grade = F.coalesce(quality if quality is not None else text_quality(F.col("text")), F.lit(LEAST_QUALITY))
     mark = mark_of("doc_id", "text", "source", seed)
     # 2**-53 to 1: never 0, so its logarithm is finite.
-    u = (F.shiftrightunsigned(mark, 11) + F.lit(1)) / F.lit(float(2**53))
+    u = (F.shiftright(mark, 7) + F.lit(1)) / F.lit(float(2**53))
     docs = docs.select("doc_id", "source", mark.alias("mark"), words(F.col("text")).alias("size"), (-F.log(u) / F.greatest(grade, F.lit(LEAST_QUALITY))).alias("key"))
     docs = written(docs, "sizes")
     sizes = written(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
-    rows = sizes.agg(F.max("n")).first()[0] or 0
-    slices = max(1, math.ceil(rows / SLICE_ROWS))
     goals = written(shares(sizes.select("source", "source_size"), weights, most), "targets")
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     goals = goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
 
-    # 1 - exp(-key) rises with the key and spreads keys of weight 1 evenly.
-    cut = docs.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("int"))
-    parts = cut.groupBy("source", "slice").agg(F.sum("size").alias("part"))
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    parts = parts.join(goals, parts["source"].eqNullSafe(goals["source"])).select(parts["source"], "slice", "part", "ahead", "source_size", "target", "epochs", "rest")
+    cuts = _small(sizes.select(F.col("source").alias("s"), F.ceil(F.col("n") * OCTAVE / SLICE_ROWS).alias("cuts"), (F.col("n") > SLICE_ROWS).alias("many")))
+    place = F.when(F.col("many"), F.floor(F.log2(F.greatest(F.col("key"), F.lit(2.0**-60))) * F.col("cuts"))).otherwise(0)
+    cut = docs.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("slice", place.cast("long")).drop("s", "cuts", "many")
+    parts = _running(written(cut.groupBy("source", "slice").agg(F.sum("size").alias("part")), "parts"))
+    parts = parts.join(_small(goals), parts["source"].eqNullSafe(goals["source"])).select(parts["source"], "slice", "part", "ahead", "source_size", "target", "epochs", "rest")
     parts = written(parts, "slices")
     same = parts["source"].eqNullSafe(cut["source"]) & (parts["slice"] == cut["slice"])
     placed = cut.join(parts, same).select(cut["doc_id"], cut["source"], "mark", "size", "key", cut["slice"], "ahead", "part", "source_size", "target", "epochs", "rest")
@@ -121,13 +140,15 @@ def mix_sources(
     chosen = written(edge.unionByName(even), "chosen")
 
     # The gap that is left, and the document not yet picked whose size is nearest to it.
-    got = chosen.groupBy("source").agg(F.sum(F.col("picked") * F.col("size")).alias("got"))
-    got = written(got, "got")
-    open_ = chosen.where("picked = 0 and size > 0").join(got.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    got = written(chosen.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("picked") * F.col("size")).alias("got")), "got")
+    open_ = chosen.where("picked = 0 and size > 0").join(_small(got), F.col("source").eqNullSafe(F.col("s")))
     gap = F.col("rest") - F.col("got")
     nearest = open_.where(F.abs(F.col("size") - gap) < gap).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "key", "doc_id", "mark")).alias("best"))
-    nearest = written(nearest.select(F.col("source").alias("s"), F.col("best.mark").alias("m"), F.col("best.doc_id").alias("d")), "closing")
-    out = chosen.join(nearest, F.col("source").eqNullSafe(F.col("s")) & F.col("mark").eqNullSafe(F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    picked = F.when((F.col("picked") == 0) & F.col("m").isNotNull(), 1).otherwise(F.col("picked"))
-    out = out.select("doc_id", "source", "mark", "size", "source_size", "target", "epochs", picked.alias("picked"))
-    return out.withColumn("picked", F.when(F.col("size") > 0, F.col("picked")).otherwise(0)).withColumn("taken", (F.col("epochs") + F.col("picked")) * F.col("size"))
+    nearest = _small(written(nearest.select(F.col("source").alias("s"), F.col("best.mark").alias("m"), F.col("best.doc_id").alias("d")), "closing"))
+    closes = F.col("source").eqNullSafe(F.col("s")) & F.col("mark").eqNullSafe(F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("picked") == 0)
+    # Of rows that agree in everything one closes the gap.
+    nth = F.row_number().over(W.partitionBy("source", "doc_id", "mark").orderBy("size"))
+    closing = chosen.join(nearest, closes).withColumn("picked", (nth == 1).cast("int")).select(*chosen.columns)
+    out = chosen.join(nearest, closes, "left_anti").unionByName(closing)
+    out = out.withColumn("picked", F.when(F.col("size") > 0, F.col("picked")).otherwise(0)).withColumn("taken", (F.col("epochs") + F.col("picked")) * F.col("size"))
+    return out.select("doc_id", "source", "mark", "size", "source_size", "target", "epochs", "picked", "taken")

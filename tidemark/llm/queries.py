@@ -144,5 +144,35 @@ SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
 
 
+_ODD = "0123456789#$%&*|!<>{}[]()=+/\\_~^@\"'"
+
+_OP9 = rf"""
+WITH d AS (
+  SELECT doc_id, source, ('0x' || substr(md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(30)), coalesce(text, chr(30)), coalesce(source, chr(30)), '17')), 1, 15))::BIGINT AS mark,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         CASE WHEN length(text) > 0 THEN greatest(length(translate(text, '{_ODD.replace("'", "''")}', ''))::DOUBLE / length(text), 0.05e0) ELSE 0.05e0 END AS quality
+  FROM documents
+), k AS (SELECT *, -ln(((mark >> 7) + 1) / 9007199254740992e0) / quality AS key FROM d
+), s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source
+), s1 AS (SELECT *, CASE i % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM s0
+), s2 AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3e0 * source_size) OVER b, 0e0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0e0)) AS level
+  FROM s1 WINDOW b AS (ORDER BY source_size / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s3 AS (
+  SELECT *, arg_min(level, (source_size / weight, i)) FILTER (level * weight <= 3e0 * source_size) OVER () AS first FROM s2
+), s AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12)::BIGINT ELSE 0 END AS epochs
+  FROM (SELECT source, source_size, least(coalesce(first * weight, 3e0 * source_size), 3e0 * source_size) AS target FROM s3)
+), r AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, mark, size ROWS UNBOUNDED PRECEDING) AS run
+  FROM k JOIN s ON k.source IS NOT DISTINCT FROM s.source
+), p AS (SELECT *, rest - sum(CASE WHEN run <= rest THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM r
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY source, run > rest AND size > 0 AND abs(size - gap) < gap ORDER BY abs(size - gap), key, doc_id, mark) = 1 AND run > rest AND size > 0 AND abs(size - gap) < gap AS closes FROM p
+)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (epochs + (run <= rest OR closes)::INTEGER) * size ELSE 0 END::BIGINT AS taken FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op3_hamming_topk": _OP3, "op10_minhash_near_dedup": _OP10}
+    return {"op9_source_mix": _OP9, "op2_chat_format": _OP2, "op3_hamming_topk": _OP3, "op10_minhash_near_dedup": _OP10}
