@@ -154,7 +154,7 @@ def test_escape_is_reversible_and_conversations_read_back(spark):
 # 3
 
 
-def test_hamming_search_is_exact(spark):
+def test_hamming_search_is_exact(spark, monkeypatch):
     from tidemark.llm.hamming import Index, search_vectors
 
     rng = np.random.default_rng(4)
@@ -163,6 +163,7 @@ def test_hamming_search_is_exact(spark):
     rows = [(i, v.astype(float).tolist()) for i, v in enumerate(vecs)] + [(301, None), (302, []), (303, vecs[0].tolist()), (None, vecs[1].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
+    monkeypatch.setattr("tidemark.llm.hamming.SHARD_CODES", 30)  # several shards
     for r in search_vectors(df, lambda i: i % 20 == 0, k=5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbor_id))
     bits = {i: np.array(v) > 0 for i, v in rows if i is not None and v}

@@ -8,18 +8,21 @@ nothing nearer can be left.  When the probes of the next radius would outnumber
 is scanned instead, which is as exact.
 
 Equal codes are one entry with its least ids, so a vector that holds a third of the rows costs no more than
-any other.  Codes are dealt by hash into shards of bounded size and queries into blocks; each pair of shard
-and block is one group, and the best of all shards are merged by rank.
+any other.  Codes are dealt by hash into shards of bounded size; every shard gets all different queries, builds
+its index once, and streams the queries past it in batches.  The best of all shards are merged by rank.  So the
+table of codes is moved once, and the queries once a shard.
 
 Results are ordered by distance, then id; a row is not its own neighbour.  Null and empty vectors, and those
 with null elements, are neither found nor searched for.  Vectors of different lengths are compared as if
 filled up with zeros.  Rows with a null id are left out; repeated rows are neighbours like others, but all
-rows with the query's own id are left out.  An empty table gives an empty result.
+rows with the query's own id are left out.  An empty table gives an empty result.  Extra columns, also those
+whose names differ by case only, are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from ._common import pick, written
 
 K = 10
-#: Distinct codes in a shard and queries in a block, about.
-SHARD_CODES, BLOCK_QUERIES = 1 << 18, 512
+#: Distinct codes in a shard, about: at most, and at least where that leaves cores idle.
+SHARD_CODES, LEAST_CODES = 1 << 19, 1 << 13
 
 
 def sign_codes(vector: Column, dims: int) -> Column:
@@ -112,31 +115,43 @@ class Index:
         return places[best], far[best]
 
 
-def _group(k: int, bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        words = np.array(table["code"].to_pylist(), np.int64).reshape(len(table), -1).view(np.uint64)
-        is_query = table["is_query"].to_numpy()
-        codes, queries = words[~is_query], words[is_query]
-        near, whom, far = [], [], []
-        if len(codes):
-            index = Index(codes, table["least"].to_numpy()[~is_query], bits)
-            for i, q in enumerate(queries):
-                p, d = index.search(q, k)
-                near.append(p)
-                far.append(d)
-                whom.append(np.full(len(p), i))
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        near, far, whom = cat(near), cat(far), cat(whom)
-        lists = pa.list_(pa.int64())
-        return pa.Table.from_arrays(
-            [pa.array(list(queries.view(np.int64)[whom]), lists), pa.array(list(codes.view(np.int64)[near]), lists), pa.array(far, pa.int64())],
-            ["query", "near", "distance"],
-        )
+def _search(k: int, bits: int):
+    """Over rows sorted by (shard, is_query): hold a shard's codes, then answer its queries batch by batch."""
+    lists = pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, codes, least, index = None, [], [], None
+        for batch in batches:
+            numbers, asking = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            words = batch.column(2).flatten().to_numpy().reshape(len(batch), -1).view(np.uint64)
+            ids = batch.column(3).to_numpy()
+            cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(asking.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if lo == hi:
+                    continue
+                if numbers[lo] != shard:
+                    shard, codes, least, index = numbers[lo], [], [], None
+                if not asking[lo]:
+                    codes.append(words[lo:hi].copy())
+                    least.append(ids[lo:hi].copy())
+                    continue
+                if not codes:
+                    continue
+                if index is None:
+                    index = Index(np.concatenate(codes), np.concatenate(least), bits)
+                found = [index.search(q, k) for q in words[lo:hi]]
+                near = index.codes[np.concatenate([p for p, _ in found])].view(np.int64)
+                whom = np.repeat(words[lo:hi].view(np.int64), [len(p) for p, _ in found], axis=0)
+                offsets = pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(offsets, pa.array(x.ravel()), type=lists) for x in (whom, near)] + [pa.array(np.concatenate([d for _, d in found]))],
+                    ["query", "near", "distance"],
+                )
 
     return run
 
 
-def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, *, shard_codes: int = SHARD_CODES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, *, shard_codes: int | None = None) -> DataFrame:
     """(query_id, rank, neighbor_id, distance) from (id, code) of all rows and of the queries; codes are arrays of longs."""
     codes = codes.where("id is not null and code is not null")
     queries = queries.where("id is not null and code is not null")
@@ -145,14 +160,14 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, *,
     held = written(ranked, "codes")
     heads = held.where("r = 1").select("code", F.col("id").alias("least"))
     asked = written(queries.select("code").distinct(), "queries")
-    shards = max(1, math.ceil(heads.count() / shard_codes))
-    blocks = max(1, math.ceil(asked.count() / block_queries))
-    spread = lambda n, salt: F.pmod(F.xxhash64("code", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = heads.withColumn("shard", spread(shards, 1)).withColumn("block", every(blocks)).withColumn("is_query", F.lit(False))
-    asks = asked.withColumn("least", F.lit(0).cast("long")).withColumn("block", spread(blocks, 2)).withColumn("shard", every(shards)).withColumn("is_query", F.lit(True))
-    both = rows.unionByName(asks).repartition(max(1, shards * blocks), "shard", "block")
-    found = both.groupBy("shard", "block").applyInArrow(_group(k + 1, bits), "query array<bigint>, near array<bigint>, distance bigint")
+    n = heads.count()
+    idle = min(codes.sparkSession.sparkContext.defaultParallelism, math.ceil(n / LEAST_CODES))
+    shards = max(1, math.ceil(n / (shard_codes or SHARD_CODES)), idle)
+    shard = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(shards)).cast("int")
+    rows = heads.select(shard.alias("shard"), F.lit(False).alias("is_query"), "code", "least")
+    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "code", F.lit(0).cast("long").alias("least"))
+    both = rows.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "is_query")
+    found = both.mapInArrow(_search(k + 1, bits), "query array<bigint>, near array<bigint>, distance bigint")
     near = found.join(held.select(F.col("code").alias("near"), F.col("id").alias("neighbor_id")), "near")
     # A query needs the best k + 1 ids of its code, whichever rows ask.
     best = near.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbor_id"))).where(F.col("r") <= k + 1)
