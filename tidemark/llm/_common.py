@@ -57,3 +57,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
         places.append((exact or loose)[0])
     flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return flat.select(*(flat[f"c{i}"].alias(f"{k} {n}") for k, (i, n) in enumerate(zip(places, names, strict=True)))).toDF(*names)
+
+
+def no_clash(carry: tuple[str, ...], *outputs: str) -> None:
+    """Refuse carried columns that are named like columns of the result."""
+    both = {c.lower() for c in carry} & {c.lower() for c in outputs}
+    if both or len({c.lower() for c in carry}) < len(carry):
+        raise ValueError(f"carried columns clash: {sorted(both) or carry}")
