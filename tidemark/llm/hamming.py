@@ -9,14 +9,15 @@ is scanned instead, which is as exact.
 
 Equal codes are one entry with its least ids, so a vector that holds a third of the rows costs no more than
 any other.  Codes are dealt by hash into shards of bounded size; every shard gets all different queries, builds
-its index once, and streams the queries past it in batches.  The best of all shards are merged by rank.  So the
-table of codes is moved once, and the queries once a shard.
+its index once, and streams the queries past it in batches.  The best of all shards are merged by rank.  So a
+large table of codes is moved once, and the queries once a shard.  Where there are fewer shards than cores, a
+shard is copied for several blocks of its queries, at most until all cores have one.
 
 Results are ordered by distance, then id; a row is not its own neighbour.  Null and empty vectors, and those
 with null elements, are neither found nor searched for.  Vectors of different lengths are compared as if
 filled up with zeros.  Rows with a null id are left out; repeated rows are neighbours like others, but all
-rows with the query's own id are left out.  An empty table gives an empty result.  Extra columns, also those
-whose names differ by case only, are ignored.
+rows with the query's own id are left out, and an id with several codes is a query for each of them.  An empty
+table gives an empty result.  Extra columns, also those whose names differ by case only, are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from ._common import pick, written
 
 K = 10
-#: Distinct codes in a shard, about: at most, and at least where that leaves cores idle.
-SHARD_CODES, LEAST_CODES = 1 << 19, 1 << 13
+#: Distinct codes in a shard and queries in a block, about: shards hold no more, blocks no less.
+SHARD_CODES, BLOCK_QUERIES = 1 << 19, 256
 
 
 def sign_codes(vector: Column, dims: int) -> Column:
@@ -116,7 +117,7 @@ class Index:
 
 
 def _search(k: int, bits: int):
-    """Over rows sorted by (shard, is_query): hold a shard's codes, then answer its queries batch by batch."""
+    """Over rows sorted by (shard and block, is_query): hold a shard's codes, then answer its queries batch by batch."""
     lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +161,15 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, *,
     held = written(ranked, "codes")
     heads = held.where("r = 1").select("code", F.col("id").alias("least"))
     asked = written(queries.select("code").distinct(), "queries")
-    n = heads.count()
-    idle = min(codes.sparkSession.sparkContext.defaultParallelism, math.ceil(n / LEAST_CODES))
-    shards = max(1, math.ceil(n / (shard_codes or SHARD_CODES)), idle)
-    shard = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(shards)).cast("int")
-    rows = heads.select(shard.alias("shard"), F.lit(False).alias("is_query"), "code", "least")
-    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "code", F.lit(0).cast("long").alias("least"))
-    both = rows.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "is_query")
+    shards = max(1, math.ceil(heads.count() / (shard_codes or SHARD_CODES)))
+    cores = codes.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(cores // shards, math.ceil(asked.count() / BLOCK_QUERIES)))
+    deal = lambda n, salt: F.pmod(F.xxhash64("code", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = (F.col("shard") * blocks + F.col("block")).alias("group")
+    rows = heads.withColumn("shard", deal(shards, 1)).withColumn("block", every(blocks)).select(group, F.lit(False).alias("is_query"), "code", "least")
+    asks = asked.withColumn("block", deal(blocks, 2)).withColumn("shard", every(shards)).select(group, F.lit(True).alias("is_query"), "code", F.lit(0).cast("long").alias("least"))
+    both = rows.unionByName(asks).repartition(shards * blocks, "group").sortWithinPartitions("group", "is_query")
     found = both.mapInArrow(_search(k + 1, bits), "query array<bigint>, near array<bigint>, distance bigint")
     near = found.join(held.select(F.col("code").alias("near"), F.col("id").alias("neighbor_id")), "near")
     # A query needs the best k + 1 ids of its code, whichever rows ask.
