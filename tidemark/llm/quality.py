@@ -1,14 +1,19 @@
 """Quality classifier from weak labels.
 
-Eight heuristic labellers vote good, bad or abstain on every document.  Votes are counted by pattern over the
-whole table (at most 3**8 patterns), and expectation-maximisation on those counts estimates how often each
-labeller gives each vote on good and on bad documents, and the share of good ones.  The posterior of a pattern
-is a soft label; a bounded sample of documents with these labels trains a linear scorer over hashed byte
-trigrams and hashed buckets of the statistics, which then scores every document.
+Eight overlapping heuristic labellers vote good, bad or abstain on every document: two look at symbols, two at
+marks and capitals, three at repetition, one at function words.  Votes are counted by pattern over the whole
+table (at most 3**8 patterns), and expectation-maximisation on those counts estimates, for good documents and for
+each kind of bad ones, its share and how often each labeller gives each vote, which is the labeller's accuracy.
+There are as many kinds of bad documents as labellers; those that the votes don't need vanish.  All tables are
+free: EM starts from the votes' shares alone, so that the majority says which class is the good one.  The
+posterior of a pattern is a soft label; a bounded sample of documents with these labels trains a linear scorer
+over hashed byte trigrams and hashed buckets of the statistics, which then scores every document.
 
 No given labels are read.  Null and empty texts, and those of white space only: all labellers abstain, the
-score is 0 and the document is rejected.  Repeated rows are scored alike.  An empty table gives an empty
-result.  Texts are scored whole.
+score is 0 and the document is rejected.  Rows with a null id are scored like others.  Repeated rows are scored
+alike.  An empty table gives an empty result.  Texts of any length are scored whole.  Extra columns, also those
+whose names differ by case only, are ignored unless they are carried; a carried column may not be named like a
+column of the result.
 """
 
 from __future__ import annotations
@@ -21,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import pick
+from ._common import no_clash, pick
 
-#: Documents that train the scorer, at most, but for chance: a document is drawn with this number over the table's rows.
+#: Documents that train the scorer, but for chance: a document is drawn with this number over the table's rows, and at most twice as many are.
 SAMPLE_ROWS = 4000
-THRESHOLD = 0.4
-PRIOR_SHARE = 0.02
+THRESHOLD = 0.5
 TRIGRAM_BITS = 14
 DIM = (1 << TRIGRAM_BITS) + 8 * 16 * 2
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -109,33 +113,33 @@ def votes(stats: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[str, np.ndarray]:
-    """EM for two classes: {prior, table[class, labeller, vote], posterior of good by pattern}.
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> dict[str, np.ndarray]:
+    """EM for good documents (class 0) and one kind of bad ones for each labeller: {share[class], table[class, labeller, vote], posterior of good by pattern, accuracy[labeller]}.
 
-    Votes are taken as independent given the class.  The labellers are alarms: each sees one kind of fault, so
-    on a bad document most still vote good, and on a good one a bad vote is rare.  That is where EM starts, and
-    what a Dirichlet prior of ``PRIOR_SHARE`` of the table says; it also keeps the classes from trading places.
+    Votes are taken as independent given the class; to abstain says nothing.  A pattern starts as good by its
+    share of good votes, and as kind j of bad by the bad vote of labeller j.
     """
     n = patterns.shape[1]
-    start = np.empty((2, n, 3))
-    start[GOOD], start[BAD] = (0.005, 0.995, 1.0), (0.3, 0.7, 1.0)  # by vote; to abstain says nothing
-    table = start.copy()
-    prior = 0.7
-    post = np.zeros(len(patterns))
+    said = np.maximum((patterns != ABSTAIN).sum(axis=1), 1)
+    bad = (patterns == BAD) / said[:, None]
+    post = np.vstack([1 - bad.sum(axis=1), bad.T])
     for _ in range(rounds):
-        logs = np.log(table[:, np.arange(n)[None, :], patterns]).sum(axis=2)
-        logit = logs[1] - logs[0] + np.log(prior / (1 - prior))
-        new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        weight = np.stack([(1 - new) * counts, new * counts])
+        weight = post * counts
+        table = np.ones((n + 1, n, 3))
         for v in (BAD, GOOD):
-            table[:, :, v] = weight @ (patterns == v) + (1 + PRIOR_SHARE * counts.sum()) * start[:, :, v]
+            table[:, :, v] = weight @ (patterns == v) + 0.5
         table[:, :, :2] /= table[:, :, :2].sum(axis=2, keepdims=True)
-        prior = float(np.clip(weight[1].sum() / max(counts.sum(), 1), 0.01, 0.99))
+        share = (weight.sum(axis=1) + 1) / (weight.sum() + n + 1)
+        logs = np.log(table[:, np.arange(n)[None, :], patterns]).sum(axis=2) + np.log(share)[:, None]
+        new = np.exp(logs - logs.max(axis=0))
+        new /= new.sum(axis=0)
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
         if done:
             break
-    return {"prior": np.array(prior), "table": table, "posterior": post}
+    weight = post * counts
+    right = weight[0] @ (patterns == GOOD) + weight[1:].sum(axis=0) @ (patterns == BAD)
+    return {"share": share, "table": table, "posterior": post[0], "accuracy": right / np.maximum(counts @ (patterns != ABSTAIN), 1e-300)}
 
 
 def features(column: pa.Array, stats: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,7 +160,7 @@ def features(column: pa.Array, stats: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield np.concatenate([at_, grams + long_ + bucket]), np.concatenate([np.sqrt(seen[at_] / total), np.full(8, 0.5)])
 
 
-def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray]], rounds: int = 300, ridge: float = 1e-3, rate: float = 2.0) -> np.ndarray:
+def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray]], rounds: int = 300, ridge: float = 1e-4, rate: float = 2.0) -> np.ndarray:
     """Weights, and the bias last, of a logistic scorer of soft labels; both classes weigh alike."""
     w = np.zeros(DIM + 1)
     if not rows:
@@ -222,16 +226,20 @@ def quality_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict
     counts = np.array([r["count"] for r in found], float)
     model = fit_labellers(patterns, counts)
     posterior = {r["votes"]: float(p) for r, p in zip(found, model["posterior"], strict=True)}
-    rows = counts.sum()
-    share = min(1.0, sample_rows / max(rows, 1))
-    drawn = docs.where(F.pmod(F.xxhash64("__id"), F.lit(2**32)) < F.lit(int(2**32 * share))).select("__text")
+    n = float(counts.sum())
+    share = min(1.0, sample_rows / max(n, 1))
+    drawn = docs.where(F.pmod(F.xxhash64("__id", "__text"), F.lit(2**32)) < F.lit(int(2**32 * share))).select("__text").limit(2 * sample_rows)
     rows = drawn.mapInArrow(_example(posterior), "p double, at array<int>, x array<float>").toArrow()
     examples = list(zip(rows["p"].to_pylist(), map(np.asarray, rows["at"].to_numpy()), map(np.asarray, rows["x"].to_numpy()), strict=True)) if len(rows) else []
-    return posterior, fit_scorer(examples)
+    w = fit_scorer(examples)
+    good = float(counts @ model["posterior"]) if len(counts) else 0.0
+    w[-1] += np.log((good + 1) / (n - good + 1))  # the scorer weighs both classes alike; the table does not
+    return posterior, w
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, kept, votes, posterior, *carry) of every row: score in 0 to 1, kept where it is at least ``THRESHOLD``, below one half as most documents are good."""
+    """(doc_id, score, kept, votes, posterior, *carry) of every row: score in 0 to 1, kept where it is at least ``THRESHOLD``."""
+    no_clash(carry, "doc_id", "score", "kept", "votes", "posterior")
     docs = pick(df, id_col, text_col, *carry).toDF("__id", "__text", *carry)
     posterior, w = quality_model(docs, sample_rows)
     weights = docs.sparkSession.sparkContext.broadcast(w)
