@@ -9,8 +9,10 @@ other rules.  The second pass decides short and near-good blocks by the nearest
 
 Character references are decoded, white space inside a block becomes one space, and kept blocks are joined by
 a line feed.  Null or empty pages give the empty text.  Broken markup (tags left open, ends without starts,
-references cut short) is read as far as it goes.  Every block of a page is looked at, whatever its length.
-Repeated rows give equal texts; an empty table an empty result.
+references cut short) is read as far as it goes, in time proportional to the page's length.  Every block of a
+page is looked at, whatever its length.  Rows with a null id or address come back like others.  Repeated rows
+give equal texts; an empty table an empty result.  Extra columns, also those whose names differ by case only, are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ APART_NAMES = re.compile(
 )
 #: A whole class or id of this kind is a page header; "article-header" is not.
 HEADER_NAME = re.compile(r"(?:^|\s)(?:(?:page|site|top|main|global)[_-]?)?header(?:$|\s)", re.IGNORECASE)
+#: Names that say what a layout has beside the element, not what the element is.
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:with|without|has|no|not|show|hide)[_-]\S+", re.IGNORECASE)
 #: An article of this kind is not the page's own.
 OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comment\w*|repl(?:y|ies)|related|promo\w*|teaser\w*|ads?|advert\w*)(?:$|[\s_-])", re.IGNORECASE)
 _PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.DOTALL)
@@ -60,11 +64,11 @@ class Block:
         self.tag, self.apart, self.inside, self.text, self.linked, self.kind = tag, apart, inside, text, linked, ""
 
 
-def _is_apart(tag: str, attributes: str, inside: bool, names: bool) -> bool:
+def _is_apart(tag: str, attributes: str, inside: bool) -> bool:
     """Does this element hold no article?  A header within the article counts by its name alone."""
     if tag in APART and not (inside and tag in ("header", "fieldset")):
         return True
-    if not attributes or not names or tag in ("html", "body"):
+    if not attributes or tag in ("html", "body"):
         return False
     own = OTHER_ARTICLE if tag in ("article", "main") else APART_NAMES
     for name, *values in _NAMED.findall(attributes):
@@ -73,17 +77,49 @@ def _is_apart(tag: str, attributes: str, inside: bool, names: bool) -> bool:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             return True
         if name in ("class", "id", "role"):
-            value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+            value = _LAYOUT.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
             if own.search(value) or (own is APART_NAMES and not inside and HEADER_NAME.search(value)):
                 return True
     return False
 
 
-def blocks(page: str, names: bool = True) -> list[Block]:
-    """The text blocks of a page in order, with their setting; ``names`` says whether classes, ids and roles count."""
+class _Stack:
+    """Open elements: (tag, apart, inside an article, place of the nearest block element), and where each tag was opened last."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool, bool, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> tuple[str, bool, bool, int]:
+        return self.open[-1] if self.open else ("", False, False, -1)
+
+    def block(self) -> str:
+        """The tag of the nearest block element."""
+        at = self.top()[3]
+        return self.open[at][0] if at >= 0 else ""
+
+    def push(self, tag: str, apart: bool, inside: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, apart, inside, len(self.open) if tag in BLOCK else self.top()[3]))
+
+    def cut(self, size: int) -> None:
+        """Close all elements from this place on."""
+        while len(self.open) > size:
+            self.places[self.open.pop()[0]].pop()
+
+    def end(self, tag: str) -> None:
+        """Close the last element of this tag; one that is not a block closes no block."""
+        at = self.places.get(tag)
+        if at and (tag in BLOCK or at[-1] > self.top()[3]):
+            self.cut(at[-1])
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page in order, with their setting, in time proportional to its length."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, apart, inside an article
+    stack = _Stack()
     parts: list[str] = []
+    endless: set[str] = set()  # raw elements that have no more ends
     linked = 0
     link_depth = 0
     at = 0
@@ -92,8 +128,8 @@ def blocks(page: str, names: bool = True) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-            out.append(Block(tag, stack[-1][1] if stack else False, stack[-1][2] if stack else False, text, linked))
+            _, apart, inside, _ = stack.top()
+            out.append(Block(stack.block(), apart, inside, text, linked))
         parts.clear()
         linked = 0
 
@@ -118,9 +154,12 @@ def blocks(page: str, names: bool = True) -> list[Block]:
         if m[3] is None:
             continue
         tag, ends = m[3].lower(), m[2] == "/"
+        alone = m[4].rstrip().endswith("/")
         if tag in RAW:
-            if not ends and not m[4].rstrip().endswith("/"):  # skip to its end, or past the start if it has none
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+            if not ends and not alone:  # skip to its end, or past the start if it has none
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                if end is None:
+                    endless.add(tag)
                 at = end.end() if end else (size if tag in ("script", "style") else at)
             parts.append(" ")
             continue
@@ -131,29 +170,20 @@ def blocks(page: str, names: bool = True) -> list[Block]:
             close()
         elif tag == "a":
             link_depth = max(0, link_depth - 1) if ends else link_depth + 1
-        if tag in VOID or (not ends and m[4].rstrip().endswith("/") and tag not in BLOCK):
+        if tag in VOID or (not ends and alone and tag not in BLOCK):
             continue
         if ends:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                if tag in BLOCK:
-                    link_depth = 0
-                    del stack[k:]
-                elif not any(t in BLOCK for t, _, _ in stack[k:]):
-                    del stack[k:]
+            if tag in BLOCK and stack.places.get(tag):
+                link_depth = 0
+            stack.end(tag)
         else:
             if tag in BLOCK and tag not in ("html", "body", "div", "section", "article", "main"):
                 # A paragraph ends where the next block starts, and a list item at the next item.
-                if stack and stack[-1][0] not in BLOCK:
-                    k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
-                    if k >= 0 and stack[k][0] == "p":
-                        del stack[k:]
-                if stack and (stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "dt", "dd", "tr", "td")):
-                    stack.pop()
-            before = stack[-1] if stack else ("", False, False)
-            inside = before[2] or tag in ("article", "main")
-            apart = before[1] or _is_apart(tag, m[4], before[2], names)
-            stack.append((tag, apart, inside))
+                block = stack.block()
+                if block == "p" or (block == tag and stack.top()[0] == tag and tag in ("li", "dt", "dd", "tr", "td")):
+                    stack.cut(stack.top()[3])
+            _, apart, inside, _ = stack.top()
+            stack.push(tag, apart or _is_apart(tag, m[4], inside), inside or tag in ("article", "main"))
     close()
     return out
 
@@ -174,21 +204,25 @@ def _by_words(block: Block) -> str:
         return "bad"
     if n < SHORT:
         return "bad" if block.linked else "short"
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in _STOPS for w in words) / max(len(words), 1)
+    density = _density(block.text)
     if density >= STOPS_HIGH:
         return "good" if n > LONG else "near"
     if density >= STOPS_LOW:
         return "near"
-    return "near" if block.tag == "p" and n > LONG else "bad"
+    if block.tag != "p":
+        return "bad"
+    return "near" if n > LONG else "bad" if block.linked else "short"
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page.  Where names such as ``with-sidebar`` would leave nothing, only tags are believed."""
-    return _extract_from(blocks(page or "")) or _extract_from(blocks(page or "", False))
+def _density(text: str) -> float:
+    """The share of function words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in _STOPS for w in words) / max(len(words), 1)
 
 
-def _extract_from(found: list[Block]) -> str:
+def extract(page: str | None) -> str:
+    """The main text of a page."""
+    found = blocks(page or "")
     for b in found:
         b.kind = first_pass(b)
     decided = [b.kind if b.kind in ("good", "bad") else "" for b in found]
@@ -218,8 +252,9 @@ def _extract_from(found: list[Block]) -> str:
                 b.kind = "bad"
             elif b.tag in HEADING:  # a heading goes with what it stands over
                 b.kind = "good" if behind[i] in ("good", "near") else "bad"
-            else:
-                b.kind = "good" if "near" in pair and "good" in (strict_a[i], strict_b[i]) and b.tag in ("p", "li", "dd") else "bad"
+            else:  # between the two: with prose on one side a paragraph of words goes with it
+                prose = "near" in pair or b.tag == "p" and _density(b.text) >= STOPS_LOW
+                b.kind = "good" if prose and "good" in (strict_a[i], strict_b[i]) and b.tag in ("p", "li", "dd") else "bad"
     ahead, behind = neighbours([b.kind if b.kind in ("good", "bad") else "" for b in found])
     whole = any(b.kind == "good" for b in found)
     for i, b in enumerate(found):
