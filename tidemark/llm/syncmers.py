@@ -13,7 +13,8 @@ texts counts.  The likeness is twice the anchors of that chain over the anchors
 Tokens are runs without white space, at most 32 characters long, and single characters of scripts written
 without spaces.  Texts with fewer than five tokens have one anchor, the hash of all of them.  Null is empty;
 a text without tokens has the empty fingerprint, which is like another empty one (1) and nothing else (0).
-Repeated rows have equal fingerprints.  An empty table gives an empty result.
+Repeated rows have equal fingerprints.  Texts of any length are taken whole.  An empty table gives an empty
+result.  Extra columns, also those whose names differ by case only, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, fresh, pick, written
+from ._common import fresh, pick, written
 
 K = 5
 SHORT = 300
@@ -31,8 +32,8 @@ PLACE_BITS = 24
 LAST = 2 ** (PLACE_BITS - 1) - 1
 _SINGLE = r"\u0E00-\u0E7F\u2E80-\u9FFF\uAC00-\uD7AF"
 TOKEN = rf"[{_SINGLE}]|[^\x20\x09-\x0D{_SINGLE}]{{1,32}}"
-#: Ids in one bucket when neighbours are looked up.
-BUCKET_IDS, BUCKETS_GROUP = 256, 4096
+#: Rows in one range of ids when neighbours are looked up, about, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 256, 1 << 14
 
 
 def _tail(a: str, n: int) -> Column:
@@ -129,17 +130,46 @@ def likeness(df: DataFrame, one: str, two: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(total == 0, 1.0).otherwise(2.0 * most / F.greatest(total, F.lit(1)))).drop(a, b, s, g, p, r)
 
 
-def _targets(ids: DataFrame) -> DataFrame:
-    """(head, bucket): the greatest id of every bucket, and the bucket whose last row it follows.
+def _numbers(values: list, kind: str) -> Column:
+    """A constant array, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
-    Going down the ids, the head of a bucket comes after the last row of the next higher one, and the head of
-    the highest after the last row of the lowest.  Windows run over groups of buckets, then over groups.
+
+def _ranges(ids: DataFrame) -> tuple[list[int], list[int]]:
+    """(bounds, parts): where ranges of the ids ``at`` begin, and into how many parts each range is cut.
+
+    Bounds are quantiles, so dense, sparse and hashed ids give even ranges.  An id that fills several quantiles
+    is a range of its own, cut by a hash of the text.
+    """
+    n = ids.count()
+    k = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    if k <= 1:
+        return [], [1]
+    found = ids.agg(F.percentile_approx("at", _numbers([i / k for i in range(1, k)], "double"), max(10_000, 4 * k))).first()[0]
+    times = {v: found.count(v) for v in dict.fromkeys(found)} if len(set(found)) < len(found) else dict.fromkeys(found, 1)
+    bounds = sorted({*times, *(v + 1 for v, m in times.items() if m > 1)})
+    return bounds, [1, *(times.get(v, 1) for v in bounds)]
+
+
+def _with_ranges(docs: DataFrame, bounds: list[int], parts: list[int]) -> DataFrame:
+    """``docs`` with ``range``, the number of bounds up to ``at`` by binary search, and ``part`` by ``tie``."""
+    held, steps = _numbers(bounds, "bigint"), _numbers([1 << i for i in reversed(range(len(bounds).bit_length()))], "int")
+    up = lambda i, step: F.when(F.get(held, i + step - 1) <= F.col("at"), i + step).otherwise(i)
+    docs = docs.withColumn("range", F.aggregate(steps, F.lit(0), up) if bounds else F.lit(0))
+    even = F.col("tie") / F.lit(2.0**64) + 0.5
+    return docs.withColumn("part", F.least(F.floor(even * F.get(_numbers(parts, "int"), F.col("range"))), F.get(_numbers(parts, "int"), F.col("range")) - 1).cast("int"))
+
+
+def _targets(docs: DataFrame) -> DataFrame:
+    """(head, range, part): the first row of every part of a range, and the part whose last row it follows.
+
+    Going down the ids, the first row of a part comes after the last row of the part before, and that of the
+    highest after the last row of all.  There are at most twice ``MOST_RANGES`` parts.
     """
-    heads = written(ids.groupBy("bucket").agg(F.max("at").alias("head")).withColumn("group", F.floor(F.col("bucket") / BUCKETS_GROUP)), "heads")
-    ends = heads.groupBy("group").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
-    ends = ends.select("group", "high", F.lead("low").over(W.orderBy("group")).alias("above"), F.min("low").over(W.partitionBy()).alias("lowest"))
-    own = heads.withColumn("next", F.lead("bucket").over(W.partitionBy("group").orderBy("bucket")))
-    return own.join(ends, "group").select("head", F.coalesce("next", "above", "lowest").alias("bucket"))
+    heads = docs.groupBy("range", "part").agg(F.max(F.struct("at", F.bitwise_not("tie").alias("late"))).alias("head"))
+    down = W.orderBy(F.desc("range"), "part")
+    heads = heads.withColumn("first", F.first("head").over(down)).withColumn("head", F.coalesce(F.lead("head").over(down), "first"))
+    return heads.select(F.col("head.at").alias("head_at"), F.col("head.late").alias("head_late"), F.col("range").alias("to_range"), F.col("part").alias("to_part"))
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,20 +177,21 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Next is the row with the next smaller id; rows with equal ids are ordered by a hash of their text, nulls
     come last, and after the last row comes the first.  The edited text has its last third of characters
-    replaced by the first characters of the next text.
+    replaced by the first characters of the next text.  Ids must be integers.
     """
     docs = pick(df, id_col, text_col).toDF("doc_id", "text")
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("the order of rows goes by integer ids")
     least = F.lit(-(2**63)).cast("long")
-    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("at", F.coalesce(F.col("doc_id").cast("long"), least))
-    docs = docs.withColumn("bucket", F.floor(F.col("at") / BUCKET_IDS))
-    targets = written(_targets(docs.select("at", "bucket")), "targets")
-    if targets.count() <= BROADCAST_ROWS:
-        targets = F.broadcast(targets)
-    copies = docs.drop("bucket").join(targets, F.col("at") == F.col("head")).select("doc_id", "text", "at", "bucket")
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("at", F.coalesce(F.col("doc_id").cast("long"), least)).withColumn("tie", F.xxhash64("text"))
+    docs = _with_ranges(docs, *_ranges(docs.select("at")))
+    targets = F.broadcast(written(_targets(docs), "targets"))  # at most 2 * MOST_RANGES rows
+    first = (F.col("at") == F.col("head_at")) & (F.bitwise_not("tie") == F.col("head_late"))
+    copies = docs.join(targets, first).select("doc_id", "text", "at", "tie", F.col("to_range").alias("range"), F.col("to_part").alias("part"))
     rows = docs.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
-    order = W.partitionBy("bucket").orderBy("copy", F.desc("at"), "tie")
+    order = W.partitionBy("range", "part").orderBy("copy", F.desc("at"), "tie")
     # Anchors are taken between two windows of one order: texts are shuffled, anchors are not.
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("next_text", F.lead("text").over(order))
+    rows = rows.withColumn("next_text", F.lead("text").over(order))
     rows = with_places(rows).withColumn("next_places", F.lead("places").over(order)).where("copy = 0")
     n = F.length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("third", F.floor(n / 3).cast("int"))
