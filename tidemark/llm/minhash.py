@@ -6,13 +6,17 @@ generate candidates, and the low four bits of every minimum are packed into eigh
 counts give a collision-corrected similarity that discards hopeless candidates.  What is left is confirmed
 on the full sets: 100 * |A n B| >= 75 * |A u B|.
 
-A bucket never emits all its pairs.  First each member is held against two pivots of its bucket, which differ from band to band; connected
-classes are contracted; only pairs of a bucket that are still in different components, and whose bit counts
-and sizes allow a link, are then confirmed.  Every link between candidates is thus found or already implied.
+A bucket never compares all its pairs.  First each member is held against two pivots of its bucket, which
+differ from band to band, and connected classes are contracted.  In a bucket that still holds several components,
+only members outside its largest one are held against the others: a bucket of N members of which r lie outside
+costs r * N comparisons, dealt in blocks of at most ``BLOCK`` by ``BLOCK`` members.  Pairs whose bit counts and
+sizes allow a link are confirmed.  Every link between candidates is thus found or already implied.  Where one
+class meets many others, its set is sent once for every ``BLOCK`` of them, so no key gathers a whole group.
 
 Nulls, empty texts and texts of white space only: empty set, own component.  A null id forms a component
 with its class like any other, but is never the smallest id unless its component has no other.  Repeated
-rows come back as often as they came.  An empty table gives an empty result.
+rows come back as often as they came.  Texts of any length are taken whole, in blocks.  An empty table gives an
+empty result.  Extra columns, also those whose names differ by case only, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from . import _bytes as B
 from ._common import BROADCAST_ROWS, pick, written
 
 SHINGLE, PERCENT = 5, 75
+#: Members of a bucket, or partners of a class, that one task handles together.
+BLOCK = 1024
 BANDS, ROWS, BITS = 32, 4, 4
 #: A candidate whose estimate is below this, five standard deviations under the threshold, is discarded.
 LEAST_ESTIMATE = 0.55
@@ -136,13 +142,22 @@ def _possible(a: str, b: str) -> Column:
     return sizes & (estimate(F.col(f"{a}.sign"), F.col(f"{b}.sign")) >= LEAST_ESTIMATE)
 
 
+def _open(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (a, b, salt) that sizes and bit counts leave open; b's facts go once to each of its salts."""
+    facts = signs.select("node", "n", "sign")
+    heads = pairs.select("b", "salt").distinct().join(facts, F.col("b") == F.col("node")).select("b", "salt", "n", "sign").alias("q")
+    one = pairs.join(facts, F.col("a") == F.col("node")).select("a", "b", "salt", "n", "sign").alias("p")
+    same = (F.col("p.b") == F.col("q.b")) & (F.col("p.salt") == F.col("q.salt"))
+    return one.join(heads, same & _possible("p", "q")).select("a", "p.b", "p.salt")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    """The pairs (a, b, salt), a written table, whose full sets are similar enough."""
+    heads = pairs.select("b", "salt").distinct().join(sets, F.col("b") == F.col("node")).select("b", "salt", F.col("set").alias("set_b"))
+    one = pairs.join(sets, F.col("a") == F.col("node")).select("a", "b", "salt", F.col("set").alias("set_a"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     whole = F.size("set_a") + F.size("set_b")
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (whole - both)).select("a", "b")
+    return one.join(heads, ["b", "salt"]).where(100 * both >= PERCENT * (whole - both)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,36 +200,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Each band orders the nodes in its own way, so a group that fills many buckets gets many different pivots.
     turned = F.col("node").bitwiseXOR(F.xxhash64("band"))
     back = lambda c: F.col(c).bitwiseXOR(F.xxhash64("band")).alias(c)
-    buckets = banded.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low < high")
-    buckets = written(buckets.select("band", back("low"), back("high")), "buckets")
+    buckets = banded.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high"), F.count("*").alias("crowd")).where("low < high")
+    buckets = written(buckets.select("band", back("low"), back("high"), "crowd"), "buckets")
     members = written(banded.join(buckets, "band"), "members")
 
     signs = written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least", "n", "sign"), "candidates")
     sets = _candidate_sets(docs, signs)
 
-    def open_pairs(pairs: DataFrame) -> DataFrame:
-        p, q = signs.select("node", "n", "sign").alias("p"), signs.select("node", "n", "sign").alias("q")
-        return pairs.join(p, F.col("a") == F.col("p.node")).join(q, (F.col("b") == F.col("q.node")) & _possible("p", "q")).select("a", "b")
-
-    spokes = [members.select(F.greatest("node", c).alias("a"), F.least("node", c).alias("b")) for c in ("low", "high")]
-    spokes = spokes[0].unionByName(spokes[1]).where("a <> b").distinct()
-    edges = written(_confirmed(open_pairs(spokes), sets), "spokes")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    spokes = [members.select(F.col("node").alias("a"), F.col(c).alias("b"), "crowd") for c in ("low", "high")]
+    spokes = spokes[0].unionByName(spokes[1]).where("a <> b").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    spokes = written(spokes.select("a", "b", deal("a", blocks("crowd")).alias("salt")), "pairs")
+    edges = written(_confirmed(written(_open(spokes, signs), "open"), sets), "spokes")
     roots = components(edges)
 
-    # What a bucket still holds apart: pairs of members in different components.
+    # What a bucket still holds apart: members outside its largest component, against members of other components.
     placed = members.select("band", "place", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
-    apart = written(placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band"), "apart")
-    held = placed.join(apart, "band", "left_semi")
+    apart = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("crowd"), F.count("*").alias("kinds"))
+    apart = apart.where("kinds > 1").select("band", F.col("major.root").alias("major"), "crowd", (F.col("crowd") - F.col("major.n")).alias("minors"))
+    held = placed.join(written(apart, "apart"), "band")
     longer = sets.join(held.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_long_signs, "node bigint, long_sign array<bigint>")
     facts = classes.select("node", "n", "sign", "bands").join(written(longer, "longer"), "node")
     held = written(held.join(facts, "node"), "held")
-    p, q = held.alias("p"), held.alias("q")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    p = held.withColumn("own", deal("node", blocks("crowd"))).withColumn("other", every(blocks("minors"))).alias("p")
+    q = held.where("root <> major").withColumn("other", deal("node", blocks("minors"))).withColumn("own", every(blocks("crowd"))).alias("q")
     # A pair comes out of the first band that it shares, not of every one.
     same = [F.element_at("p.bands", i + 1) == F.element_at("q.bands", i + 1) for i in range(BANDS)]
     first = reduce(lambda c, i: c.when(same[i], F.lit(i)), range(1, BANDS), F.when(same[0], F.lit(0)))
-    rest = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q") & (estimate(F.col("p.long_sign"), F.col("q.long_sign"), LONG_MINIMA, LONG_BITS) >= LONG_LEAST) & (first == F.col("p.place")))
-    rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "rest")
+    together = (F.col("p.band") == F.col("q.band")) & (F.col("p.own") == F.col("q.own")) & (F.col("p.other") == F.col("q.other"))
+    once = (F.col("p.root") != F.col("q.root")) & ((F.col("p.root") == F.col("p.major")) | (F.col("p.node") > F.col("q.node")))
+    rest = p.join(q, together & once & _possible("p", "q") & (estimate(F.col("p.long_sign"), F.col("q.long_sign"), LONG_MINIMA, LONG_BITS) >= LONG_LEAST) & (first == F.col("p.place")))
+    rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.own").alias("salt")), "rest")
     more = written(_confirmed(rest, sets), "links")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
