@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import pick, written
+from ._common import no_clash, pick, written
 
 #: Texts to learn from, words and n-grams to know, all of them by language.
 PER_LANGUAGE, WORDS, GRAMS = 3000, 100_000, 50_000
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, g
     if not sizes:
         return Model([], {}, {})
     bound = reduce(lambda c, i: c.when(F.col("lang") == i[0], F.lit(int(2**32 * min(1.0, per_language / i[1])))), sorted(sizes.items()), F.when(F.lit(False), F.lit(0)))
-    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < bound).select("lang", "text")
+    drawn = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(2**32)) < bound).select("lang", "text")
     counted = written(drawn.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     parts = written(counted.mapInArrow(_count_grams, "lang string, gram bigint, size int, n bigint").groupBy("lang", "gram", "size").agg(F.sum("n").alias("n")), "grams")
     languages = sorted(sizes)
@@ -292,6 +292,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, l
     The model learns from ``labelled`` (by default ``df`` itself) with the column ``lang_col``, where the
     condition ``learn(id column)`` holds.
     """
+    no_clash(carry, "doc_id", "lang_pred", "score")
     known = pick(labelled if labelled is not None else df, id_col, text_col, lang_col).toDF("id", "text", "lang")
     condition: Column = learn(F.col("id")) if learn is not None else F.lit(True)
     docs = pick(df, id_col, text_col, *carry).toDF("__id", "__text", *carry)
