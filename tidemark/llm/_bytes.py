@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -134,7 +134,7 @@ def word_hashes(buf: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tupl
     return hashes, np.searchsorted(which, np.arange(len(at)))
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], column: int, rows: int = 500, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, by rows and by bytes of one string column, so that memory stays low."""
     for batch in batches:
         at = 0
