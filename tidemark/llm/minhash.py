@@ -6,8 +6,8 @@ generate candidates, and the low four bits of every minimum are packed into eigh
 counts give a collision-corrected similarity that discards hopeless candidates.  What is left is confirmed
 on the full sets: 100 * |A n B| >= 75 * |A u B|.
 
-A bucket never compares all its pairs.  First each member is held against two pivots of its bucket, which
-differ from band to band, and connected classes are contracted.  In a bucket that still holds several components,
+A bucket never compares all its pairs.  First each member is held against one pivot of its bucket, which
+differs from band to band, and connected classes are contracted.  In a bucket that still holds several components,
 only members outside its largest one are held against the others: a bucket of N members of which r lie outside
 costs r * N comparisons, dealt in blocks of at most ``BLOCK`` by ``BLOCK`` members.  Pairs whose bit counts and
 sizes allow a link are confirmed.  Every link between candidates is thus found or already implied.  Where one
@@ -199,9 +199,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     banded = classes.select("node", F.posexplode("bands").alias("place", "band"))
     # Each band orders the nodes in its own way, so a group that fills many buckets gets many different pivots.
     turned = F.col("node").bitwiseXOR(F.xxhash64("band"))
-    back = lambda c: F.col(c).bitwiseXOR(F.xxhash64("band")).alias(c)
-    buckets = banded.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high"), F.count("*").alias("crowd")).where("low < high")
-    buckets = written(buckets.select("band", back("low"), back("high"), "crowd"), "buckets")
+    buckets = banded.groupBy("band").agg(F.min(turned).alias("pivot"), F.count("*").alias("crowd")).where("crowd > 1")
+    buckets = written(buckets.select("band", F.col("pivot").bitwiseXOR(F.xxhash64("band")).alias("pivot"), "crowd"), "buckets")
     members = written(banded.join(buckets, "band"), "members")
 
     signs = written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least", "n", "sign"), "candidates")
@@ -209,8 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    spokes = [members.select(F.col("node").alias("a"), F.col(c).alias("b"), "crowd") for c in ("low", "high")]
-    spokes = spokes[0].unionByName(spokes[1]).where("a <> b").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    spokes = members.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "crowd").where("a <> b").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
     spokes = written(spokes.select("a", "b", deal("a", blocks("crowd")).alias("salt")), "pairs")
     edges = written(_confirmed(written(_open(spokes, signs), "open"), sets), "spokes")
     roots = components(edges)
