@@ -30,6 +30,8 @@ class PointDesign:
     strata: tuple[str, ...] = ()
     treatment_kind: str = "discrete"
     weights_type: str = "sampling"
+    check_ids: bool = True
+    """Counting different ids shuffles them all; a table whose key is known to be unique need not be asked."""
 
     def roles(self) -> list[str]:
         named = [self.outcome, self.treatment, self.id, self.delta, self.weights, self.cluster, self.intermediate]
@@ -72,6 +74,18 @@ class PointFrame:
         """The outcome on [0, 1]; 0 where it was not observed."""
         return F.when(F.col("delta") == 1, (F.col("y") - lit(self.low)) / lit(self.span)).otherwise(lit(0))
 
+    def to_frame(self) -> DataFrame:
+        """The frame with labels again: id, y, the arm's level, and what the design declared."""
+        level = F.col("a") if self.dose else F.element_at(F.array(*(F.lit(str(v)) for v in self.levels)), F.col("a") + 1)
+        more = [c for c, there in (("delta", self.has_delta), ("w", self.weighted), ("cluster", self.has_cluster), ("z", self.has_intermediate), ("s", self.has_strata)) if there]
+        return self.df.select("id", "y", level.alias("a"), *more, *self.x, *(c for c in self.cells if c not in self.x))
+
+    def estimand_lines(self) -> list[str]:
+        """What population the estimates speak of."""
+        if not self.weighted:
+            return [f"every one of the {self.n} rows counts alike"]
+        return [f"rows are weighted to the population that the weights describe: {self.n} rows, effective size {self.effective_n:.1f}", "estimates are of that population, not of the sample"]
+
     def with_df(self, df: DataFrame) -> PointFrame:
         return replace(self, df=df)
 
@@ -151,7 +165,7 @@ def point_frame(df: DataFrame, design: PointDesign, q_bounds: tuple[float, float
     seen = F.col("delta") == 1
     checks = [
         F.count("*").alias("n"),
-        F.count_distinct("id").alias("ids"),
+        (F.count_distinct("id") if design.check_ids else F.count("id")).alias("ids"),
         F.sum(F.when(seen & (F.col("y").isNull() | F.isnan("y")), 1).otherwise(0)).alias("bad_y"),
         F.sum(F.when(F.col("delta").isin(0.0, 1.0), 0).otherwise(1)).alias("bad_delta"),
         F.sum(F.when(F.col("a").isNull(), 1).otherwise(0)).alias("bad_a"),
@@ -218,6 +232,25 @@ def point_frame(df: DataFrame, design: PointDesign, q_bounds: tuple[float, float
     )
 
 
+def frame_from_arrays(spark, outcome: Sequence, treatment: Sequence, covariates, *, covariate_names: Sequence[str] | None = None, delta: Sequence | None = None, weights: Sequence | None = None, cluster: Sequence | None = None, weights_type: str = "sampling") -> PointFrame:
+    """A point frame from arrays on the driver; ids are places."""
+    import numpy as np
+    import pandas as pd
+
+    block = np.asarray(covariates, float)
+    block = block[:, None] if block.ndim == 1 else block
+    names = list(covariate_names or (f"w{i + 1}" for i in range(block.shape[1])))
+    if len(names) != block.shape[1] or len(block) != len(outcome) or len(treatment) != len(outcome):
+        raise StudyError("arrays of one length, and a name for each covariate, are needed")
+    table = pd.DataFrame({"id": np.arange(len(outcome)), "y": np.asarray(outcome, float), "a": list(treatment), **{n: block[:, i] for i, n in enumerate(names)}})
+    more = {"delta": delta, "weights": weights, "cluster": cluster}
+    for name, values in more.items():
+        if values is not None:
+            table[name] = list(values)
+    roles = {name: name for name, values in more.items() if values is not None}
+    return point_frame(spark.createDataFrame(table), PointDesign("y", "a", "id", tuple(names), weights_type=weights_type, **roles))
+
+
 def arm_fractions(frame: PointFrame) -> DataFrame:
     """(level, fraction): weighted share of each arm."""
     names = F.array(*(F.lit(str(v)) for v in frame.levels))
@@ -228,7 +261,7 @@ def arm_fractions(frame: PointFrame) -> DataFrame:
 
 def describe_weights(frame: PointFrame) -> dict[str, float]:
     """Effective size, variation, extremes and the share of the largest weights."""
-    from pyspark.sql import Window as W
+    from .operators.order import order_statistics
 
     d = frame.df
     r = d.agg(
@@ -236,14 +269,11 @@ def describe_weights(frame: PointFrame) -> dict[str, float]:
         F.min("w").alias("low"), F.max("w").alias("high"), F.sum(F.when(F.col("w") == 0, 1).otherwise(0)).alias("zeros"),
     ).first()
     out = {"n": r["n"], "effective_n": r["s"] ** 2 / r["s2"], "cv": r["sd"] / (r["s"] / r["n"]), "max_over_mean": r["high"] * r["n"] / r["s"], "zeros": r["zeros"]}
-    # The share of the top rows comes from counts by weight, so no window runs over all rows.
-    byw = d.groupBy("w").agg(F.count("*").alias("c"))
-    run = W.orderBy(F.desc("w"), F.desc("c")).rowsBetween(W.unboundedPreceding, -1)
-    byw = byw.withColumn("before", F.coalesce(F.sum("c").over(run), F.lit(0)))
-    for share in (0.01, 0.05):
-        k = -(-int(share * 1e6) * r["n"] // 10**6)
-        top = byw.agg(F.sum(F.col("w") * F.greatest(F.least(F.col("c"), F.lit(k) - F.col("before")), F.lit(0))).alias("t")).first()["t"]
-        out[f"top_{int(share * 100)}pct"] = top / r["s"]
+    tops = {share: -(-int(share * 1e6) * r["n"] // 10**6) for share in (0.01, 0.05)}
+    edges = order_statistics(d, "w", [r["n"] - k for k in tops.values()], r["n"])
+    for (share, k), edge in zip(tops.items(), edges, strict=True):
+        over = d.agg(F.sum(F.when(F.col("w") > lit(edge), F.col("w")).otherwise(lit(0))), F.sum(F.when(F.col("w") > lit(edge), 1).otherwise(0))).first()
+        out[f"top_{int(share * 100)}pct"] = (over[0] + (k - over[1]) * edge) / r["s"]
     return out
 
 
@@ -289,6 +319,10 @@ class LongitudinalFrame:
     high: float = 1.0
     history: tuple[tuple[str, ...], ...] = field(default=())
 
+    def baseline_frame(self) -> DataFrame:
+        """id and the baseline covariates."""
+        return self.df.select("id", *(F.col(f"l_0_{c}").alias(c) for c in self.design.baseline))
+
 
 def longitudinal_frame(df: DataFrame, d: LongitudinalDesign, q_bounds: tuple[float, float] | None = None) -> LongitudinalFrame:
     """Select the canonical columns and count every violation in one aggregate.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CapabilityError, StudyError
 from ..functions.expr import by_code, clip, indicator, lit
+from .order import quantiles
 
 
 @dataclass(frozen=True)
@@ -155,6 +156,21 @@ def stratified(components: Sequence[Component], strata: Mapping[str, float]) ->
     return out
 
 
+def tilt_support(df: DataFrame, tilts: Mapping[str, float], extreme: float = 0.01) -> DataFrame:
+    """Per odds tilt: extremes and effective size of the ratio of the tilted to the natural mechanism, and the weighted share of rows near 0 or 1, where a tilt moves nothing."""
+    done = None
+    for name, delta in tilts.items():
+        _, _, h0, h1, _ = tilt_parts(delta, F.col("g_1"))
+        ratio = by_code(F.col("a"), [h0, h1])
+        part = df.select(ratio.alias("r"), F.col("g_1").alias("g"), F.col("w")).agg(
+            F.min("r").alias("min_ratio"), F.max("r").alias("max_ratio"), (F.sum(F.col("w") * F.col("r")) ** 2 / F.sum((F.col("w") * F.col("r")) ** 2)).alias("effective_n"),
+            (F.sum(F.col("w") * indicator(F.least("g", lit(1) - F.col("g")) < extreme)) / F.sum("w")).alias("extreme"),
+        )
+        part = part.select(F.lit(name).alias("tilt"), "*")
+        done = part if done is None else done.unionByName(part)
+    return done
+
+
 def check_support(df: DataFrame, regimes: Mapping[str, Sequence[Column]], arms: int, thresholds: Sequence[float] = (0.01, 0.025, 0.05, 0.1)) -> DataFrame:
     """Per regime: least supported g, extremes and effective size of the ratio, tail mass and unsupported rows."""
     done = None
@@ -163,7 +179,7 @@ def check_support(df: DataFrame, regimes: Mapping[str, Sequence[Column]], arms:
         ratio = by_code(F.col("a"), list(density)) / g
         least = F.least(*(F.when(density[k] > 0, F.col(f"g_{k}")).otherwise(lit(1)) for k in range(arms)), lit(1))
         part = df.select(ratio.alias("r"), least.alias("m"), F.col("w")).agg(
-            F.min("m").alias("min_g"), F.max("r").alias("max_ratio"), F.percentile("r", F.lit(0.99)).alias("ratio_q99"),
+            F.min("m").alias("min_g"), F.max("r").alias("max_ratio"), lit(quantiles(df, ratio, (0.99,))[0]).alias("ratio_q99"),
             (F.sum(F.col("w") * F.col("r")) ** 2 / F.sum((F.col("w") * F.col("r")) ** 2)).alias("effective_n"), F.sum(F.when(F.col("m") <= 0, 1).otherwise(0)).alias("unsupported"),
             *((F.sum(F.col("w") * indicator(F.col("m") < t)) / F.sum("w")).alias(f"below_{str(t)[2:]}") for t in thresholds),
         )

@@ -16,7 +16,8 @@ from ..functions.expr import clip, indicator, lit, shrink, total
 from .covariate import Component
 from .folds import with_folds
 from .learn import LinearGram, LogisticNewton, Task
-from .point import Config, Nuisances, Param, Result, Targeted, estimate, residual
+from .order import quantiles
+from .point import Config, Nuisances, Param, Result, Targeted, estimate, released, residual
 from .target import Fluctuation, moved, solve_fluctuation
 
 
@@ -24,7 +25,7 @@ def bin_edges(df: DataFrame, column: str, bins: int = 20) -> list[float]:
     """Equal-mass edges without repetitions; the outer ones are widened so that every dose is inside."""
     if bins < 3:
         raise StudyError("a density needs three bins at least")
-    q = df.agg(F.percentile(column, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0]
+    q = quantiles(df, column, [i / bins for i in range(bins + 1)])
     edges = sorted(set(q))
     if len(edges) < 2:
         raise StudyError("the dose is constant")
@@ -119,7 +120,7 @@ def shift_means(f: PointFrame, shifts: Mapping[str, Shift], config: Config = Con
         df = q.predict(df, f"q_{i}", *design(s.apply(F.col("a"))))
     if config.fluctuation == "logistic":
         df = df.withColumns({c: shrink(F.col(c)) for c in ["q_obs", *(f"q_{i}" for i in range(len(names)))]})
-    df = df.persist()
+    df = released(df.persist())
     # Component i moves the regression at a dose by the ratio of shift i there, also at the doses that shifts lead to.
     ratios = lambda a: [s.ratio(d, a) for s in shifts.values()]
     at = {i: ratios(s.apply(F.col("a"))) for i, s in enumerate(shifts.values())}

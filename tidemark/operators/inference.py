@@ -61,6 +61,56 @@ def frame_of(spark, estimates: Sequence[Estimate]) -> DataFrame:
     return spark.createDataFrame([e.row() for e in estimates], ROW)
 
 
+@dataclass(frozen=True)
+class ParameterKey:
+    """What a reported parameter is, by its parts and not by its name."""
+
+    alias: str
+    estimand: str
+    axis: str
+    value: str = ""
+    reference: str = ""
+    stratum: str = ""
+
+
+def parameter_key(e: Estimate) -> ParameterKey:
+    return ParameterKey(e.name, e.estimand or e.name, e.axis, e.arm, e.reference, e.stratum)
+
+
+def arm_parameters(estimates: Sequence[Estimate]) -> dict[str, tuple[str, ...]]:
+    """Reported name -> the arms it speaks of, the reference last; only parameters on the arm axis."""
+    return {e.name: tuple(x for x in (e.arm, e.reference) if x) for e in estimates if e.axis == "arm"}
+
+
+def select_estimates(estimates: Sequence[Estimate], names: Sequence[str]) -> list[Estimate]:
+    """The named estimates in the order asked for; unknown names are refused."""
+    known = {e.name: e for e in estimates}
+    unknown = [n for n in names if n not in known]
+    if unknown:
+        raise StudyError(f"no parameters {unknown}; there are {list(known)}")
+    return [known[n] for n in names]
+
+
+def coefficient_frame(spark, estimates: Sequence[Estimate], scale: str = "link") -> DataFrame:
+    """(term, psi, std_err, ci_lower, ci_upper) of a working model's coefficients."""
+    if scale not in ("link", "ratio"):
+        raise StudyError(f"unknown scale {scale!r}")
+    held = [e for e in estimates if e.estimand == "msm"]
+    if not held:
+        raise StudyError("the result has no working model")
+    turn = math.exp if scale == "ratio" else float
+    return spark.createDataFrame([(e.arm, turn(e.psi), e.std_err, *map(turn, e.interval())) for e in held], "term string, psi double, std_err double, ci_lower double, ci_upper double")
+
+
+def repeat_spread(spark, repeats: Sequence[Sequence[Estimate]]) -> DataFrame:
+    """(estimand, repeats, mean, spread): how much an estimate moves between repeated cross-fits, on its centre's scale."""
+    rows = []
+    for same in zip(*repeats, strict=True):
+        values = np.array([e.center for e in same])
+        rows.append((same[0].name, len(values), float(values.mean()), float(values.std(ddof=1)) if len(values) > 1 else 0.0))
+    return spark.createDataFrame(rows, "estimand string, repeats int, mean double, spread double")
+
+
 def covariance(rows: DataFrame, names: Sequence[str], cluster: str | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(means, covariance of the estimates, n) from IC columns: one aggregate, after sums by cluster if there are any."""
     d = len(names)

@@ -7,16 +7,20 @@ number of designs.  With a ``fold`` column, a row's prediction never used its ow
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StudyError
 from ..functions.expr import clip, expit, indicator, lit, total
+from ..sources.store import durable
 
 FOLD = "fold"
 
@@ -54,6 +58,10 @@ def _dot(coefficients: np.ndarray, features: Sequence[Column], folds: int) -> Co
     return total(pick(j) * f for j, f in enumerate(x))
 
 
+#: Cells that are gathered once and handed to every executor; more are written and joined by a shuffle.
+CELL_ROWS = 20_000
+
+
 class CellMean:
     """Saturated regression: the weighted mean of each cell, out of fold where folds are given.
 
@@ -67,20 +75,21 @@ class CellMean:
         stats = rows.select(*keys, task.weight.alias("sw"), (task.weight * task.target).alias("swy"))
         by = names + ([FOLD] if task.folds else [])
         stats = stats.groupBy(*by).agg(F.sum("sw").alias("sw"), F.sum("swy").alias("swy"))
+        found = stats.limit(CELL_ROWS + 1).collect()
+        if len(found) <= CELL_ROWS:
+            return _few_cells(stats, found, names, task.folds)
+        stats = durable(stats, "cells")
         if not task.folds:
             margin = stats.agg(F.sum("swy") / F.sum("sw")).first()[0]
             return _CellFit(stats.select(*names, (F.col("swy") / F.col("sw")).alias("m")), names, lit(margin), False)
         byfold = {r[FOLD]: (r["sw"], r["swy"]) for r in stats.groupBy(FOLD).agg(F.sum("sw").alias("sw"), F.sum("swy").alias("swy")).collect()}
-        w, wy = (sum(v[i] for v in byfold.values()) for i in (0, 1))
-        margins = [(wy - byfold.get(v, (0, 0))[1]) / max(w - byfold.get(v, (0, 0))[0], 1e-300) for v in range(task.folds)]
-        margin = F.element_at(F.array(*(lit(m) for m in margins)), F.col(FOLD) + 1)
+        margin = _by_fold(_margins(byfold, task.folds))
         # A map from fold to sums, so every cell knows what each fold added to it.
         cell = stats.groupBy(*names).agg(F.sum("sw").alias("tw"), F.sum("swy").alias("twy"), F.map_from_entries(F.collect_list(F.struct(FOLD, F.struct("sw", "swy")))).alias("own"))
         spread = cell.withColumn(FOLD, F.explode(F.sequence(F.lit(0), F.lit(task.folds - 1)))).withColumn("o", F.col("own")[F.col(FOLD)])
         left = F.col("tw") - F.coalesce(F.col("o.sw"), lit(0))
         mean = F.when(left > 1e-9 * F.col("tw"), (F.col("twy") - F.coalesce(F.col("o.swy"), lit(0))) / left)
-        return _CellFit(spread.select(*names, FOLD, mean.alias("m")), names, margin, True)
-
+        return _CellFit(durable(spread.select(*names, FOLD, mean.alias("m")), "cells"), names, margin, True)
 
     def shares(self, df: DataFrame, code: Column, levels: int, weight: Column, cells: Sequence[Column], outs: Sequence[str]) -> DataFrame:
         """Add the share of every level of ``code`` within each cell: one aggregate and one join for all levels."""
@@ -88,13 +97,53 @@ class CellMean:
         rows = df.select(*(c.alias(n) for c, n in zip(cells, names, strict=True)), code.alias("code__"), weight.alias("w__"))
         sums = [(F.sum(indicator(F.col("code__") == k) * F.col("w__")) / F.sum("w__")).alias(o) for k, o in enumerate(outs[:levels])]
         t = rows.groupBy(*names).agg(*sums)
+        found = t.limit(CELL_ROWS + 1).collect()
+        t = F.broadcast(df.sparkSession.createDataFrame(found, t.schema)) if len(found) <= CELL_ROWS else durable(t, "shares")
         if not names:
-            return df.crossJoin(F.broadcast(t))  # one row
+            return df.crossJoin(t)  # one row
         keyed = df.withColumns({n + "__k": c for n, c in zip(names, cells, strict=True)})
         joined = keyed.join(t, [keyed[n + "__k"].eqNullSafe(t[n]) for n in names])
         return joined.select(*(keyed[c] for c in df.columns), *(t[o] for o in outs))
 
 
+def _margins(byfold: dict, folds: int) -> list[float]:
+    """The mean over all other folds, for each fold."""
+    w, wy = (sum(v[i] or 0.0 for v in byfold.values()) for i in (0, 1))
+    return [(wy - (byfold.get(v, (0, 0))[1] or 0.0)) / max(w - (byfold.get(v, (0, 0))[0] or 0.0), 1e-300) for v in range(folds)]
+
+
+def _by_fold(values: Sequence[float]) -> Column:
+    return F.element_at(F.array(*(lit(m) for m in values)), F.col(FOLD) + 1)
+
+
+def _few_cells(stats: DataFrame, found: list, names: list[str], folds: int) -> _CellFit:
+    """The same from sums that have been gathered: the table of means is local, and is broadcast."""
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+    spark, n = stats.sparkSession, len(names)
+    fields = [StructField(f.name, f.dataType) for f in stats.schema.fields[:n]]
+    if not folds:
+        w, wy = (sum(r[k] or 0.0 for r in found) for k in ("sw", "swy"))
+        rows = [(*r[:n], r["swy"] / r["sw"] if r["sw"] and r["swy"] is not None else None) for r in found]
+        table = spark.createDataFrame(rows, StructType([*fields, StructField("m", DoubleType())]))
+        return _CellFit(F.broadcast(table), names, lit(wy / w if w else 0.0), False)
+    byfold: dict[int, tuple[float, float]] = {}
+    cells: dict[tuple, dict[int, tuple[float, float]]] = {}
+    for r in found:
+        sw, swy = r["sw"] or 0.0, r["swy"] or 0.0
+        held = byfold.get(r[FOLD], (0.0, 0.0))
+        byfold[r[FOLD]] = (held[0] + sw, held[1] + swy)
+        cells.setdefault(tuple(r[:n]), {})[r[FOLD]] = (sw, swy)
+    rows = []
+    for key, own in cells.items():
+        tw, twy = (sum(v[i] for v in own.values()) for i in (0, 1))
+        for v in range(folds):
+            sw, swy = own.get(v, (0.0, 0.0))
+            rows.append((*key, v, (twy - swy) / (tw - sw) if tw - sw > 1e-9 * tw else None))
+    table = spark.createDataFrame(rows, StructType([*fields, StructField(FOLD, IntegerType()), StructField("m", DoubleType())]))
+    return _CellFit(F.broadcast(table), names, _by_fold(_margins(byfold, folds)), True)
+
+
 @dataclass(frozen=True)
 class _CellFit:
     table: DataFrame
@@ -102,23 +151,28 @@ class _CellFit:
     margin: Column
     by_fold: bool
 
+    def _joined(self, df: DataFrame, t: DataFrame, names: list[str], cells: Sequence[Column], outs: dict[str, Column]) -> DataFrame:
+        """``df`` with columns of ``t`` joined on cells, nulls included, and on the fold; ``t`` has its fold as fold__t."""
+        keyed = df.withColumns({n + "__k": c for n, c in zip(names, cells, strict=True)})
+        on = [keyed[n + "__k"].eqNullSafe(t[n]) for n in names] + ([keyed[FOLD] == t["fold__t"]] if self.by_fold else [])
+        joined = keyed.join(t, on, "left") if on else keyed.crossJoin(F.broadcast(t))  # one row when there are no cells
+        return joined.select(*(keyed[c] for c in df.columns), *(c.alias(o) for o, c in outs.items()))
+
     def predict_arms(self, df: DataFrame, outs: Sequence[str], others: Sequence[Column]) -> DataFrame:
         """Predictions at arms 0, 1, .. of a fit whose first cell is the arm: one join, as arms of a cell are few."""
         rest = self.names[1:]
         keys = rest + ([FOLD] if self.by_fold else [])
-        by_arm = F.map_from_entries(F.collect_list(F.struct(F.col(self.names[0]), F.col("m")))).alias("arms__m")
-        t = self.table.groupBy(*keys).agg(by_arm).withColumnsRenamed({FOLD: "arms__fold"})
-        keyed = df.withColumns({n + "__k": c for n, c in zip(rest, others, strict=True)})
-        on = [keyed[n + "__k"].eqNullSafe(t[n]) for n in rest] + ([keyed[FOLD] == t["arms__fold"]] if self.by_fold else [])
-        joined = keyed.join(t, on, "left") if on else keyed.crossJoin(F.broadcast(t))  # one row when there are no cells
-        return joined.select(*(keyed[c] for c in df.columns), *(F.coalesce(F.try_element_at("arms__m", F.lit(k)), self.margin).alias(o) for k, o in enumerate(outs)))
+        at = [F.max(F.when(F.col(self.names[0]) == k, F.col("m"))).alias(f"arm__{k}") for k in range(len(outs))]
+        t = F.broadcast(self.table.groupBy(*keys).agg(*at)) if self._local() else self.table.groupBy(*keys).agg(*at)
+        t = t.withColumnsRenamed({FOLD: "fold__t"})
+        return self._joined(df, t, rest, others, {o: F.coalesce(F.col(f"arm__{k}"), self.margin) for k, o in enumerate(outs)})
 
     def predict(self, df: DataFrame, out: str, features: Sequence[Column], cells: Sequence[Column]) -> DataFrame:
-        t = self.table.withColumnsRenamed({"m": out + "__m", FOLD: out + "__fold"})
-        keyed = df.withColumns({n + "__k": c for n, c in zip(self.names, cells, strict=True)})
-        on = [keyed[n + "__k"].eqNullSafe(t[n]) for n in self.names] + ([keyed[FOLD] == t[out + "__fold"]] if self.by_fold else [])
-        joined = keyed.join(t, on, "left") if on else keyed.crossJoin(F.broadcast(t))  # one row when there are no cells
-        return joined.select(*(keyed[c] for c in df.columns), F.coalesce(F.col(out + "__m"), self.margin).alias(out))
+        t = self.table.withColumnsRenamed({"m": out + "__m", FOLD: "fold__t"})
+        return self._joined(df, t, self.names, cells, {out: F.coalesce(F.col(out + "__m"), self.margin)})
+
+    def _local(self) -> bool:
+        return bool(self.table._jdf.queryExecution().logical().getClass().getSimpleName() == "ResolvedHint")
 
 
 class LinearGram:
@@ -150,6 +204,28 @@ class LinearGram:
         return _LinearFit(np.array(each), task.folds, False)
 
 
+    def fit_pairs(self, df: DataFrame, task: Task, features: Sequence[Column]) -> dict[tuple[int, int], np.ndarray]:
+        """Coefficients without two folds at a time, {(v, u): b} for v > u: the whole less the sums of both, from one aggregate."""
+        x = [lit(1), *features]
+        p = len(x)
+        sums = [F.sum(task.weight * x[i] * x[j]) for i in range(p) for j in range(i, p)] + [F.sum(task.weight * x[i] * task.target) for i in range(p)]
+        parts = {}
+        for r in task.on(df).groupBy(FOLD).agg(*sums).collect():
+            g = np.zeros((p, p))
+            g[np.triu_indices(p)] = [v or 0.0 for v in r[1 : 1 + p * (p + 1) // 2]]
+            parts[r[0]] = (g + np.triu(g, 1).T, np.array([v or 0.0 for v in r[1 + p * (p + 1) // 2 :]]))
+        whole = [sum(v[i] for v in parts.values()) for i in (0, 1)]
+        none = (np.zeros((p, p)), np.zeros(p))
+        left = lambda v, u, i: whole[i] - parts.get(v, none)[i] - parts.get(u, none)[i]
+        return {(v, u): solve(left(v, u, 0), left(v, u, 1)) for v in range(task.folds) for u in range(v)}
+
+
+def companion(model: Any, extra: DataFrame, folds: int, out: str, features: Sequence[Column], cells: Sequence[Column]) -> DataFrame:
+    """Rows that no fold holds, once for every fold, with the prediction of the model that left that fold out."""
+    each = extra.withColumn(FOLD, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    return model.predict(each, out, features, cells)
+
+
 @dataclass(frozen=True)
 class _LinearFit:
     coefficients: np.ndarray
@@ -260,7 +336,7 @@ class SuperLearner:
             fits.append(self._fit_one(df, Task(task.target, task.weight, where, 0, task.binary), features, cells))
         return _SuperFit(fits, task.folds)
 
-    def _fit_one(self, df: DataFrame, task: Task, features: Sequence[Column], cells: Sequence[Column]) -> tuple[np.ndarray, list, list[str]]:
+    def _fit_one(self, df: DataFrame, task: Task, features: Sequence[Column], cells: Sequence[Column]) -> tuple[np.ndarray, list, list[str], list[float]]:
         from .folds import hash32
 
         names = []
@@ -271,16 +347,25 @@ class SuperLearner:
             try:
                 z = learner.fit(rows, Task(task.target, task.weight, None, self.inner_folds, task.binary), features, cells).predict(z, f"z_{len(names)}", features, cells)
                 names.append((name, learner))
-            except (StudyError, np.linalg.LinAlgError):
-                continue
+            except (StudyError, np.linalg.LinAlgError, PySparkException, Py4JError) as why:
+                warnings.warn(f"the candidate {name!r} failed and is dropped: {str(why)[:200]}", stacklevel=2)
         if not names:
             raise StudyError("every candidate failed")
         z = z.persist()
         k = len(names)
         weights = self._nll(z, task, k) if task.binary and self.loss in ("auto", "nll") else self._nnls(z, task, k)
+        risks = self._risks(z, task, weights)
         z.unpersist()
         whole = [learner.fit(rows, Task(task.target, task.weight, None, 0, task.binary), features, cells) for _, learner in names]
-        return weights, whole, [n for n, _ in names]
+        return weights, whole, [n for n, _ in names], risks
+
+    @staticmethod
+    def _risks(z: DataFrame, task: Task, weights: np.ndarray) -> list[float]:
+        """Cross-validated squared error of every candidate, and of their combination last."""
+        k = len(weights)
+        mixed = total(lit(c) * F.col(f"z_{i}") for i, c in enumerate(weights))
+        r = z.agg(F.sum(task.weight), *(F.sum(task.weight * (task.target - p) ** 2) for p in [*(F.col(f"z_{i}") for i in range(k)), mixed])).first()
+        return [v / r[0] for v in r[1:]]
 
     @staticmethod
     def _nnls(z: DataFrame, task: Task, k: int) -> np.ndarray:
@@ -307,9 +392,14 @@ class _SuperFit:
     fits: list
     folds: int
 
+    def risk_frame(self, spark: Any) -> DataFrame:
+        """(fold, candidate, weight, risk) by outer fold, -1 where there are none; the combination's own risk has no weight."""
+        rows = [(v if self.folds else -1, n, w, r) for v, (weights, _, names, risks) in enumerate(self.fits) for n, w, r in zip([*names, "combination"], [*map(float, weights), None], risks, strict=True)]
+        return spark.createDataFrame(rows, "fold int, candidate string, weight double, risk double")
+
     def predict(self, df: DataFrame, out: str, features: Sequence[Column], cells: Sequence[Column]) -> DataFrame:
         done = None
-        for v, (weights, learners, _) in enumerate(self.fits):
+        for v, (weights, learners, _, _) in enumerate(self.fits):
             part = df.where(F.col(FOLD) == v) if self.folds else df
             for i, learner in enumerate(learners):
                 part = learner.predict(part, f"sl__{i}", features, cells)

@@ -7,6 +7,7 @@ the driver are sums.
 from __future__ import annotations
 
 import math
+import weakref
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -21,9 +22,9 @@ from ..functions.expr import by_code, indicator, lit, shrink, total
 from ..sources.store import durable
 from . import covariate as C
 from .folds import with_folds
-from .inference import Estimate, covariance, cross_validated_variance
+from .inference import Estimate, coefficient_frame, covariance, cross_validated_variance, select_estimates
 from .learn import FOLD, CellMean, LinearGram, LogisticNewton, Task, solve
-from .target import Fluctuation, apply, solve_fluctuation, solve_mechanism, solve_one_step, tilted
+from .target import MECHANISMS, Fluctuation, apply, register_mechanism, solve_fluctuation, solve_mechanism, solve_one_step, tilted
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,19 @@ class Config:
     tol: float = 1e-10
 
 
+def released(df: DataFrame) -> DataFrame:
+    """A persisted frame whose cache goes when nothing refers to the frame any more."""
+    weakref.finalize(df, _drop, df._jdf)
+    return df
+
+
+def _drop(jdf: Any) -> None:
+    try:
+        jdf.unpersist(False)
+    except Exception:  # noqa: BLE001  (the session may be gone by then)
+        pass
+
+
 @dataclass
 class Nuisances:
     """The nuisance table: canonical columns, ys, fold, g_k, pi_k, qz_k, q_k and q_obs."""
@@ -122,7 +136,7 @@ def fit_nuisances(f: PointFrame, config: Config, z: int | None = None) -> Nuisan
         df = q.predict(df, "q_obs", _features(f, F.col("a"), zc), [F.col("a"), F.col("z"), *inner])
     if config.fluctuation == "logistic":
         df = df.withColumns({c: shrink(F.col(c)) for c in ["q_obs", *(f"q_{k}" for k in arms)]})
-    df = df.persist()
+    df = released(df.persist())
     shares = {r["a"]: r["s"] for r in df.groupBy("a").agg((F.sum("w") / lit(f.n)).alias("s")).collect()}
     return Nuisances(f, df, config, z, tuple(shares.get(k, 0.0) for k in arms))
 
@@ -143,6 +157,8 @@ class Targeted:
     fluctuation: Fluctuation
     setting: C.Setting
     epsilon_g: float = 0.0
+    again: Callable[[DataFrame], DataFrame] | None = None
+    """Adds qs_obs and qs_k to any frame with the nuisance columns, so that several groups share one frame."""
 
 
 def target(n: Nuisances, group: str, **more: Any) -> Targeted:
@@ -164,14 +180,25 @@ def _solve(n: Nuisances, df: DataFrame, components: Sequence[C.Component], s: C.
     c = n.config
     use, extra = (components, None) if not c.target_weights else C.weighted_form(components)
     if extra is not None:
-        # Components of one group are zero together or apart; the row's magnitude is the largest of them.
+        # Where several components can be non-zero in one row, no single loss weight has all their scores.
+        if len(extra) > 1 and group != "mean":
+            raise CapabilityError(f"the covariate of {group} cannot move into the loss weight: its components overlap")
         extra = F.greatest(*extra) if len(extra) > 1 else extra[0]
     if c.algorithm == "one_step":
         fl = solve_one_step(df, use)
     else:
         fl = solve_fluctuation(df, use, kind=c.fluctuation, target_weight=extra, folds=c.folds if c.fold_targeting else 0, max_iter=c.max_iter, tol=c.tol)
-    done = apply(df, use, fl, range(n.frame.arms), c.fluctuation)
-    return Targeted(group, done, components, fl, s)
+    again = lambda d: apply(d, use, fl, range(n.frame.arms), c.fluctuation)
+    return Targeted(group, again(df), components, fl, s, again=again)
+
+
+def _tilt_mechanism(delta: float) -> Column:
+    """How the tilted mean moves with g: the covariate of the mechanism's score."""
+    *_, slope = C.tilt_parts(delta, F.col("g_1"))
+    return slope * (F.col("qs_1") - F.col("qs_0"))
+
+
+register_mechanism("ipsi", _tilt_mechanism, replace=True)
 
 
 def _target_tilt(n: Nuisances, s: C.Setting, rounds: int = 50) -> Targeted:
@@ -179,12 +206,12 @@ def _target_tilt(n: Nuisances, s: C.Setting, rounds: int = 50) -> Targeted:
     if len(s.tilts) != 1:
         raise CapabilityError("one tilt is targeted at a time")
     (delta,) = s.tilts.values()
-    df = n.df.withColumn("g_start", F.col("g_1"))
+    needed = ["id", "cluster", "w", "a", "ys", "delta", "q_obs", *(c for c in n.df.columns if c.startswith(("q_", "g_", "pi_")) and c != "q_obs"), *([FOLD] if n.folds else [])]
+    df = n.df.select(*needed)
     eps_total = 0.0
     for _ in range(rounds):
         done = _solve(n, df, C.GROUPS["ipsi"](s), s, "ipsi")
-        *_, slope = C.tilt_parts(delta, F.col("g_1"))
-        h = slope * (F.col("qs_1") - F.col("qs_0"))
+        h = MECHANISMS["ipsi"](delta)
         table = done.df
         eps = solve_mechanism(table, h, tol=1e-12)
         eps_total += abs(eps)
@@ -234,6 +261,13 @@ class Result:
 
         return frame_of(self.rows.sparkSession, self.estimates)
 
+    def coefficients(self, scale: str = "link") -> DataFrame:
+        """(term, psi, std_err, ci_lower, ci_upper) of a working model; ``scale="ratio"`` exponentiates what is on a log or logit scale."""
+        return coefficient_frame(self.rows.sparkSession, self.estimates, scale)
+
+    def select(self, names: Sequence[str]) -> list[Estimate]:
+        return select_estimates(self.estimates, names)
+
     def influence_frame(self) -> DataFrame:
         return self.rows.select("id", *(F.col(c).alias(e.name) for c, e in zip(self.curves, self.estimates, strict=True)))
 
@@ -275,13 +309,17 @@ def resolve_estimands(f: PointFrame, requested: Sequence[str], z: int | None = N
     return list(requested)
 
 
+def mean_parts(t: Targeted, arm: int) -> tuple[Column, Column]:
+    """The two halves of an arm mean's curve before weighting: the weighted residual, and the plug-in."""
+    return t.components[arm].observed * residual(t), F.col(f"qs_{arm}")
+
+
 def arm_params(n: Nuisances, t: Targeted, requested: Sequence[str]) -> list[Param]:
     """Means, contrasts, ratios and attributable effects from one targeting of the arm means."""
     f, span, low = n.frame, n.frame.span, n.frame.low
     arms = range(f.arms)
     psi = _weighted_mean(t.df, {f"q{k}": F.col(f"qs_{k}") for k in arms} | {"y": F.col("ys")})
-    r = residual(t)
-    d = {k: F.col("w") * (t.components[k].observed * r + F.col(f"qs_{k}") - lit(psi[f"q{k}"])) for k in arms}
+    d = {k: F.col("w") * (sum(mean_parts(t, k)) - lit(psi[f"q{k}"])) for k in arms}
     d_y = F.col("w") * (F.col("ys") - lit(psi["y"]))
     names, ref = [str(v) for v in f.levels], n.config.reference
     others = [k for k in arms if k != ref]
@@ -360,17 +398,41 @@ def tilt_params(n: Nuisances, t: Targeted) -> list[Param]:
     return _axis_params(n, t, mixes, "ipsi", False, extra)
 
 
+def contrasts(result: Result, stem: str) -> Result:
+    """``result`` with the difference of every level from the first, read off the joint curves and covariance."""
+    first, *others = result.estimates
+    found, lift = list(result.estimates), [np.eye(len(result.estimates))]
+    rows, curves = result.rows, list(result.curves)
+    for j, e in enumerate(others, 1):
+        row = np.zeros(len(result.estimates))
+        row[j], row[0] = 1.0, -1.0
+        lift.append(row[None, :])
+        se = math.sqrt(max(float(row @ result.cov @ row), 0.0))
+        found.append(replace(e, name=label(stem, e.arm, first.arm), psi=e.psi - first.psi, std_err=se, scale="difference", estimand=stem, reference=first.arm))
+        name = f"ic_{len(curves)}"
+        rows, curves = rows.withColumn(name, F.col(result.curves[j]) - F.col(result.curves[0])), [*curves, name]
+    whole = np.vstack(lift)
+    return replace(result, estimates=found, cov=whole @ result.cov @ whole.T, means=whole @ result.means, rows=rows, curves=curves)
+
+
 def estimate(n: Nuisances, groups: Mapping[str, tuple[Targeted, list[Param]]], *, alpha: float | None = None) -> Result:
     """Variances and covariances of all curves of one or more groups, joined on the id when they are several."""
     alpha = n.config.alpha if alpha is None else alpha
-    rows, curves, params = None, [], []
+    curves, params = [], []
     keep = ["id", "cluster", *([FOLD] if n.folds else [])]
+    shared = all(t.again is not None for t, _ in groups.values())
+    rows = n.df if shared and len(groups) > 1 else None
     for t, ps in groups.values():
         names = [f"ic_{len(curves) + i}" for i in range(len(ps))]
-        part = t.df.select(*keep, *(p.ic.alias(c) for p, c in zip(ps, names, strict=True)))
-        rows = part if rows is None else rows.join(part.drop(*keep[1:]), "id")
+        ics = [p.ic.alias(c) for p, c in zip(ps, names, strict=True)]
+        if rows is not None and shared:  # one frame for all groups
+            rows = t.again(rows).select(*n.df.columns, *curves, *ics)
+        else:
+            part = t.df.select(*keep, *ics)
+            rows = part if rows is None else rows.join(part.drop(*keep[1:]), "id")
         curves += names
         params += ps
+    rows = rows.select(*keep, *curves)
     cluster = "cluster" if n.frame.has_cluster else None
     means, cov, count = covariance(rows, curves, cluster)
     if n.config.fold_evaluation:
@@ -420,15 +482,25 @@ def rule(code: Column, arms: int) -> list[Column]:
     return [indicator(code == k) for k in range(arms)]
 
 
-def tilt_means(f: PointFrame, delta: float, config: Config = Config(), *, nuisances: Nuisances | None = None) -> Result:
-    """The mean when everyone's odds of treatment are multiplied by delta."""
-    if delta <= 0:
-        raise StudyError("odds are multiplied by a positive number")
+def tilt_means(f: PointFrame, delta: float | Sequence[float], config: Config = Config(), *, nuisances: Nuisances | None = None) -> Result:
+    """Means when everyone's odds of treatment are multiplied by each delta, and contrasts with the first.
+
+    Every tilt solves its own pair of score equations on the same nuisances.
+    """
+    deltas = [float(d) for d in ([delta] if isinstance(delta, (int, float)) else delta)]
+    if not deltas or min(deltas) <= 0 or len(set(deltas)) != len(deltas):
+        raise StudyError("odds are multiplied by different positive numbers")
     if config.g_low is not None:
         raise CapabilityError("a tilt does not truncate the mechanism")
+    if config.target_weights:
+        raise CapabilityError("a tilt is fluctuated by its covariate")
     n = nuisances or fit_nuisances(f, config)
-    t = target(n, "ipsi", tilts={f"{delta:g}": float(delta)})
-    return estimate(n, {"ipsi": (t, tilt_params(n, t))})
+    groups = {}
+    for d in deltas:
+        t = target(n, "ipsi", tilts={f"{d:g}": d})
+        groups[f"{d:g}"] = (t, tilt_params(n, t))
+    found = estimate(n, groups)
+    return contrasts(found, "ate_ipsi") if len(deltas) > 1 else found
 
 
 def strata_params(n: Nuisances, stem: str = "ate") -> Result:
@@ -481,6 +553,35 @@ def fold_evaluated_ate(n: Nuisances) -> Estimate:
     return Estimate("ate", f.span * mean, math.sqrt(var), "difference", f.n, n.config.alpha, "ate")
 
 
+def tmle(df: DataFrame, *, outcome: str, treatment: str, id: str, covariates: Sequence[str] | None = None, estimands: Sequence[str] = ("ate",), config: Config = Config(), **roles: Any) -> Result:
+    """From a frame and the names of its columns to estimates, in one call."""
+    from ..design import PointDesign, point_frame
+
+    return point_tmle(point_frame(df, PointDesign(outcome, treatment, id, tuple(covariates) if covariates is not None else None, **roles)), estimands, config)
+
+
+@dataclass
+class ResultSet:
+    """Results of one question at each level of the intermediate."""
+
+    results: Mapping[int, Result]
+
+    def __getitem__(self, level: int) -> Result:
+        return self.results[level]
+
+    def to_frame(self) -> DataFrame:
+        parts = [r.to_frame().select(F.lit(z).alias("intermediate"), "*") for z, r in self.results.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
+def by_intermediate(f: PointFrame, requested: Sequence[str] = ("ate",), config: Config = Config()) -> ResultSet:
+    """The question with the intermediate fixed at 0, then at 1."""
+    return ResultSet({z: point_tmle(f, requested, config, z=z) for z in (0, 1)})
+
+
 # Marginal structural models.
 
 

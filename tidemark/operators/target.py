@@ -6,7 +6,7 @@ epsilon; the small systems are solved on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,3 +197,44 @@ def tilted(g: Column, covariate: Column, epsilon: float, bounds: tuple[float, fl
     return clip(p, *bounds) if bounds else p
 
 
+
+
+def solve_armwise_mechanism(df: DataFrame, covariates: Sequence[Column], *, bounds: tuple[float, float], max_iter: int = 50, tol: float = 1e-10) -> list[float]:
+    """Epsilon of every arm's own bounded tilt, arms not renormalised: each step of all bisections is one aggregate.
+
+    Arm k's score is the mean of H_k (1[A = k] - g_k) at the truncated tilt of g_k.
+    """
+    arms = range(len(covariates))
+    rows = df.select("a", F.col("w").alias("v"), *(F.col(f"g_{k}") for k in arms), *(h.alias(f"h_{k}") for k, h in enumerate(covariates))).persist()
+
+    def at(eps: Sequence[float]) -> np.ndarray:
+        s = [F.sum(F.col("v") * F.col(f"h_{k}") * (F.when(F.col("a") == k, lit(1)).otherwise(lit(0)) - clip(expit(safe_logit(F.col(f"g_{k}"), 1 - 1e-9) + lit(eps[k]) * F.col(f"h_{k}")), *bounds))) for k in arms]
+        return np.array([x or 0.0 for x in rows.agg(*s).first()])
+
+    try:
+        low, high = np.full(len(arms), -1.0), np.full(len(arms), 1.0)
+        for _ in range(6):
+            low = np.where(at(low) < 0, low * 2, low)
+            high = np.where(at(high) > 0, high * 2, high)
+        for _ in range(max_iter):
+            middle = (low + high) / 2
+            s = at(middle)
+            low, high = np.where(s > 0, middle, low), np.where(s > 0, high, middle)
+            if (high - low).max() < tol:
+                break
+        return [float(e) for e in (low + high) / 2]
+    finally:
+        rows.unpersist()
+
+
+#: Groups whose mechanism has a score equation too: group -> the covariate of g, from a setting and the targeted frame's columns.
+MECHANISMS: dict[str, Callable] = {}
+
+
+def register_mechanism(group: str, builder: Callable, *, replace: bool = False) -> None:
+    """Declare that a group has a mechanism equation, with the covariate that ``builder`` makes."""
+    from ..errors import StudyError
+
+    if group in MECHANISMS and not replace:
+        raise StudyError(f"the mechanism of {group!r} is registered already")
+    MECHANISMS[group] = builder

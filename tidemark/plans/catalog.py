@@ -187,12 +187,12 @@ def fold_evaluated(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more, catalog_rest  # noqa: F401  (register the rest)
+    from . import catalog_more, catalog_rest, catalog_reports  # noqa: F401, I001  (register the rest; reports adds SQL to earlier ones)
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more, catalog_rest  # noqa: F401
+    from . import catalog_more, catalog_rest, catalog_reports  # noqa: F401, I001
 
     return SQL

@@ -202,7 +202,7 @@ def calibration(spark, sf_dir):
 def nuisance_report(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("delta", F.when(F.col("h") % 4 == 0, 0).otherwise(1))
     n = P.fit_nuisances(_study(df, delta="delta", outcome="f"), P.Config(CellMean(), CellMean(), CellMean(), folds=5, stratify=False))
-    return D.nuisance_report(n)
+    return D.nuisance_report(n).withColumn("value", F.round("value", 5))
 
 
 def _bounded(b: float) -> str:
@@ -269,7 +269,7 @@ def bias_contour(spark, sf_dir):
 @query("robustness")
 def robustness(spark, sf_dir):
     _, e = _elements(spark, sf_dir)
-    return spark.createDataFrame([(V.robustness_value(e), V.robustness_value(e, level=0.95))], "rv double, rv_level double")
+    return spark.createDataFrame([(round(V.robustness_value(e), 6), round(V.robustness_value(e, level=0.95), 6))], "rv double, rv_level double")
 
 
 _E = "CASE WHEN x < 1e0 THEN 1e0 / x ELSE x END"
@@ -412,12 +412,13 @@ def ltmle_competing(spark, sf_dir):
 
 @query("survival_curve")
 def survival_curve(spark, sf_dir):
-    return L.ltmle(_survival_frame(spark, sf_dir), _PLANS, horizons=(1, 2)).curve("survival")
+    return L.ltmle(_survival_frame(spark, sf_dir), _PLANS, horizons=(1, 2)).curve("survival").select("regimen", "cause", "horizon", *(F.round(c, 6).alias(c) for c in ("value", "lower", "upper")))
 
 
 @query("incidence_total")
 def incidence_total(spark, sf_dir):
-    return L.ltmle(_competing_frame(spark, sf_dir), _PLANS).incidence_total()
+    r = L.ltmle(_competing_frame(spark, sf_dir), _PLANS).incidence_total()
+    return r.select("regimen", "horizon", *(F.round(c, 6).alias(c) for c in ("total", "std_err", "excess")))
 
 
 @query(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ from .catalog import _study, orders, query, saturated, shown
 
 
 def lines(spark, sf_dir):
-    """Line items whose discount is a dose with eleven values."""
+    """Line items whose discount is a dose with eleven values.
+
+    The table has no unique key: ids are digests of whole rows, which single-group fits never join on, and need not be unique.
+    """
     li = store.table(spark, sf_dir, "lineitem")
     return li.select(F.xxhash64(*li.columns).alias("id"), F.round(F.col("l_discount") * 100).cast("double").alias("dose"), (F.col("l_extendedprice") / lit(1000)).alias("y"), F.concat("l_returnflag", "l_linestatus").alias("cell"), F.col("l_orderkey").alias("cl"))
 
@@ -51,7 +55,7 @@ c AS (SELECT t.*, psi, h * (y - so) + sb - psi AS ic FROM t, m)"""
 @query("dose_shift", S.query(_SHIFT, final=S.report([("ey_shift[up]", "psi", "ic", "level")])))
 def dose_shift(spark, sf_dir):
     """Everyone's discount one step up, but for those at the top: saturated hazards and outcome means by dose."""
-    f = point_frame(lines(spark, sf_dir).drop("cl"), PointDesign("y", "dose", "id", ("cell",), treatment_kind="continuous"))
+    f = point_frame(lines(spark, sf_dir).drop("cl"), PointDesign("y", "dose", "id", ("cell",), treatment_kind="continuous", check_ids=False))
     c = P.Config(N.CellMean(), N.CellMean(), fluctuation="linear")
     r = O.shift_means(f, {"up": O.Shift(1.0, 10.0)}, c, edges=_EDGES, outcome_features=lambda a: ([a], [a]))
     return shown(spark, r.estimates)
@@ -70,7 +74,8 @@ def density(spark, sf_dir):
 def shift_support(spark, sf_dir):
     df = lines(spark, sf_dir).withColumn("a", F.col("dose")).withColumn("w", lit(1))
     out, d = O.fit_density(df, [], [F.col("cell")], learner=N.CellMean(), edges=_EDGES)
-    return O.shift_support(out, d, {"up": O.Shift(1.0, 10.0), "far": O.Shift(20.0)})
+    r = O.shift_support(out, d, {"up": O.Shift(1.0, 10.0), "far": O.Shift(20.0)})
+    return r.select("shift", F.round("max_ratio", 6).alias("max_ratio"), F.round("effective_n", 3).alias("effective_n"), *(F.round(c, 6).alias(c) for c in ("out_of_support", "crossing")))
 
 
 @query("screening", S.query(S.base("f"), "z AS (SELECT *, CAST(h2 AS DOUBLE) AS u FROM (SELECT d.*, (('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8))::BIGINT) % 97 AS h2 FROM d))", final="SELECT 'a' AS name, round(corr(CAST(a AS DOUBLE), y), 6) AS r FROM z UNION ALL SELECT 'u', round(corr(u, y), 6) FROM z"))
@@ -139,6 +144,23 @@ def collaborative(spark, sf_dir):
     return shown(spark, study.identify(Q.ATE()).estimate("collaborative", strategy="ordered").estimates)
 
 
+@query("collaborative_arms")
+def collaborative_arms(spark, sf_dir):
+    """A given order for five arms, scored by the likelihood of a binary outcome."""
+    df, design = _selectable(spark, sf_dir)
+    arms = orders(spark, sf_dir).select("id", "priority", "f")
+    f = point_frame(df.drop("y", "a").join(arms, "id"), replace(design, outcome="f", treatment="priority", covariates=("balance", "building")))
+    return shown(spark, X.collaborative(f, ("ey",), P.Config(), strategy="ordered", order=("balance",), loss="likelihood").estimates)
+
+
+@query("partial_correlations", f"WITH {S.ORDERS}, x AS (SELECT d0.y, CAST(d0.a AS DOUBLE) AS a, c_acctbal / 1e3 AS b, CASE WHEN seg = 'BUILDING' THEN 1e0 ELSE 0e0 END AS s FROM d0 JOIN customer ON cl = c_custkey), c AS (SELECT corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab, corr(y, s) AS ys, corr(a, s) AS sa FROM x) SELECT 'balance' AS name, round((yb - ab * ya) / sqrt((1e0 - ab * ab) * (1e0 - ya * ya)), 6) AS r FROM c UNION ALL SELECT 'building', round((ys - sa * ya) / sqrt((1e0 - sa * sa) * (1e0 - ya * ya)), 6) FROM c")
+def partial_correlations(spark, sf_dir):
+    """What an order of covariates goes by: correlations with the outcome given the treatment."""
+    df, _ = _selectable(spark, sf_dir)
+    r = X.partial_correlations(df.withColumn("w", lit(1)), F.col("y"), ["balance", "building"], F.col("a").cast("double"), F.col("w"))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in r.items()], "name string, r double")
+
+
 @query("outcome_adaptive")
 def outcome_adaptive(spark, sf_dir):
     f = point_frame(*_selectable(spark, sf_dir))
@@ -182,7 +204,7 @@ def coverage(spark, sf_dir):
 def stored_result(spark, sf_dir):
     """Estimates after a round trip through Parquet and JSON."""
     r = P.point_tmle(_study(orders(spark, sf_dir)), ("ate",), saturated())
-    path = f"{store.shared_dir(spark)}/{tempfile.gettempprefix()}-result-{r.estimates[0].n}"
+    path = f"{store.shared_dir(spark)}/result-{uuid.uuid4().hex}"
     store.save_result(r, path, fingerprint=store.fingerprint(r.influence_frame().select("id")))
     return store.load_result(spark, path)["estimates"].select("estimand", F.round("psi", 6).alias("psi"), F.round("std_err", 6).alias("std_err"))
 
@@ -226,7 +248,7 @@ def tipping_point(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("delta", F.when(F.col("h") % 4 == 0, 0).otherwise(1))
     n = P.fit_nuisances(_study(df, delta="delta", outcome="f"), saturated())
     gamma = V.tipping_gamma(n, P.target(n, "mean"), arm_gamma=(0.0, 1.0))
-    return spark.createDataFrame([(gamma,)], "gamma double")
+    return spark.createDataFrame([(round(gamma, 6),)], "gamma double")
 
 
 @query("strength_benchmark")
@@ -239,7 +261,7 @@ def strength_benchmark(spark, sf_dir):
         return V.elements(n, P.target(n, "mean"))
 
     b = V.benchmark(fit(("seg", "k")), fit(("k",)))
-    return spark.createDataFrame([tuple(float(b[k]) for k in ("cf_y", "cf_d", "rho", "change"))], "cf_y double, cf_d double, rho double, change double")
+    return spark.createDataFrame([tuple(round(float(b[k]), d) for k, d in (("cf_y", 6), ("cf_d", 6), ("rho", 4), ("change", 6)))], "cf_y double, cf_d double, rho double, change double")
 
 
 @query("weighted_fluctuation")

@@ -17,9 +17,10 @@ ORDERS = """d0 AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def base(y: str = "y", a: str = "a", w: str = "1e0", delta: str = "1e0", z: str = "0e0", s: str = "''", folds: int = 0) -> str:
+def base(y: str = "y", a: str = "a", w: str = "1e0", delta: str = "1e0", z: str = "0e0", s: str = "''", folds: int = 0, seed: int = 0) -> str:
+    draw = "h" if not seed else f"('0x' || substr(md5(CAST(id AS VARCHAR) || '/{seed}'), 1, 8))::BIGINT"
     return f"""{ORDERS},
-d1 AS (SELECT id, {y} AS y, {a} AS a, seg, cl, CAST({delta} AS DOUBLE) AS delta, CAST({w} AS DOUBLE) AS w0, {z} AS z, {s} AS s, {f'h % {folds}' if folds else '0'} AS fold FROM d0),
+d1 AS (SELECT id, {y} AS y, {a} AS a, seg, cl, CAST({delta} AS DOUBLE) AS delta, CAST({w} AS DOUBLE) AS w0, {z} AS z, {s} AS s, {f'{draw} % {folds}' if folds else '0'} AS fold FROM d0),
 d AS (SELECT * EXCLUDE (w0), w0 * count(*) OVER () / sum(w0) OVER () AS w, count(*) OVER () AS n, sum(w0) OVER () * sum(w0) OVER () / sum(w0 * w0) OVER () AS neff FROM d1)"""
 
 
@@ -69,18 +70,22 @@ def linear_means_by_fold(arms: int) -> str:
     return linear_means(arms).replace("e AS (SELECT ", "e AS (SELECT fold, ").replace(" FROM u),", " FROM u GROUP BY fold),").replace("FROM u, e)", "FROM u JOIN e USING (fold))")
 
 
-def logistic_means(arms: int, steps: int = 7) -> str:
-    """Logistic fluctuation of the arm means by unrolled Newton steps; y and q must lie in [0, 1]."""
+def logistic_means(arms: int, steps: int = 7, weighted: bool = False) -> str:
+    """Logistic fluctuation of the arm means by unrolled Newton steps; y and q must lie in [0, 1].
+
+    Weighted, the covariate is one and its size is in the loss.
+    """
     ks = range(arms)
+    x = lambda k: "1e0" if weighted else f"p{k}"
     shrink = lambda x: f"least(greatest({x}, 0.0005e0), 0.9995e0)"
     out = ["v AS (SELECT * EXCLUDE (" + ", ".join([*(f"q{k}" for k in ks), "qo"]) + "), " + ", ".join([*(f"{shrink(f'q{k}')} AS q{k}" for k in ks), f"{shrink('qo')} AS qo"]) + " FROM u)"]
     out.append("e_0 AS (SELECT " + ", ".join(f"0e0 AS e{k}" for k in ks) + ")")
     for i in range(steps):
-        pk = lambda k: shrink(f"1e0 / (1e0 + exp(-(ln(qo / (1e0 - qo)) + e{k} * p{k})))")
-        one = lambda k: f"any_value(e{k}) + sum(CASE WHEN a = {k} AND delta = 1 THEN w * keep * p{k} * (y - {pk(k)}) ELSE 0e0 END) / sum(CASE WHEN a = {k} AND delta = 1 THEN w * keep * p{k} * p{k} * {pk(k)} * (1e0 - {pk(k)}) ELSE 0e0 END) AS e{k}"
+        pk = lambda k: shrink(f"1e0 / (1e0 + exp(-(ln(qo / (1e0 - qo)) + e{k} * {x(k)})))")
+        one = lambda k: f"any_value(e{k}) + sum(CASE WHEN a = {k} AND delta = 1 THEN w * keep * p{k} * (y - {pk(k)}) ELSE 0e0 END) / sum(CASE WHEN a = {k} AND delta = 1 THEN w * keep * p{k} * {x(k)} * {pk(k)} * (1e0 - {pk(k)}) ELSE 0e0 END) AS e{k}"
         out.append(f"e_{i + 1} AS (SELECT " + ", ".join(one(k) for k in ks) + f" FROM v, e_{i})")
-    s = ", ".join(f"{shrink(f'1e0 / (1e0 + exp(-(ln(q{k} / (1e0 - q{k})) + e{k} * p{k})))')} AS s{k}" for k in ks)
-    own = " ".join(f"WHEN {k} THEN {shrink(f'1e0 / (1e0 + exp(-(ln(qo / (1e0 - qo)) + e{k} * keep * p{k})))')}" for k in ks)
+    s = ", ".join(f"{shrink(f'1e0 / (1e0 + exp(-(ln(q{k} / (1e0 - q{k})) + e{k} * {x(k)})))')} AS s{k}" for k in ks)
+    own = " ".join(f"WHEN {k} THEN {shrink(f'1e0 / (1e0 + exp(-(ln(qo / (1e0 - qo)) + e{k} * keep * {x(k)})))')}" for k in ks)
     out.append(f"t AS (SELECT v.*, {s}, CASE a {own} END AS so FROM v, e_{steps})")
     return ",\n".join(out)
 
@@ -137,3 +142,48 @@ def arm_rows(wanted: Sequence[str], names: Sequence[str] = ("0", "1"), ref: int
 
 def query(*ctes: str, final: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + final
+
+
+# Two times of treatment: a plan is a pair of arms, read off a table v (w0, a1, c1, l2, a2, c2, y, fold, events).
+
+
+def share(num: str, den: str, cells: Sequence[str], folds: int = 0) -> str:
+    """Mean of an expression over the rows of a cell that meet a condition; other folds only where there are folds, and their margin where a cell has none."""
+    n, d = f"sum(CASE WHEN {den} THEN {num} ELSE 0e0 END)", f"sum(CASE WHEN {den} THEN 1e0 ELSE 0e0 END)"
+
+    def over(keys: Sequence[str]) -> str:
+        part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+        if not folds:
+            return f"{n} OVER ({part}) / nullif({d} OVER ({part}), 0)"
+        own = f"PARTITION BY {', '.join([*keys, 'fold'])}"
+        return f"({n} OVER ({part}) - {n} OVER ({own})) / nullif({d} OVER ({part}) - {d} OVER ({own}), 0)"
+
+    return f"coalesce({over(cells)}, {over(())})"
+
+
+def plan_mechanism(tag: str, arms: tuple[int, int], absorbing: str = "FALSE", folds: int = 0) -> str:
+    """Table m{tag}: cumulative mechanisms k1 and k2 of the plan, who follows it (f1, f2) and who is at risk at time 2 (r2)."""
+    a, b = arms
+    one = lambda c: f"CASE WHEN {c} THEN 1e0 ELSE 0e0 END"
+    two = ("w0", "coalesce(l2, 0)")
+    return f"""m{tag}a AS (SELECT *, c1 AND NOT ({absorbing}) AS live FROM v),
+m{tag}b AS (SELECT *, {share(one(f'a1 = {a}'), 'TRUE', ['w0'], folds)} AS g1, {share(one('c1'), f'a1 = {a}', ['w0'], folds)} AS h1,
+  {share(one(f'a2 = {b}'), f'live AND a1 = {a}', two, folds)} AS g2, {share(one('c2'), f'live AND a1 = {a} AND a2 = {b}', two, folds)} AS h2 FROM m{tag}a),
+m{tag} AS (SELECT *, least(greatest(g1 * h1, 0.01e0), 1e0) AS k1, least(greatest(g1 * h1 * g2 * h2, 0.01e0), 1e0) AS k2,
+  a1 = {a} AND c1 AS f1, live AND a1 = {a} AND coalesce(a2 = {b}, FALSE) AND c2 AS f2, live AND a1 = {a} AS r2 FROM m{tag}b)"""
+
+
+def plan_mean(tag: str, of: str, end: str, now1: str | None = None, stop1: str = "FALSE", *, horizon: int = 2, coarse: bool = False, folds: int = 0) -> str:
+    """Table t{tag} (user_id, psi, ic and what the regressions left) by backward regressions with linear fluctuations."""
+    cells = ((), ()) if coarse else (("w0",), ("w0", "coalesce(l2, 0)"))
+    last = "CAST(NULL AS DOUBLE)" if horizon == 1 else end
+    first = "s2" if now1 is None else f"CASE WHEN {now1} THEN 1e0 ELSE 0e0 END + CASE WHEN {stop1} THEN 0e0 ELSE 1e0 END * {'0e0' if horizon == 1 else 'coalesce(s2, 0.5e0)'}"
+    return f"""n{tag} AS (SELECT *, CASE WHEN f2 THEN {last} END AS z2 FROM m{of}),
+n{tag}r AS (SELECT *, {share('z2', 'f2', cells[1], folds)} AS q2 FROM n{tag}),
+n{tag}e AS (SELECT sum(CASE WHEN f2 THEN (z2 - q2) / k2 END) / sum(CASE WHEN f2 THEN 1e0 / k2 END) AS e2 FROM n{tag}r),
+o{tag} AS (SELECT n.*, e2, CASE WHEN r2 THEN q2 + e2 END AS s2 FROM n{tag}r n, n{tag}e),
+o{tag}z AS (SELECT *, CASE WHEN f1 THEN {first} END AS z1 FROM o{tag}),
+o{tag}r AS (SELECT *, {share('z1', 'f1', cells[0], folds)} AS q1 FROM o{tag}z),
+o{tag}e AS (SELECT sum(CASE WHEN f1 THEN (z1 - q1) / k1 END) / sum(CASE WHEN f1 THEN 1e0 / k1 END) AS e1 FROM o{tag}r),
+t{tag}s AS (SELECT o.*, e1, q1 + e1 AS s1 FROM o{tag}r o, o{tag}e),
+t{tag} AS (SELECT *, avg(s1) OVER () AS psi, s1 - avg(s1) OVER () + coalesce((z1 - s1) / k1, 0e0) + coalesce((z2 - s2) / k2, 0e0) AS ic FROM t{tag}s)"""
