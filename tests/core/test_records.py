@@ -57,6 +57,19 @@ def test_cells_gathered_or_shuffled_predict_alike(spark, monkeypatch, cells):
     assert shares < 1e-12
 
 
+def test_logistic_steps_by_batches_are_those_of_expressions(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    x = g.normal(size=(300, 3))
+    t = (g.random(300) < 1 / (1 + np.exp(-x @ [1.0, -0.5, 0.2]))).astype(float)
+    d = spark.createDataFrame([(*map(float, r), float(y), i % 3) for i, (r, y) in enumerate(zip(x, t))], "a double, b double, c double, t double, fold int").withColumn("w", lit(1))
+    for folds in (0, 3):
+        found = []
+        for most in (400, 0):
+            monkeypatch.setattr(N, "EXPRESSION_SUMS", most)
+            found.append(N.LogisticNewton().fit(d, N.Task(F.col("t"), F.col("w"), None, folds, True), [F.col(c) for c in "abc"], []).coefficients)
+        assert found[0] == pytest.approx(found[1], abs=1e-9) and found[0].shape == (max(folds, 1), 4)
+
+
 def arrays(spark, n=400, seed=3, **more):
     g = np.random.default_rng(seed)
     w = g.integers(0, 3, n)
@@ -251,3 +264,29 @@ def test_core_queries_stand_without_the_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "tidemark.llm.queries", None)
     found = importlib.reload(E).queries()
     assert "ate_targeted" in found and not any(k.startswith("op") and k[2:3].isdigit() for k in found)
+
+
+def test_guarded_inference_solves_every_score_and_survives_a_wrong_regression(spark):
+    from dataclasses import replace
+
+    from tidemark.operators import guarded as U
+
+    g = np.random.default_rng(8)
+    n = 3000
+    w = g.integers(0, 4, n)
+    a = (g.random(n) < 0.5).astype(int)
+    seen = (g.random(n) < 0.9 - 0.12 * w).astype(int)
+    y = 1.0 * a + 0.8 * w + g.normal(size=n)
+    y = np.where(seen == 1, y, np.nan)
+    f = frame_from_arrays(spark, y, a, w, covariate_names=("w",), delta=seen)
+    wrong = replace(COARSE, fluctuation="linear")  # no covariate in the regression
+    for frame, expected in ((f, 6), (replace(f, has_delta=False, df=f.df.where("delta = 1"), n=int(seen.sum())), 4)):
+        r = U.doubly_robust(frame, wrong)
+        check = U.correction_check(r).collect()
+        assert len(check) == expected and all(c.solved for c in check) and all(r.solved())
+    r = U.doubly_robust(f, wrong)
+    assert abs(r["ate"].psi - 1.0) < 4 * r["ate"].std_err and r["ate"].psi == pytest.approx(r["ey[1]"].psi - r["ey[0]"].psi)
+    half = U.doubly_robust(f, wrong, guard=("g",))
+    assert set(half.corrections) == {"outcome[0]", "outcome[1]"}
+    with pytest.raises(StudyError):
+        U.doubly_robust(f, wrong, guard=("x",))

@@ -14,7 +14,7 @@ def test_selective_queries_read_the_orders(spark, name):
 
 
 def test_queries_ask_for_whole_counts(spark, monkeypatch):
-    from tidemark.operators import selective as X
+    from tidemark.operators import guarded as X
     from tidemark.plans import catalog_rest as C
 
     asked = {}

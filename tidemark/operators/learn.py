@@ -240,31 +240,34 @@ class _LinearFit:
         return df.withColumn(out, self.column(features))
 
 
+#: Sums of one step that Spark's own expressions take; beyond that a step runs on Arrow batches.
+EXPRESSION_SUMS = 400
+
+
 class LogisticNewton:
-    """Logistic regression by Newton steps; the models of all folds advance in one aggregate per step."""
+    """Logistic regression by Newton steps; the models of all folds advance in one pass per step.
+
+    Few sums are one aggregate of column expressions.  Many (folds times squared features) would outgrow generated
+    code, so each task then adds up its batches with matrix products and emits one row.
+    """
 
     def __init__(self, steps: int = 25, tol: float = 1e-10, ridge: float = 1e-8):
         self.steps, self.tol, self.ridge = steps, tol, ridge
 
     def fit(self, df: DataFrame, task: Task, features: Sequence[Column], cells: Sequence[Column]) -> _LinearFit:
-        rows = task.on(df).select(*(f.alias(f"f_{i}") for i, f in enumerate(features)), task.target.alias("t"), task.weight.alias("v"), *([F.col(FOLD)] if task.folds else []))
+        rows = task.on(df).select(*(f.cast("double").alias(f"f_{i}") for i, f in enumerate(features)), task.target.cast("double").alias("t"), task.weight.cast("double").alias("v"), *([F.col(FOLD)] if task.folds else []))
         rows = rows.persist()
-        x = [lit(1), *(F.col(f"f_{i}") for i in range(len(features)))]
-        p, models = len(x), max(task.folds, 1)
+        p, models = len(features) + 1, max(task.folds, 1)
         beta = np.zeros((models, p))
+        upper = np.triu_indices(p)
+        sums = _by_expressions if models * (p + len(upper[0])) <= EXPRESSION_SUMS else _by_batches
         try:
             for _ in range(self.steps):
-                sums = []
-                for m in range(models):
-                    keep = F.col("v") * (indicator(F.col(FOLD) != m) if task.folds else lit(1))
-                    q = expit(total(lit(c) * f for c, f in zip(beta[m], x, strict=True)))
-                    sums += [F.sum(keep * f * (F.col("t") - q)) for f in x]
-                    sums += [F.sum(keep * q * (lit(1) - q) * x[i] * x[j]) for i in range(p) for j in range(i, p)]
-                r = np.array([v or 0.0 for v in rows.agg(*sums).first()], float).reshape(models, -1)
+                r = sums(rows, beta, bool(task.folds))
                 move = np.zeros_like(beta)
                 for m in range(models):
                     h = np.zeros((p, p))
-                    h[np.triu_indices(p)] = r[m, p:]
+                    h[upper] = r[m, p:]
                     h = h + np.triu(h, 1).T + self.ridge * np.eye(p)
                     move[m] = np.clip(solve(h, r[m, :p] - self.ridge * beta[m]), -5, 5)
                 beta = beta + move
@@ -275,6 +278,46 @@ class LogisticNewton:
         return _LinearFit(beta, task.folds, True)
 
 
+def _by_expressions(rows: DataFrame, beta: np.ndarray, folds: bool) -> np.ndarray:
+    """Gradient and upper Hessian of every model, as one aggregate."""
+    models, p = beta.shape
+    x = [lit(1), *(F.col(f"f_{i}") for i in range(p - 1))]
+    sums = []
+    for m in range(models):
+        keep = F.col("v") * (indicator(F.col(FOLD) != m) if folds else lit(1))
+        q = expit(total(lit(c) * f for c, f in zip(beta[m], x, strict=True)))
+        sums += [F.sum(keep * f * (F.col("t") - q)) for f in x]
+        sums += [F.sum(keep * q * (lit(1) - q) * x[i] * x[j]) for i in range(p) for j in range(i, p)]
+    return np.array([v or 0.0 for v in rows.agg(*sums).first()], float).reshape(models, -1)
+
+
+def _by_batches(rows: DataFrame, beta: np.ndarray, folds: bool) -> np.ndarray:
+    """The same from one row per task, added up by place."""
+    models, p = beta.shape
+    upper = np.triu_indices(p)
+
+    def run(batches):
+        import pyarrow as pa
+
+        out = np.zeros((models, p + len(upper[0])))
+        for batch in batches:
+            held = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            x = np.column_stack([np.ones(len(batch)), *held[: p - 1]])
+            t, v = held[p - 1], held[p]
+            for m in range(models):
+                w = v * (held[p + 1] != m) if folds else v
+                q = 1 / (1 + np.exp(-np.clip(x @ beta[m], -500, 500)))
+                out[m, :p] += x.T @ (w * (t - q))
+                out[m, p:] += ((x * (w * q * (1 - q))[:, None]).T @ x)[upper]
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], ["s"])
+
+    parts = rows.mapInArrow(run, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v"))
+    flat = np.zeros(models * (p + len(upper[0])))
+    for r in parts.collect():  # a number for each sum
+        flat[r["pos"]] = r["v"]
+    return flat.reshape(models, -1)
+
+
 class MLlib:
     """Any MLlib estimator: fitted once per fold on the other folds, transformed on its own."""
 

@@ -1,11 +1,10 @@
-"""Variants that choose or guard the nuisances: collaborative and doubly-robust-inference targeting."""
+"""Variants that choose the treatment model by what it does for the outcome: collaborative targeting."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 from dataclasses import replace
-from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..design import PointFrame
 from ..errors import CapabilityError, StudyError
-from ..functions.expr import clip, expit, indicator, lit, safe_logit, total
+from ..functions.expr import clip, indicator, lit, total
 from ..sources.store import durable
 from . import point as P
-from .inference import Estimate, covariance
-from .learn import FOLD, LinearGram, LogisticNewton, Task
+from .inference import covariance
+from .learn import FOLD, LogisticNewton, Task
 from .target import Fluctuation, moved, solve_fluctuation
 
 
@@ -133,77 +132,3 @@ def collaborative(f: PointFrame, requested: Sequence[str] = ("ate",), config: P.
     whole = P.fit_nuisances(f, config)
     df = durable(_treatment_model(f, whole.df, [F.col(c) for c in best_path], config.folds), "chosen")
     return P.point_tmle(f, requested, nuisances=P.Nuisances(f, df, config, None, whole.fractions))
-
-
-def doubly_robust(f: PointFrame, config: P.Config = P.Config(), *, guard: Sequence[str] = ("q", "g"), rounds: int = 15, tol: float = 1e-6, learner: Any = None) -> P.Result:
-    """Arm means whose inference holds if either nuisance is consistent: two more score equations per arm.
-
-    Reduced one-dimensional regressions (of the residual on g, of the arm on q, of the weighted mechanism error
-    on q) feed a fluctuation of g (guard "q") and one of the outcome (guard "g"); the rounds stop when no score
-    is left.  The curves are the efficient ones less the two corrections.
-    """
-    if f.has_delta or f.has_intermediate:
-        raise CapabilityError("not with missing outcomes or an intermediate")
-    n = P.fit_nuisances(f, config)
-    s = P.setting(n)
-    learner = learner or LinearGram()
-    df = n.df.withColumns({f"gs_{k}": s.g(k) for k in range(f.arms)} | {f"qs_{k}": F.col(f"q_{k}") for k in range(f.arms)})
-    arm = lambda k: indicator(F.col("a") == k)
-    shape = lambda c: [c, c * c]
-
-    def line(t: Column, x: Column, where: Column | None, out: str, d):
-        return learner.fit(d, Task(t, F.col("w"), where), shape(x), []).predict(d, out, shape(x), [])
-
-    low = s.g_low
-    for _ in range(rounds):
-        biggest = 0.0
-        for k in range(f.arms):
-            g, q = F.col(f"gs_{k}"), F.col(f"qs_{k}")
-            df = line(F.col("ys") - q, g, F.col("a") == k, "r_q", df)
-            df = line(arm(k), q, None, "r_g1", df)
-            df = line((arm(k) - g) / g, q, None, "r_g2", df)
-            r1 = clip(F.col("r_g1"), low, 1.0)
-            new_q, new_g = q, g
-            if "q" in guard:
-                h = F.col("r_q") / g
-                a = df.agg(F.sum(F.col("w") * h * (arm(k) - g)), F.sum(F.col("w") * h * h * g * (lit(1) - g))).first()
-                eps = float(np.clip((a[0] or 0.0) / max(a[1] or 0.0, 1e-300), -1, 1)) if a[1] and a[1] > 1e-12 else 0.0
-                new_g = clip(expit(safe_logit(g, 1 - 1e-9) + lit(eps) * h), low, 1.0)
-                biggest = max(biggest, abs(a[0] or 0.0) / f.n)
-            hs = [arm(k) / g] + ([arm(k) * F.col("r_g2") / r1] if "g" in guard else [])
-            at = [lit(1) / g] + ([F.col("r_g2") / r1] if "g" in guard else [])
-            comps = [P.C.Component(str(i), o, {0: v}) for i, (o, v) in enumerate(zip(hs, at, strict=True))]
-            fl = solve_fluctuation(df.drop("q_obs").withColumn("q_obs", q), comps, kind=config.fluctuation)
-            new_q = moved(q, at, fl.epsilon, config.fluctuation)
-            biggest = max(biggest, float(np.abs(fl.epsilon).max()) * 1e-2)
-            df = df.withColumns({"n__q": new_q, "n__g": new_g}).drop(f"qs_{k}", f"gs_{k}", "r_q", "r_g1", "r_g2").withColumnsRenamed({"n__q": f"qs_{k}", "n__g": f"gs_{k}"})
-        df = durable(df, "drtmle")
-        if biggest < tol:
-            break
-    params, psi = [], {}
-    for k in range(f.arms):
-        g, q = F.col(f"gs_{k}"), F.col(f"qs_{k}")
-        df = line(F.col("ys") - q, g, F.col("a") == k, f"rq_{k}", df)
-        df = line(arm(k), q, None, f"rg1_{k}", df)
-        df = line((arm(k) - g) / g, q, None, f"rg2_{k}", df)
-    df = durable(df, "reduced")
-    names = [str(v) for v in f.levels]
-    curves = {}
-    for k in range(f.arms):
-        g, q = F.col(f"gs_{k}"), F.col(f"qs_{k}")
-        psi[k] = df.agg(F.sum(F.col("w") * q) / F.sum("w")).first()[0]
-        d = arm(k) / g * (F.col("ys") - q) + q - lit(psi[k])
-        if "q" in guard:
-            d = d - F.col(f"rq_{k}") / g * (arm(k) - g)
-        if "g" in guard:
-            d = d - arm(k) * F.col(f"rg2_{k}") / clip(F.col(f"rg1_{k}"), low, 1.0) * (F.col("ys") - q)
-        curves[k] = F.col("w") * d
-        params.append(P.Param(f"ey[{names[k]}]", f.low + f.span * psi[k], lit(f.span) * curves[k], "level", "ey", names[k]))
-    ref = config.reference
-    for k in (k for k in range(f.arms) if k != ref):
-        params.append(P.Param(P.label("ate") if f.arms == 2 else P.label("ate", names[k], names[ref]), f.span * (psi[k] - psi[ref]), lit(f.span) * (curves[k] - curves[ref]), "difference", "ate", names[k], names[ref]))
-    rows = df.select("id", "cluster", *(p.ic.alias(f"ic_{i}") for i, p in enumerate(params)))
-    ics = [f"ic_{i}" for i in range(len(params))]
-    means, cov, count = covariance(rows, ics, "cluster" if f.has_cluster else None)
-    found = [Estimate(p.name, p.psi, math.sqrt(max(cov[i, i], 0)), p.scale, count, config.alpha, p.estimand, p.arm, p.reference) for i, p in enumerate(params)]
-    return P.Result(f, found, cov, rows, ics, means, {}, n)

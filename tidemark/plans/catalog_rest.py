@@ -11,6 +11,7 @@ from .. import study as Q
 from ..design import LongitudinalDesign, PointDesign, longitudinal_frame, point_frame
 from ..functions.expr import lit
 from ..operators import dose as O
+from ..operators import guarded as U
 from ..operators import inference as I
 from ..operators import learn as N
 from ..operators import longitudinal as L
@@ -170,7 +171,22 @@ def outcome_adaptive(spark, sf_dir):
 @query("doubly_robust")
 def doubly_robust(spark, sf_dir):
     f = point_frame(*_selectable(spark, sf_dir))
-    return shown(spark, X.doubly_robust(f, P.Config()).estimates)
+    return shown(spark, U.doubly_robust(f, P.Config()).estimates)
+
+
+@query("doubly_robust_missing")
+def doubly_robust_missing(spark, sf_dir):
+    """A quarter of the outcomes missing: both mechanisms and the regression are guarded."""
+    df, design = _selectable(spark, sf_dir)
+    df = df.withColumn("delta", F.when(hash32(F.col("id")) % 4 == 0, 0).otherwise(1))
+    f = point_frame(df, replace(design, delta="delta"))
+    return shown(spark, U.doubly_robust(f, P.Config(fluctuation="linear")).estimates)
+
+
+@query("correction_check")
+def correction_check(spark, sf_dir):
+    f = point_frame(*_selectable(spark, sf_dir))
+    return U.correction_check(U.doubly_robust(f, P.Config(fluctuation="linear"))).select("correction", "solved")
 
 
 @query("known_truth")

@@ -172,7 +172,7 @@ def _run(effect: IdentifiedEffect, m: Method) -> Any:
 
         return collaborative(f, (e.stem,), c, **m.options)
     if m.name == "drtmle":
-        from .operators.selective import doubly_robust
+        from .operators.guarded import doubly_robust
 
         return doubly_robust(f, c, **m.options)
     if isinstance(e, _ARM):
