@@ -290,3 +290,42 @@ def test_guarded_inference_solves_every_score_and_survives_a_wrong_regression(sp
     assert set(half.corrections) == {"outcome[0]", "outcome[1]"}
     with pytest.raises(StudyError):
         U.doubly_robust(f, wrong, guard=("x",))
+
+
+def test_truths_agree_with_large_samples(spark):
+    n = 200_000
+    df, truth = G.missing_outcome_binary(spark, n, seed=11)
+    eta = lambda a: 1 / (1 + F.exp(-(lit(-0.6 + 0.9 * a) + 0.7 * F.col("W1") - 0.5 * F.col("W2") + 0.4 * F.col("W3"))))
+    p1, p0 = df.agg(F.avg(eta(1)), F.avg(eta(0))).first()
+    assert truth["ey1"] == pytest.approx(p1, abs=3e-3) and truth["rr"] == pytest.approx(p1 / p0, abs=1.5e-2)
+    _, risks = G.longitudinal_survival(spark, 100, seed=1)
+    _, kinds = G.longitudinal_survival(spark, 100, seed=1, causes=2)
+    assert all(kinds[f"cif[{p}, r, t2]"] + kinds[f"cif[{p}, d, t2]"] == pytest.approx(risks[f"risk[{p}, t2]"]) and risks[f"risk[{p}, t1]"] < risks[f"risk[{p}, t2]"] for p in ("00", "11"))
+    strong, truth = G.missing_outcome(spark, 2000, seed=3, strength=2.0)
+    assert truth["ate"] == 1.2 and strong.where("Delta = 0 and Y is not null").isEmpty()
+
+
+def test_longitudinal_estimates_find_their_truth(spark):
+    df, truth = G.longitudinal(spark, 4000, seed=9)
+    f = longitudinal_frame(df, LongitudinalDesign("Y", ("A1", "A2"), ("W1", "W2"), "id", (("L2",),), ("C1", "C2")))
+    r = L.ltmle(f, {"11": (1, 1), "00": (0, 0)}, settings=L.Settings.smooth())
+    for e in r.means:
+        assert abs(e.psi - truth[f"ey[{e.arm}]"]) < 4 * e.std_err
+
+
+def test_tables_come_in_many_forms(spark, tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+
+    from tidemark.sources.store import as_frame
+
+    data = {"id": list(range(40)), "y": [float(i % 5) for i in range(40)], "a": [i % 2 for i in range(40)], "c": ["u" if i % 3 else "v" for i in range(40)]}
+    base = spark.createDataFrame(pd.DataFrame(data))
+    for kind in ("parquet", "json", "orc"):
+        base.write.format(kind).save(str(tmp_path / f"t.{kind}"))
+    base.write.csv(str(tmp_path / "t.csv"), header=True)
+    held = [base, pd.DataFrame(data), pa.table(data), data, *(str(tmp_path / f"t.{k}") for k in ("parquet", "json", "orc", "csv"))]
+    found = [P.tmle(x, spark=spark, outcome="y", treatment="a", id="id", covariates=("c",), config=COARSE)["ate"] for x in held]
+    assert all((e.psi, e.std_err) == pytest.approx((found[0].psi, found[0].std_err)) for e in found) and as_frame(spark, base) is base
+    with pytest.raises(ValueError):
+        as_frame(spark, "t.xyz")

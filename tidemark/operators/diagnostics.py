@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..design import PointFrame
 from ..functions.expr import clip, indicator, lit, logit
 from .learn import LogisticNewton, Task
 from .order import quantiles
@@ -66,6 +67,14 @@ def mechanism_overlap(n: Nuisances) -> DataFrame:
     return n.df.sparkSession.createDataFrame(rows, "mechanism string, arm string, min double, q05 double, median double, below_05 double, truncated double")
 
 
+def strata_table(f: PointFrame) -> DataFrame:
+    """(stratum, arm, n, weight, mean) by stratum and arm, with the margins of both: null stands for all."""
+    arm = F.element_at(F.array(*(F.lit(str(v)) for v in f.levels)), F.col("a") + 1)
+    rows = f.df.select(F.col("s").alias("stratum"), arm.alias("arm"), "w", "y", "delta")
+    seen = F.when(F.col("delta") == 1, F.col("w"))
+    return rows.cube("stratum", "arm").agg(F.count("*").alias("n"), F.sum("w").alias("weight"), (F.sum(seen * F.col("y")) / F.sum(seen)).alias("mean"))
+
+
 def simplex_deviation(n: Nuisances) -> float:
     """Largest distance of the truncated mechanism's sum from one."""
     s = setting(n)

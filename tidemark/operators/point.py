@@ -553,11 +553,12 @@ def fold_evaluated_ate(n: Nuisances) -> Estimate:
     return Estimate("ate", f.span * mean, math.sqrt(var), "difference", f.n, n.config.alpha, "ate")
 
 
-def tmle(df: DataFrame, *, outcome: str, treatment: str, id: str, covariates: Sequence[str] | None = None, estimands: Sequence[str] = ("ate",), config: Config = Config(), **roles: Any) -> Result:
-    """From a frame and the names of its columns to estimates, in one call."""
+def tmle(data: Any, *, spark: Any = None, outcome: str, treatment: str, id: str, covariates: Sequence[str] | None = None, estimands: Sequence[str] = ("ate",), config: Config = Config(), **roles: Any) -> Result:
+    """From a table (a Spark frame, or with a session pandas, Arrow, columns or a path) and the names of its columns to estimates, in one call."""
     from ..design import PointDesign, point_frame
+    from ..sources.store import as_frame
 
-    return point_tmle(point_frame(df, PointDesign(outcome, treatment, id, tuple(covariates) if covariates is not None else None, **roles)), estimands, config)
+    return point_tmle(point_frame(as_frame(spark, data), PointDesign(outcome, treatment, id, tuple(covariates) if covariates is not None else None, **roles)), estimands, config)
 
 
 @dataclass

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import assessment as A
-from ..design import frame_from_arrays
+from ..design import PointDesign, frame_from_arrays, point_frame
 from ..functions.expr import lit
 from ..operators import covariate as C
 from ..operators import diagnostics as D
@@ -17,6 +19,9 @@ from ..operators import point as P
 from ..operators import target as T
 from ..operators.folds import resolve_n_folds, with_folds
 from ..phases import Phases
+from ..sources import generators as G
+from ..sources import store
+from ..streaming.accumulate import Accumulator
 from . import sql as S
 from .catalog import _BASIC, _PRIORITIES, SQL, _direct, _study, orders, query, saturated, shown
 from .catalog_more import _PLANS, _VISITS, _mean_frame, _msm_sql, _survival_frame
@@ -518,3 +523,39 @@ def phases(spark, sf_dir):
     return p.to_frame().select("phase", "entries")
 
 
+
+
+@query(
+    "strata_table",
+    S.query(S.base(s="CASE WHEN seg IN ('FURNITURE', 'MACHINERY') THEN 'goods' ELSE 'other' END"), final="SELECT s AS stratum, CAST(a AS VARCHAR) AS arm, count(*)::BIGINT AS n, round(sum(w), 6) AS weight, round(sum(w * y) / sum(w), 6) AS mean FROM d GROUP BY CUBE (s, CAST(a AS VARCHAR))"),
+)
+def strata_table(spark, sf_dir):
+    """Sizes and means by stratum and arm with all margins."""
+    df = orders(spark, sf_dir).withColumn("grp", F.when(F.col("seg").isin("FURNITURE", "MACHINERY"), "goods").otherwise("other"))
+    r = D.strata_table(_study(df, covariates=("seg", "grp"), strata=("grp",)))
+    return r.select("stratum", "arm", "n", F.round("weight", 6).alias("weight"), F.round("mean", 6).alias("mean"))
+
+
+@query("stream_means", "SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def stream_means(spark, sf_dir):
+    """Cell means of the events read as a stream: every batch leaves its sums, which are added up at the end."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    path = f"{store.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sink = Accumulator(f"{path}/sums", [F.col("event_type")], F.col("value").cast("double"), lit(1))
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(*_stream_path(spark, sf_dir))
+    source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return sink.means(spark).select(F.col("cell_0").alias("event_type"), F.col("n").cast("long").alias("n"), F.round("mean", 6).alias("mean"))
+
+
+def _stream_path(spark, sf_dir) -> list[str]:
+    """A file stream reads folders, so a table in one file is read through its own name as a pattern."""
+    return [f"{sf_dir}/events.parquet*"]
+
+
+@query("known_binary_truth")
+def known_binary_truth(spark, sf_dir):
+    """(estimand, psi, std_err, truth) of a binary outcome that is missing at random, on generated data."""
+    df, truth = G.missing_outcome_binary(spark, 4000, seed=2)
+    f = point_frame(df, PointDesign("Y", "A", "id", ("W1", "W2", "W3"), delta="Delta"))
+    r = P.point_tmle(f, ("ey1", "ey0", "ate", "rr", "or"), P.Config())
+    return spark.createDataFrame([(e.name, e.psi, e.std_err, truth[e.name]) for e in r.estimates], "estimand string, psi double, std_err double, truth double")

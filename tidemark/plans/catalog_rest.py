@@ -183,7 +183,7 @@ def doubly_robust_missing(spark, sf_dir):
     return shown(spark, U.doubly_robust(f, P.Config(fluctuation="linear")).estimates)
 
 
-@query("correction_check")
+@query("correction_check", " UNION ALL ".join(f"SELECT '{n}[{k}]' AS correction, TRUE AS solved" for k in (0, 1) for n in ("treatment", "outcome")))
 def correction_check(spark, sf_dir):
     f = point_frame(*_selectable(spark, sf_dir))
     return U.correction_check(U.doubly_robust(f, P.Config(fluctuation="linear"))).select("correction", "solved")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,25 @@ def _draw(df: DataFrame, name: str, p: Column, seed: int) -> DataFrame:
     return df.withColumn(name, F.when(uniform(name, seed) < p, lit(1)).otherwise(lit(0)))
 
 
+def _mean_of(f, *sds: float, nodes: int = 60) -> float:
+    """Mean of a function of independent centred normals with these standard deviations, by Gauss-Hermite quadrature."""
+    x, w = np.polynomial.hermite_e.hermegauss(nodes)
+    grids = np.meshgrid(*(x * s for s in sds), indexing="ij")
+    weights = np.ones_like(grids[0])
+    for g in np.meshgrid(*([w / w.sum()] * len(sds)), indexing="ij"):
+        weights = weights * g
+    return float((weights * f(*grids)).sum())
+
+
+def _logistic(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def _binary_truth(p1: float, p0: float) -> dict[str, float]:
+    odds = lambda p: p / (1 - p)
+    return {"ey1": p1, "ey0": p0, "ate": p1 - p0, "rr": p1 / p0, "or": odds(p1) / odds(p0)}
+
+
 def linear_ate(spark: SparkSession, n: int = 1000, *, seed: int = 0, effect: float = 1.5) -> tuple[DataFrame, dict[str, float]]:
     """Linear outcome with a constant effect."""
     w = [F.col(f"W{j}") for j in range(1, 5)]
@@ -52,14 +72,31 @@ def binary_outcome(spark: SparkSession, n: int = 1000, *, seed: int = 0) -> tupl
     w = [F.col(f"W{j}") for j in range(1, 4)]
     df = _draw(_base(spark, n, 3, seed), "A", expit(lit(0.4) * w[0] - lit(0.3) * w[1] + lit(0.2) * w[2]), seed)
     eta = lambda a: lit(-0.6) + lit(0.9) * a + lit(0.7) * w[0] - lit(0.5) * w[1] + lit(0.4) * w[2]
-    return _draw(df, "Y", expit(eta(F.col("A"))), seed), {}
+    return _draw(df, "Y", expit(eta(F.col("A"))), seed), _binary_means()
+
+
+def _binary_means() -> dict[str, float]:
+    """The linear predictor is normal around -0.6 + 0.9 a."""
+    sd = math.sqrt(0.7**2 + 0.5**2 + 0.4**2)
+    return _binary_truth(*(_mean_of(lambda z, a=a: _logistic(-0.6 + 0.9 * a + z), sd) for a in (1, 0)))
+
+
+def missing_outcome_binary(spark: SparkSession, n: int = 1000, *, seed: int = 0) -> tuple[DataFrame, dict[str, float]]:
+    """A binary outcome that is missing at random given treatment and covariates."""
+    df, truth = binary_outcome(spark, n, seed=seed)
+    df = _draw(df, "Delta", expit(lit(1) + lit(0.5) * F.col("A") - lit(0.9) * F.col("W1") + lit(0.4) * F.col("W2")), seed)
+    return df.withColumn("Y", F.when(F.col("Delta") == 1, F.col("Y"))), truth
 
 
-def missing_outcome(spark: SparkSession, n: int = 1000, *, seed: int = 0) -> tuple[DataFrame, dict[str, float]]:
+def missing_outcome(spark: SparkSession, n: int = 1000, *, seed: int = 0, strength: float = 1.0) -> tuple[DataFrame, dict[str, float]]:
+    """Outcomes missing at random; above strength 1 the outcome is curved and the mechanism sharper, which biases complete cases."""
+    extra = strength - 1.0
     w = [F.col(f"W{j}") for j in range(1, 4)]
     df = _draw(_base(spark, n, 3, seed), "A", expit(lit(0.4) * w[0] - lit(0.3) * w[1] + lit(0.2) * w[2]), seed)
-    df = _draw(df, "Delta", expit(lit(1.2) + lit(0.6) * F.col("A") - lit(0.8) * w[0] + lit(0.3) * w[2]), seed)
+    df = _draw(df, "Delta", expit(lit(1.2) + lit(0.6) * F.col("A") - lit(0.8 + 0.6 * extra) * w[0] + lit(0.3) * w[2]), seed)
     y = lit(1) + lit(1.2) * F.col("A") + lit(0.9) * w[0] + lit(0.6) * w[1] - lit(0.4) * w[2] + normal("e", seed)
+    if extra:
+        y = y + lit(extra) * (lit(1.1) * F.tanh(lit(1.5) * w[0]) + lit(0.8) * w[1] ** 2 - lit(0.9) * F.col("A") * w[0])
     return df.withColumn("Y", F.when(F.col("Delta") == 1, y)), {"ate": 1.2}
 
 
@@ -112,7 +149,7 @@ def longitudinal(spark: SparkSession, n: int = 2000, *, seed: int = 0) -> tuple[
     df = df.withColumn("A2", F.when(F.col("C1") == 1, F.col("draw_a")))
     df = _draw(df, "draw_c", expit(lit(2.4) + lit(0.2) * F.col("L2")), seed).withColumn("C2", F.when(F.col("C1") == 1, F.col("draw_c")).otherwise(lit(0)))
     df = _draw(df, "draw_y", expit(lit(-0.5) + lit(0.5) * F.col("A1") + lit(0.6) * F.col("A2") + lit(0.4) * F.col("L2") + lit(0.3) * F.col("W1")), seed)
-    return df.withColumn("Y", F.when(F.col("C2") == 1, F.col("draw_y"))).drop("draw_a", "draw_c", "draw_y"), {}
+    return df.withColumn("Y", F.when(F.col("C2") == 1, F.col("draw_y"))).drop("draw_a", "draw_c", "draw_y"), {f"ey[{a}{b}]": _mean_of(lambda w, e, a=a, b=b: _logistic(-0.5 + 0.66 * a + 0.6 * b + 0.5 * w + 0.4 * e), 1, 1) for a in (0, 1) for b in (0, 1)}
 
 
 def nonlinear_ate(spark: SparkSession, n: int = 1000, *, seed: int = 0) -> tuple[DataFrame, dict[str, float]]:
@@ -158,4 +195,10 @@ def longitudinal_survival(spark: SparkSession, n: int = 2000, *, seed: int = 0,
         df = df.withColumns({"Y1": one(seen1), "Y2": one(seen2)})
     else:
         df = df.withColumns({"R1": one(seen1 & (F.col("kind1") == 1)), "D1": one(seen1 & (F.col("kind1") == 0)), "R2": one(seen2 & (late == 1)), "D2": one(seen2 & (late == 0))})
-    return df.drop("hit1", "hit2", "kind1", "kind2", "draw_a", "draw_c"), {}
+    truth = {}
+    for a in (0, 1):
+        for b in (0, 1):
+            first = lambda w, a=a: _logistic(-1.4 - 0.5 * a + 0.4 * w)
+            risk = _mean_of(lambda w, e, a=a, b=b: first(w) + (1 - first(w)) * _logistic(-1.0 - 0.5 * b + 0.3 * (0.5 * w + 0.4 * a + e)), 1, 1)  # noqa: B023
+            truth |= {f"risk[{a}{b}, t1]": _mean_of(first, 1), f"risk[{a}{b}, t2]": risk} if causes == 1 else {f"cif[{a}{b}, r, t2]": 0.6 * risk, f"cif[{a}{b}, d, t2]": 0.4 * risk}
+    return df.drop("hit1", "hit2", "kind1", "kind2", "draw_a", "draw_c"), truth

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Mapping
 from dataclasses import asdict
 from typing import Any
 
@@ -16,6 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_frame(spark: SparkSession, data: Any) -> DataFrame:
+    """A Spark frame from whatever holds a table: a Spark frame, pandas, Arrow, a mapping of columns, or a path.
+
+    Paths say their format by their ending (parquet, orc, json, csv); one without an ending is Parquet.
+    """
+    if isinstance(data, DataFrame):
+        return data
+    if isinstance(data, str):
+        kind = data.rstrip("/").rsplit(".", 1)[-1].lower() if "." in data.rsplit("/", 1)[-1] else "parquet"
+        if kind == "csv":
+            return spark.read.csv(data, header=True, inferSchema=True)
+        if kind not in ("parquet", "orc", "json"):
+            raise ValueError(f"no reader for {data!r}")
+        return spark.read.format(kind).load(data)
+    if isinstance(data, Mapping):
+        import pandas as pd
+
+        return spark.createDataFrame(pd.DataFrame(dict(data)))
+    return spark.createDataFrame(data)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local master without it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
