@@ -221,7 +221,7 @@ def test_em_beats_any_rule_fired():
 
 
 def test_packing_is_gapless_and_near_the_optimum(spark):
-    from tidemark.llm.packing import _encoder, cut, pack_documents, plan
+    from tidemark.llm.packing import cut, pack_documents, plan
 
     assert cut(5, 1024) == [(0, 5)] and cut(2048, 1024) == [(0, 1024), (1024, 1024)] and cut(1500, 1024) == [(0, 476), (476, 1024)]
     rng = random.Random(7)
@@ -229,9 +229,13 @@ def test_packing_is_gapless_and_near_the_optimum(spark):
     slots, used = plan(counts)
     assert sum(n1 - n0 for _, n0, n1, _, _ in slots) == 5000
     assert used <= 1.02 * -(-sum(k * v for k, v in counts.items()) // 1024)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     df, rows = corpus(spark)
     out = pack_documents(df).toPandas()
-    code = _encoder("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    code = lambda texts: [plain.encode(t, add_special_tokens=False).ids for t in texts]
     by_id = {}
     for r in out.itertuples():
         by_id.setdefault(r.doc_id, []).append(r)
@@ -254,11 +258,13 @@ def test_ranks_and_tokenizer_give_the_same_ids(spark):
     from tidemark.llm.packing import _encoder
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(8)
     chars = ["a", "b", " ", "  ", "\n", "\t", "é", "ß", "漢", "🙂", "1", "23", "'s", "'", "<|endoftext|>", "###", " ", "ing", "The", "\x00", "﻿"]
     texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["x" * 5000, "ab" * 3000, " " * 4000]
-    assert _encoder("byte_bpe_50k.json")(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for added in ("ids", "text"):
+        t.encode_special_tokens = added == "text"
+        assert _encoder("byte_bpe_50k.json", added)(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert _encoder("byte_bpe_50k.json", "ids")(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
 
 
 # 6

@@ -8,9 +8,10 @@ the number of different lengths, not of documents.  Pieces then take their slots
 
 Ranks need no length in one task: pieces are spread over hash buckets, counted, and ranked within a bucket.
 
-Nulls and empty texts are one piece that holds the end id alone.  Repeated rows are separate documents.
-Pieces that agree in id and number are ranked in any order, which leaves every sequence gapless.  An empty
-table gives an empty result.
+Nulls and empty texts are one piece that holds the end id alone.  Rows with a null id and repeated rows are
+separate documents; pieces that agree in id and number are ranked in any order, which leaves every sequence
+gapless.  Texts of any length are encoded whole.  An empty table gives an empty result.  Extra columns, also those
+whose names differ by case only, are ignored.
 """
 
 from __future__ import annotations
@@ -39,26 +40,36 @@ BUCKET_ROWS = 20_000
 _BLOCK_CHARS = 1 << 20
 
 
-def _encoder(name: str):
+def _encoder(name: str, added: str = "text"):
     """A function from texts to lists of ids.
 
-    Where the folder also has the vocabulary as ranks, the ranks give the same ids in a quarter of the time
-    (a test holds both against each other); otherwise the tokenizer file itself is used.
+    ``added`` says what the strings of the tokenizer's added tokens, such as ``<|endoftext|>``, are when a text
+    holds them: ordinary text, as the files' own description has it, or the ids of these tokens, as the tokenizer
+    does by default.  Where the folder also has the vocabulary as ranks, the ranks give the same ids in a quarter
+    of the time (a test holds both against each other in either setting); otherwise the tokenizer file is used.
     """
+    if added not in ("text", "ids"):
+        raise ValueError(f"added tokens are text or ids, not {added!r}")
     import public_tokenizers
 
     ranks = public_tokenizers.path(name.removesuffix(".json") + ".tiktoken") if name == TOKENIZER else None
     if ranks:
+        import json
+
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            tokens = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=tokens if added == "ids" else {})
+        if added == "ids":
+            return lambda texts: [coder.encode(t, allowed_special="all") for t in texts]
         return lambda texts: [coder.encode_ordinary(t) for t in texts]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = added == "text"
     return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -68,9 +79,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def _pieces_of(name: str, capacity: int, end_id: int, keep_ids: bool):
+def _pieces_of(name: str, capacity: int, end_id: int, keep_ids: bool, added: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(name)
+        encode = _encoder(name, added)
         for batch in batches:
             texts = batch.column(1).fill_null("")
             sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -99,11 +110,11 @@ def _pieces_of(name: str, capacity: int, end_id: int, keep_ids: bool):
     return run
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, added: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
     docs = pick(df, id_col, text_col).toDF("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_pieces_of(tokenizer, capacity, end_id, keep_ids), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
+    return docs.mapInArrow(_pieces_of(tokenizer, capacity, end_id, keep_ids, added), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -192,6 +203,6 @@ def _placer(table):
     return place
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, added: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row per piece."""
-    return pack(written(pieces(df, id_col, text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id, keep_ids=keep_ids), "pieces"), capacity)
+    return pack(written(pieces(df, id_col, text_col, tokenizer=tokenizer, capacity=capacity, end_id=end_id, keep_ids=keep_ids, added=added), "pieces"), capacity)
