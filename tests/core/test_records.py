@@ -329,3 +329,47 @@ def test_tables_come_in_many_forms(spark, tmp_path):
     assert all((e.psi, e.std_err) == pytest.approx((found[0].psi, found[0].std_err)) for e in found) and as_frame(spark, base) is base
     with pytest.raises(ValueError):
         as_frame(spark, "t.xyz")
+
+
+def test_frames_change_by_their_own_methods(spark):
+    f, (w, a, y) = arrays(spark)
+    half = f.subset(F.col("id") < 200)
+    assert half.n == 200 and sum(half.arm_counts) == 200 and half.df.agg(F.sum("w")).first()[0] == pytest.approx(200)
+    with pytest.raises(StudyError):
+        f.subset(F.col("a") == 1)
+    more = f.with_extra_covariate("noise", F.col("id") % 4)
+    assert more.x == (*f.x, "x_noise") and more.without_covariates("noise").x == f.x
+    for bad in (lambda: more.with_extra_covariate("noise", lit(1)), lambda: f.without_covariates("nope")):
+        with pytest.raises(StudyError):
+            bad()
+    flipped = P.point_tmle(f.with_treatment(1 - F.col("a")), ("ate",), COARSE)["ate"]
+    assert flipped.psi == pytest.approx(-P.point_tmle(f, ("ate",), COARSE)["ate"].psi)
+    with pytest.raises(StudyError):
+        frame_from_arrays(spark, [1.0] * 20, [1] + [0] * 19, list(range(20)))
+    with pytest.raises(CapabilityError):
+        P.fit_nuisances(f, P.Config(scheme="rolling"))
+    assert P.fit_nuisances(f, P.Config(N.CellMean(), N.CellMean(), folds=5)).folds == 5
+
+
+def test_learners_by_name(spark):
+    f, _ = arrays(spark)
+    N.register_learner("half", lambda binary: N.LinearGram(ridge=1.0), replace=True)
+    a, b = (P.point_tmle(f, ("ate",), P.Config(x, "cells", fluctuation="linear"))["ate"].psi for x in ("cells", "half"))
+    assert a == pytest.approx(b, abs=0.05)
+    with pytest.raises(StudyError):
+        N.register_learner("cells", None)
+    with pytest.raises(StudyError):
+        P.fit_nuisances(f, P.Config("nope"))
+
+
+def test_treatments_with_labels_over_time(spark):
+    df, _ = G.longitudinal(spark, 400, seed=6)
+    coarse = df.withColumns({c: F.signum(c) for c in ("W1", "W2", "L2")})
+    named = coarse.withColumns({c: F.when(F.col(c) == 1, "drug").when(F.col(c) == 0, "none") for c in ("A1", "A2")})
+    a = L.ltmle(longitudinal_frame(coarse, LONG), {"x": (1, 0), "y": (0, 0)})
+    b = L.ltmle(longitudinal_frame(named, LONG), {"x": ("none", "drug"), "y": ("drug", "drug")})
+    c = L.ltmle(longitudinal_frame(named, LONG), {"x": ("drug", "none"), "y": ("none", "none")})
+    assert [e.psi for e in a.means] == pytest.approx([e.psi for e in c.means]) and len(b.means) == 2
+    for f, plan in ((longitudinal_frame(named, LONG), ("drug", "other")), (longitudinal_frame(coarse, LONG), ("drug", 1))):
+        with pytest.raises(StudyError):
+            L.ltmle(f, {"x": plan})

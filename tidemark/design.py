@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .errors import CapabilityError, StudyError
 from .functions.expr import code_of, lit
 
-MAX_LEVELS, MAX_CATEGORIES, MIN_ROWS = 20, 50, 10
+MAX_LEVELS, MAX_CATEGORIES, MIN_ROWS, MIN_PER_ARM = 20, 50, 10, 2
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,7 @@ class PointFrame:
     effective_n: float = 0.0
     dose: bool = False
     notes: tuple[str, ...] = ()
+    arm_counts: tuple[int, ...] = ()
 
     @property
     def arms(self) -> int:
@@ -86,10 +87,41 @@ class PointFrame:
             return [f"every one of the {self.n} rows counts alike"]
         return [f"rows are weighted to the population that the weights describe: {self.n} rows, effective size {self.effective_n:.1f}", "estimates are of that population, not of the sample"]
 
+    def subset(self, condition: Column) -> PointFrame:
+        """The rows that meet a condition over the canonical columns, with weights that sum to their number again."""
+        kept = self.df.where(condition)
+        r = kept.agg(F.count("*"), F.sum("w"), F.sum(F.col("w") ** 2), *(F.sum(indicator_of(k)) for k in range(self.arms))).first()
+        if r[0] < MIN_ROWS or (not self.dose and min(r[3:]) < MIN_PER_ARM):
+            raise StudyError("too few rows are left, in all or in an arm")
+        return replace(self, df=kept.withColumn("w", F.col("w") * lit(r[0] / r[1])), n=r[0], effective_n=r[1] ** 2 / r[2], arm_counts=tuple(int(v) for v in r[3:]))
+
+    def with_treatment(self, code: Column) -> PointFrame:
+        """The same rows with other arms, as codes of the same levels."""
+        return replace(self, df=self.df.withColumn("a", code))
+
+    def with_extra_covariate(self, name: str, values: Column) -> PointFrame:
+        """One more covariate, for smooth and for saturated learners."""
+        if f"x_{name}" in self.df.columns:
+            raise StudyError(f"there is a covariate {name} already")
+        return replace(self, df=self.df.withColumn(f"x_{name}", values.cast("double")), x=(*self.x, f"x_{name}"), cells=(*self.cells, f"x_{name}"))
+
+    def without_covariates(self, *names: str) -> PointFrame:
+        """Without these covariates, the indicators of labels included."""
+        gone = lambda c: any(c in (f"x_{n}", f"c_{n}") or c.startswith(f"x_{n}__") for n in names)
+        unknown = [n for n in names if not any(c in (f"x_{n}", f"c_{n}") or c.startswith(f"x_{n}__") for c in (*self.x, *self.cells))]
+        if unknown:
+            raise StudyError(f"no covariates {unknown}")
+        return replace(self, x=tuple(c for c in self.x if not gone(c)), cells=tuple(c for c in self.cells if not gone(c)))
+
     def with_df(self, df: DataFrame) -> PointFrame:
         return replace(self, df=df)
 
 
+def indicator_of(code: int) -> Column:
+    """1 in this arm, else 0."""
+    return F.when(F.col("a") == code, 1).otherwise(0)
+
+
 def resolve_weight_kind(kind: str) -> str:
     """Sampling and inverse-probability weights are one kind; frequency weights are refused."""
     known = {"sampling": "sampling", "ipw": "sampling", "survey": "sampling", "importance": "importance"}
@@ -186,6 +218,7 @@ def point_frame(df: DataFrame, design: PointDesign, q_bounds: tuple[float, float
         checks.append(F.sum(F.when(F.col("cluster").isNull(), 1).otherwise(0)).alias("bad_cluster"))
     if dose:
         checks.append(F.count_distinct("a").alias("doses"))
+    checks += [F.sum(indicator_of(k)).alias(f"arm_{k}") for k in range(len(levels))]
     r = base.agg(*checks).first().asDict()
     n = r["n"]
     if n < MIN_ROWS:
@@ -200,6 +233,9 @@ def point_frame(df: DataFrame, design: PointDesign, q_bounds: tuple[float, float
             raise StudyError(f"{k} has nulls or is not finite")
     if not r["sum_w"] > 0:
         raise StudyError("the weights sum to zero")
+    rare = [str(v) for k, v in enumerate(levels) if r[f"arm_{k}"] < MIN_PER_ARM]
+    if rare:
+        raise StudyError(f"arms with fewer than {MIN_PER_ARM} rows: {rare}")
     if dose and r["doses"] < 2:
         raise StudyError("a dose needs at least two values")
     if r["low"] is None:
@@ -228,7 +264,7 @@ def point_frame(df: DataFrame, design: PointDesign, q_bounds: tuple[float, float
     frame = base.withColumn("w", F.col("w") * lit(n / r["sum_w"])).withColumn("y", F.when(seen, F.col("y")))
     return PointFrame(
         frame, levels, tuple(f"x_{k}" for k in x_names if k not in constant), tuple(f"c_{c}" if f"c_{c}" in frame.columns else f"x_{c}" for c in names), n, family, low, high,
-        bool(design.delta), bool(design.cluster), bool(design.intermediate), bool(design.strata), bool(design.weights), effective, dose, tuple(notes),
+        bool(design.delta), bool(design.cluster), bool(design.intermediate), bool(design.strata), bool(design.weights), effective, dose, tuple(notes), tuple(int(r[f"arm_{k}"]) for k in range(len(levels))),
     )
 
 
@@ -318,6 +354,19 @@ class LongitudinalFrame:
     low: float = 0.0
     high: float = 1.0
     history: tuple[tuple[str, ...], ...] = field(default=())
+    labels: tuple[tuple, ...] = field(default=())
+    """For each time the labels of a treatment that is no number; the frame holds their codes."""
+
+    def code(self, t: int, arm) -> float:
+        """The number that stands for an arm at a time."""
+        held = self.labels[t - 1] if self.labels else ()
+        if not held:
+            if isinstance(arm, str):
+                raise StudyError(f"the treatment at time {t} has no labels: {arm!r}")
+            return float(arm)
+        if arm not in held:
+            raise StudyError(f"no arm {arm!r} at time {t}; there are {list(held)}")
+        return float(held.index(arm))
 
     def baseline_frame(self) -> DataFrame:
         """id and the baseline covariates."""
@@ -333,8 +382,11 @@ def longitudinal_frame(df: DataFrame, d: LongitudinalDesign, q_bounds: tuple[flo
     T = d.times
     cols = [F.col(d.id).alias("id"), (F.col(d.weights).cast("double") if d.weights else lit(1)).alias("w"), (F.col(d.cluster) if d.cluster else F.lit(None).cast("long")).alias("cluster")]
     cols += [F.col(c).cast("double").alias(f"l_0_{c}") for c in d.baseline]
+    labels = []
     for t in range(1, T + 1):
-        cols.append(F.col(d.treatment[t - 1]).cast("double").alias(f"a_{t}"))
+        own = d.treatment[t - 1]
+        labels.append(levels_of(df.where(F.col(own).isNotNull()), own) if df.schema[own].dataType.typeName() == "string" else ())
+        cols.append((code_of(F.col(own), labels[-1]) if labels[-1] else F.col(own)).cast("double").alias(f"a_{t}"))
         cols.append((F.coalesce(F.col(d.censoring[t - 1]).cast("double"), lit(0)) if d.censoring else lit(1)).alias(f"c_{t}"))
         if t > 1 and len(d.time_varying) >= t - 1:
             cols += [F.col(c).cast("double").alias(f"l_{t - 1}_{c}") for c in d.time_varying[t - 2]]
@@ -380,4 +432,4 @@ def longitudinal_frame(df: DataFrame, d: LongitudinalDesign, q_bounds: tuple[flo
         pad = 0.1 * (r["high"] - r["low"])
         low, high = q_bounds or (r["low"] - pad, r["high"] + pad)
     history = tuple(tuple(x for x in base.columns if x.startswith("l_") and int(x.split("_")[1]) < t) for t in range(1, T + 1))
-    return LongitudinalFrame(base.withColumn("w", F.col("w") * lit(r["n"] / r["sum_w"])), d, r["n"], low, high, history)
+    return LongitudinalFrame(base.withColumn("w", F.col("w") * lit(r["n"] / r["sum_w"])), d, r["n"], low, high, history, tuple(labels) if any(labels) else ())

@@ -15,7 +15,7 @@ from ..errors import CapabilityError, StudyError
 from ..functions.expr import clip, indicator, lit, shrink, total
 from .covariate import Component
 from .folds import with_folds
-from .learn import LinearGram, LogisticNewton, Task
+from .learn import LogisticNewton, Task, resolve_learner
 from .order import quantiles
 from .point import Config, Nuisances, Param, Result, Targeted, estimate, released, residual
 from .target import Fluctuation, moved, solve_fluctuation
@@ -111,9 +111,9 @@ def shift_means(f: PointFrame, shifts: Mapping[str, Shift], config: Config = Con
     if config.folds:
         df = with_folds(df, config.folds, seed=config.seed, cluster="cluster" if f.has_cluster else None)
     x, cells = [F.col(c) for c in f.x], [F.col(c) for c in f.cells]
-    df, d = fit_density(df, x, cells, learner=density_learner or config.treatment_learner, bins=bins, edges=edges, folds=config.folds)
+    df, d = fit_density(df, x, cells, learner=resolve_learner(density_learner or config.treatment_learner, True), bins=bins, edges=edges, folds=config.folds)
     design = outcome_features or (lambda a: ([a, a * a, *x], [a, *cells]))
-    q = (config.outcome_learner or LinearGram()).fit(df, Task(F.col("ys"), F.col("w"), F.col("delta") == 1 if f.has_delta else None, config.folds, f.family == "binomial"), *design(F.col("a")))
+    q = resolve_learner(config.outcome_learner, False).fit(df, Task(F.col("ys"), F.col("w"), F.col("delta") == 1 if f.has_delta else None, config.folds, f.family == "binomial"), *design(F.col("a")))
     df = q.predict(df, "q_obs", *design(F.col("a")))
     names = list(shifts)
     for i, s in enumerate(shifts.values()):

@@ -50,6 +50,12 @@ def split_clusters(df: DataFrame, cluster: str) -> DataFrame:
     return df.groupBy(cluster).agg(F.count_distinct("fold").alias("folds")).where("folds > 1")
 
 
+def check_integrity(df: DataFrame, n_folds: int, cluster: str | None = None) -> dict[str, int]:
+    """{rows without a fold, folds without a row, folds out of range, clusters in more than one fold}: all zero in a partition that may be used."""
+    r = df.agg(F.sum(F.when(F.col("fold").isNull(), 1).otherwise(0)), F.count_distinct(F.when((F.col("fold") >= 0) & (F.col("fold") < n_folds), F.col("fold"))), F.count_distinct(F.when((F.col("fold") < 0) | (F.col("fold") >= n_folds), F.col("fold")))).first()
+    return {"unassigned": int(r[0] or 0), "empty": n_folds - r[1], "out_of_range": r[2], "split": split_clusters(df, cluster).count() if cluster else 0}
+
+
 def refuse_scheme(kind: str) -> None:
     """Time-blocked and rolling-origin folds would change what out-of-fold means here."""
     if kind not in ("stratified", "plain", "grouped"):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StudyError
 from ..functions.expr import clip, expit, indicator, lit, total
-from ..sources.store import durable
+from ..sources.store import durable, local_frame
 
 FOLD = "fold"
 
@@ -98,7 +98,7 @@ class CellMean:
         sums = [(F.sum(indicator(F.col("code__") == k) * F.col("w__")) / F.sum("w__")).alias(o) for k, o in enumerate(outs[:levels])]
         t = rows.groupBy(*names).agg(*sums)
         found = t.limit(CELL_ROWS + 1).collect()
-        t = F.broadcast(df.sparkSession.createDataFrame(found, t.schema)) if len(found) <= CELL_ROWS else durable(t, "shares")
+        t = F.broadcast(local_frame(df.sparkSession, found, t.schema)) if len(found) <= CELL_ROWS else durable(t, "shares")
         if not names:
             return df.crossJoin(t)  # one row
         keyed = df.withColumns({n + "__k": c for n, c in zip(names, cells, strict=True)})
@@ -125,7 +125,7 @@ def _few_cells(stats: DataFrame, found: list, names: list[str], folds: int) -> _
     if not folds:
         w, wy = (sum(r[k] or 0.0 for r in found) for k in ("sw", "swy"))
         rows = [(*r[:n], r["swy"] / r["sw"] if r["sw"] and r["swy"] is not None else None) for r in found]
-        table = spark.createDataFrame(rows, StructType([*fields, StructField("m", DoubleType())]))
+        table = local_frame(spark, rows, StructType([*fields, StructField("m", DoubleType())]))
         return _CellFit(F.broadcast(table), names, lit(wy / w if w else 0.0), False)
     byfold: dict[int, tuple[float, float]] = {}
     cells: dict[tuple, dict[int, tuple[float, float]]] = {}
@@ -140,7 +140,7 @@ def _few_cells(stats: DataFrame, found: list, names: list[str], folds: int) -> _
         for v in range(folds):
             sw, swy = own.get(v, (0.0, 0.0))
             rows.append((*key, v, (twy - swy) / (tw - sw) if tw - sw > 1e-9 * tw else None))
-    table = spark.createDataFrame(rows, StructType([*fields, StructField(FOLD, IntegerType()), StructField("m", DoubleType())]))
+    table = local_frame(spark, rows, StructType([*fields, StructField(FOLD, IntegerType()), StructField("m", DoubleType())]))
     return _CellFit(F.broadcast(table), names, _by_fold(_margins(byfold, folds)), True)
 
 
@@ -478,6 +478,31 @@ def default_library(binary: bool) -> list[tuple[str, Any]]:
     return [("boosting", MLlib(R.GBTRegressor(maxIter=20, seed=1))), ("forest", MLlib(R.RandomForestRegressor(seed=1))), ("lasso", MLlib(R.LinearRegression(elasticNetParam=1.0, regParam=0.01))), ("glm", LinearGram())]
 
 
+#: Learners by name: a factory from whether the target is binary.
+LEARNERS: dict[str, Any] = {
+    "cells": lambda binary: CellMean(),
+    "glm": lambda binary: LogisticNewton() if binary else LinearGram(),
+    "super": lambda binary: SuperLearner(default_library(binary), 3),
+}
+
+
+def register_learner(name: str, factory: Any, *, replace: bool = False) -> None:
+    """Make a learner known by a name that configurations may use."""
+    if name in LEARNERS and not replace:
+        raise StudyError(f"the learner {name!r} is registered already")
+    LEARNERS[name] = factory
+
+
+def resolve_learner(given: Any, binary: bool) -> Any:
+    """A learner from an object, a name, or nothing, which is a generalised linear model."""
+    if given is None or isinstance(given, str):
+        name = given or "glm"
+        if name not in LEARNERS:
+            raise StudyError(f"no learner {name!r}; there are {sorted(LEARNERS)}")
+        return LEARNERS[name](binary)
+    return given
+
+
 # Screening.
 
 

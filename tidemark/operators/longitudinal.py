@@ -36,11 +36,12 @@ class Regimen:
     """A plan: one arm per time, or a function of the history's columns giving the arm as a column."""
 
     label: str
-    values: tuple[int | Callable[[], Column], ...]
+    values: tuple[int | str | Callable[[], Column], ...]
 
-    def arm(self, t: int) -> Column:
+    def arm(self, f: LongitudinalFrame, t: int) -> Column:
+        """The assigned arm's number; a function gives it itself, a label is looked up."""
         v = self.values[t - 1]
-        return v().cast("double") if callable(v) else lit(v)
+        return v().cast("double") if callable(v) else lit(f.code(t, v))
 
 
 def resolve_regimens(spec: Mapping[str, Sequence] | Sequence[Regimen], times: int) -> list[Regimen]:
@@ -79,7 +80,7 @@ def following(f: LongitudinalFrame, label: str, t: int) -> Column:
 
 def with_plans(f: LongitudinalFrame, plans: Sequence[Regimen]) -> DataFrame:
     """Evaluate every rule once: columns d_{label}_t."""
-    return f.df.withColumns({f"d_{p.label}_{t}": p.arm(t) for p in plans for t in range(1, f.design.times + 1)})
+    return f.df.withColumns({f"d_{p.label}_{t}": p.arm(f, t) for p in plans for t in range(1, f.design.times + 1)})
 
 
 @dataclass

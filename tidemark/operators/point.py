@@ -21,9 +21,9 @@ from ..errors import CapabilityError, StudyError
 from ..functions.expr import by_code, indicator, lit, shrink, total
 from ..sources.store import durable
 from . import covariate as C
-from .folds import with_folds
+from .folds import refuse_scheme, with_folds
 from .inference import Estimate, coefficient_frame, covariance, cross_validated_variance, select_estimates
-from .learn import FOLD, CellMean, LinearGram, LogisticNewton, Task, solve
+from .learn import FOLD, CellMean, Task, resolve_learner, solve
 from .target import MECHANISMS, Fluctuation, apply, register_mechanism, solve_fluctuation, solve_mechanism, solve_one_step, tilted
 
 
@@ -37,6 +37,7 @@ class Config:
     intermediate_learner: Any = None
     outcome_cells: tuple[str, ...] | None = None
     folds: int = 0
+    scheme: str = "stratified"
     stratify: bool = True
     seed: int = 0
     fluctuation: str = "logistic"
@@ -101,10 +102,16 @@ def fit_nuisances(f: PointFrame, config: Config, z: int | None = None) -> Nuisan
         raise CapabilityError("a dose needs shift_means")
     if z is not None and not f.has_intermediate:
         raise StudyError("no intermediate is declared")
+    refuse_scheme(config.scheme)
     df = f.df.withColumn("ys", f.scaled())
     if config.folds:
-        df = with_folds(df, config.folds, seed=config.seed, stratify="a" if config.stratify else None, cluster="cluster" if f.has_cluster else None)
-    learner = lambda given, binary: given or (LogisticNewton() if binary else LinearGram())
+        deal = config.stratify and config.scheme == "stratified"
+        if deal and f.arm_counts and min(f.arm_counts) < config.folds:  # no more folds than the rarest arm has rows
+            config = replace(config, folds=min(f.arm_counts))
+        # Strata are the arms, and for a binary outcome the arms by outcome, so that no fold lacks either.
+        deck = F.col("a") * 3 + (F.coalesce(F.col("y").cast("int"), F.lit(2)) if f.family == "binomial" else F.lit(0))
+        df = with_folds(df.withColumn("deck__", deck), config.folds, seed=config.seed, stratify="deck__" if deal else None, cluster="cluster" if f.has_cluster else None).drop("deck__")
+    learner = resolve_learner
     w, cells = F.col("w"), [F.col(c) for c in f.cells]
     arms = range(f.arms)
     base = _features(f, None)

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError
-from ..functions.expr import expit, lit, safe_logit
+from ..functions.expr import expit, indicator, lit, safe_logit
 from .inference import Estimate
 from .point import Nuisances, Targeted, residual
 
@@ -33,18 +33,42 @@ class Elements:
     n: int
 
 
-def elements(n: Nuisances, t: Targeted, treated: int = 1) -> Elements:
-    """For the contrast of two arm means: one aggregate of moments and one of curves."""
-    ref, span = n.config.reference, n.frame.span
-    ho = t.components[treated].observed - t.components[ref].observed
+def representer(n: Nuisances, t: Targeted, parameter: str = "ate", arm: int = 1) -> tuple[Column, Column, Column]:
+    """(alpha at the row, the functional applied to alpha, the functional applied to the regression) of a parameter.
+
+    ``ate`` and ``ey`` read the arm means' targeting, ``att`` and ``atc`` their own.
+    """
+    ref = n.config.reference
+    q = lambda k: F.col(f"qs_{k}")
+    if parameter == "ate":
+        return t.components[arm].observed - t.components[ref].observed, t.components[arm].at[arm] + t.components[ref].at[ref], q(arm) - q(ref)
+    if parameter == "ey":
+        return t.components[arm].observed, t.components[arm].at[arm], q(arm)
+    if parameter in ("att", "atc"):
+        if t.group != parameter or n.frame.arms != 2:
+            raise CapabilityError(f"{parameter} needs its own targeting of two arms")
+        own = arm if parameter == "att" else ref
+        inside = indicator(F.col("a") == own) / lit(n.fractions[own])
+        (c,) = t.components
+        return c.observed, inside * (c.at[arm] - c.at[ref]), inside * (q(arm) - q(ref))
+    raise CapabilityError(f"no representer of {parameter!r}")
+
+
+def elements(n: Nuisances, t: Targeted, treated: int = 1, parameter: str = "ate") -> Elements:
+    """For a contrast of two arm means, a level or a conditional effect: one aggregate of moments and one of curves."""
+    span = n.frame.span
+    ho, m, mapped = representer(n, t, parameter, treated)
     r = lit(span) * residual(t)
-    m = t.components[treated].at[treated] + t.components[ref].at[ref]
     w, nu = F.col("w"), lit(2) * m - ho * ho
-    diff = lit(span) * (F.col(f"qs_{treated}") - F.col(f"qs_{ref}"))
+    diff = lit(span) * mapped
     a = t.df.agg(F.sum(w * r * r), F.sum(F.col("w") * F.when(F.col("delta") == 1, 1).otherwise(0)), F.sum(w * nu), F.sum(w), F.sum(w * diff)).first()
     sigma2, nu2, psi = a[0] / a[1], a[2] / a[3], a[4] / a[3]
     bias = math.sqrt(max(sigma2 * nu2, 0.0))
-    ic = w * (ho * r + diff - lit(psi))
+    inside = lit(1)
+    if parameter in ("att", "atc"):  # the estimate is a mean over an arm, whose share is estimated too
+        own = treated if parameter == "att" else n.config.reference
+        inside = indicator(F.col("a") == own) / lit(n.fractions[own])
+    ic = w * (ho * r + diff - inside * lit(psi))
     ic_b = (lit(sigma2) * w * (nu - lit(nu2)) + lit(nu2) * w * (r * r - lit(sigma2))) / lit(2 * max(bias, 1e-300))
     c = t.df.select(ic.alias("x"), ic_b.alias("y")).agg(F.count("*"), F.var_samp("x"), F.covar_samp("x", "y"), F.var_samp("y")).first()
     return Elements(psi, sigma2, nu2, bias, np.array([[c[1], c[2]], [c[2], c[3]]]) / c[0], c[0])

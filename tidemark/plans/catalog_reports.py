@@ -17,13 +17,14 @@ from ..operators import longitudinal as L
 from ..operators import order as O
 from ..operators import point as P
 from ..operators import target as T
-from ..operators.folds import resolve_n_folds, with_folds
+from ..operators import sensitivity as V
+from ..operators.folds import check_integrity, resolve_n_folds, with_folds
 from ..phases import Phases
 from ..sources import generators as G
 from ..sources import store
 from ..streaming.accumulate import Accumulator
 from . import sql as S
-from .catalog import _BASIC, _PRIORITIES, SQL, _direct, _study, orders, query, saturated, shown
+from .catalog import _BASIC, _PRIORITIES, SQL, _conditional_sql, _direct, _study, orders, query, saturated, shown
 from .catalog_more import _PLANS, _VISITS, _mean_frame, _msm_sql, _survival_frame
 
 # Longitudinal: saturated regressions, cross-fits, curves, totals, node reports.
@@ -295,6 +296,47 @@ def _benchmark_sql() -> str:
 SQL["strength_benchmark"] = _benchmark_sql()
 
 
+def _strength_sql(arm: int, name: str) -> str:
+    inside = f"CASE WHEN a = {arm} THEN 1e0 ELSE 0e0 END / pa"
+    return S.query(
+        S.base(), S.nuisances(2), _conditional_sql(arm), f"r AS (SELECT *, y - so AS r, {inside} * (hu + hd) AS m FROM c)",
+        final=f"SELECT '{name}' AS parameter, round(any_value(psi), 6) AS psi, round(sum(w * r * r) / sum(w), 4) AS sigma2, round(sum(w * (2e0 * m - ho * ho)) / sum(w), 6) AS nu2 FROM r",
+    )
+
+
+_LEVEL_STRENGTH = S.query(
+    S.base(), S.nuisances(2), S.linear_means(2), S.curves(2),
+    final="SELECT 'ey' AS parameter, round(any_value(m1), 6) AS psi, round(sum(w * (y - so) * (y - so)) / sum(w), 4) AS sigma2, round(sum(w * (2e0 * p1 - CASE WHEN a = 1 THEN p1 * p1 ELSE 0e0 END)) / sum(w), 6) AS nu2 FROM c",
+)
+
+
+@query("strength_elements", " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (_LEVEL_STRENGTH, _strength_sql(1, "att"), _strength_sql(0, "atc"))))
+def strength_elements(spark, sf_dir):
+    """What an omitted confounder works on, for a level and for both conditional effects."""
+    n = P.fit_nuisances(_study(orders(spark, sf_dir)), saturated())
+    rows = []
+    for name, group in (("ey", "mean"), ("att", "att"), ("atc", "atc")):
+        e = V.elements(n, P.target(n, group), parameter=name)
+        low = n.frame.low if name == "ey" else 0.0
+        rows.append((name, round(low + e.psi, 6), round(e.sigma2, 4), round(e.nu2, 6)))
+    return spark.createDataFrame(rows, "parameter string, psi double, sigma2 double, nu2 double")
+
+
+@query("bounded_mechanism")
+def bounded_mechanism(spark, sf_dir):
+    """The truncated tilt of one arm's mechanism, by bisection."""
+    n = P.fit_nuisances(_study(orders(spark, sf_dir), treatment="priority"), saturated())
+    eps = T.solve_mechanism(n.df, lit(1), treatment=F.when(F.col("a") == 1, lit(1)).otherwise(lit(0)), g=F.col("g_1"), bounds=(0.198, 0.99))
+    return spark.createDataFrame([("2-HIGH", round(eps, 5))], "arm string, epsilon double")
+
+
+@query("fold_integrity", S.query(S.base(), final="SELECT 0::INTEGER AS unassigned, 0::INTEGER AS empty, 0::INTEGER AS out_of_range, 0::INTEGER AS split"))
+def fold_integrity(spark, sf_dir):
+    """What may be wrong with a partition, and is not."""
+    r = check_integrity(with_folds(orders(spark, sf_dir), 5, cluster="cl"), 5, "cl")
+    return spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} int" for k in r))
+
+
 def _tipping_sql(steps: int = 24) -> str:
     """Halvings of the side of zero on which the tilted contrast changes its sign: as many as six grids of sixteen."""
     f = lambda g: f"sum(w * (pi1 * s1 + (1e0 - pi1) / (1e0 + exp(-(ln(s1 / (1e0 - s1)) + {g}))) - s0))"
@@ -461,6 +503,9 @@ def armwise_mechanism(spark, sf_dir):
     return spark.createDataFrame([(p, round(e, 5)) for p, e in zip(_PRIORITIES, eps, strict=True)], "arm string, epsilon double")
 
 
+SQL["bounded_mechanism"] = _armwise_sql() + " WHERE arm = '2-HIGH'"
+
+
 @query("validated", "SELECT * FROM (VALUES ('finite', 'passed'), ('covariance', 'passed'), ('ranges', 'passed'), ('scores', 'passed'), ('converged', 'passed')) v(\"check\", status)")
 def validated(spark, sf_dir):
     """The cheap battery of a finished fit."""

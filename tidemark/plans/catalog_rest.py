@@ -95,6 +95,13 @@ def super_learner(spark, sf_dir):
     return shown(spark, P.point_tmle(_study(orders(spark, sf_dir), outcome="f"), ("ate",), c).estimates)
 
 
+@query("flexible_learners")
+def flexible_learners(spark, sf_dir):
+    """Boosting, a forest, a lasso and a linear model, combined for the outcome; learners are given by name."""
+    f = point_frame(*_selectable(spark, sf_dir))
+    return shown(spark, P.point_tmle(f, ("ate",), P.Config("super", "glm", fluctuation="linear")).estimates)
+
+
 @query("mllib_learner")
 def mllib_learner(spark, sf_dir):
     from pyspark.ml.regression import DecisionTreeRegressor

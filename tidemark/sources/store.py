@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,18 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: StructType) -> DataFrame:
+    """A frame of rows that the driver holds, handed over as Arrow, so that it is part of the plan and needs no job."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    try:
+        columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema.fields)]
+        return spark.createDataFrame(pa.Table.from_arrays(columns, schema.names), schema)
+    except (pa.ArrowException, TypeError, PySparkException):  # a type that Arrow has in another form
+        return spark.createDataFrame(rows, schema)
+
+
 def fingerprint(df: DataFrame) -> str:
     """A digest of the rows that does not depend on their order."""
     text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in df.columns))
