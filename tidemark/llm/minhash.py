@@ -7,7 +7,8 @@ counts give a collision-corrected similarity that discards hopeless candidates.
 on the full sets: 100 * |A n B| >= 75 * |A u B|.
 
 A bucket never compares all its pairs.  First each member is held against one pivot of its bucket, which
-differs from band to band, and connected classes are contracted.  In a bucket that still holds several components,
+differs from band to band: of all its pivots against the likeliest, and once the classes so connected are
+contracted, against those that are still in other components.  In a bucket that still holds several components,
 only members outside its largest one are held against the others: a bucket of N members of which r lie outside
 costs r * N comparisons, dealt in blocks of at most ``BLOCK`` by ``BLOCK`` members.  Pairs whose bit counts and
 sizes allow a link are confirmed.  Every link between candidates is thus found or already implied.  Where one
@@ -142,22 +143,27 @@ def _possible(a: str, b: str) -> Column:
     return sizes & (estimate(F.col(f"{a}.sign"), F.col(f"{b}.sign")) >= LEAST_ESTIMATE)
 
 
+def _beside(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b, salt, ..) with columns a_.. and b_.. of the facts of a and b; b's go once to each of its salts."""
+    heads = pairs.select("b", "salt").distinct().join(facts, F.col("b") == F.col("node")).select("b", "salt", *(F.col(c).alias(f"b_{c}") for c in columns))
+    one = pairs.join(facts, F.col("a") == F.col("node")).select(*pairs.columns, *(F.col(c).alias(f"a_{c}") for c in columns))
+    return one.join(heads, ["b", "salt"])
+
+
 def _open(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs (a, b, salt) that sizes and bit counts leave open; b's facts go once to each of its salts."""
+    """The pairs (a, b, salt) that sizes and bit counts leave open, with their estimate."""
     facts = signs.select("node", "n", "sign")
     heads = pairs.select("b", "salt").distinct().join(facts, F.col("b") == F.col("node")).select("b", "salt", "n", "sign").alias("q")
     one = pairs.join(facts, F.col("a") == F.col("node")).select("a", "b", "salt", "n", "sign").alias("p")
     same = (F.col("p.b") == F.col("q.b")) & (F.col("p.salt") == F.col("q.salt"))
-    return one.join(heads, same & _possible("p", "q")).select("a", "p.b", "p.salt")
+    return one.join(heads, same & _possible("p", "q")).select("a", "p.b", "p.salt", estimate(F.col("p.sign"), F.col("q.sign")).alias("est"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, salt), a written table, whose full sets are similar enough."""
-    heads = pairs.select("b", "salt").distinct().join(sets, F.col("b") == F.col("node")).select("b", "salt", F.col("set").alias("set_b"))
-    one = pairs.join(sets, F.col("a") == F.col("node")).select("a", "b", "salt", F.col("set").alias("set_a"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    whole = F.size("set_a") + F.size("set_b")
-    return one.join(heads, ["b", "salt"]).where(100 * both >= PERCENT * (whole - both)).select("a", "b")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    whole = F.size("a_set") + F.size("b_set")
+    return _beside(pairs.select("a", "b", "salt"), sets, "set").where(100 * both >= PERCENT * (whole - both)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,8 +216,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     spokes = members.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "crowd").where("a <> b").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
     spokes = written(spokes.select("a", "b", deal("a", blocks("crowd")).alias("salt")), "pairs")
-    edges = written(_confirmed(written(_open(spokes, signs), "open"), sets), "spokes")
+    opened = written(_open(spokes, signs), "open")
+    best = written(opened.groupBy("a").agg(F.max(F.struct("est", "b", "salt")).alias("m")).select("a", "m.b", "m.salt"), "best")
+    edges = written(_confirmed(best, sets), "spokes")
     roots = components(edges)
+    rooted = signs.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    second = _beside(opened.join(best, ["a", "b"], "left_anti"), written(rooted, "rooted"), "root").where("a_root <> b_root")
+    further = written(_confirmed(written(second.select("a", "b", "salt"), "second"), sets), "further")
+    if not further.isEmpty():
+        edges = edges.unionByName(further)
+        roots = components(edges)
 
     # What a bucket still holds apart: members outside its largest component, against members of other components.
     placed = members.select("band", "place", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
