@@ -373,3 +373,26 @@ def test_treatments_with_labels_over_time(spark):
     for f, plan in ((longitudinal_frame(named, LONG), ("drug", "other")), (longitudinal_frame(coarse, LONG), ("drug", 1))):
         with pytest.raises(StudyError):
             L.ltmle(f, {"x": plan})
+
+
+def test_draws_with_replacement_add_up(spark):
+    df = spark.range(500).withColumns({"w": lit(1), "cl": F.floor(F.col("id") / 5)})
+    a, b = I.multinomial_weights(df, 1), I.multinomial_weights(df, 2, unit="cl")
+    assert a.agg(F.sum("w")).first()[0] == 500 and b.agg(F.sum("w")).first()[0] == 500
+    share = a.where("w = 0").count() / 500
+    assert abs(share - np.exp(-1)) < 0.08 and b.groupBy("cl").agg(F.count_distinct("w").alias("k")).where("k > 1").isEmpty()
+    assert sorted(r.id for r in a.where("w > 1").collect()) == sorted(r.id for r in I.multinomial_weights(df.repartition(5), 1).where("w > 1").collect())
+    assert I.map_parallel(lambda x: x * x, range(6), 3) == [0, 1, 4, 9, 16, 25]
+
+
+def test_typed_methods_and_narrow_bands(spark):
+    from tidemark import study as Q
+
+    f, _ = arrays(spark)
+    r = P.point_tmle(f, ("ey1", "ey0", "ate"), COARSE)
+    wide, narrow = {n: h - l for n, l, h in Q.simultaneous(r)}, {n: h - l for n, l, h in Q.simultaneous(r, names=["ate"])}
+    assert list(narrow) == ["ate"] and narrow["ate"] < wide["ate"]
+    for bad in (lambda: Q.TMLEMethod(nope=1), lambda: Q.CollaborativeMethod(strategy="x"), lambda: Q.GuardedMethod(guard=())):
+        with pytest.raises(StudyError):
+            bad()
+    assert Q.GuardedMethod(rounds=3).options["rounds"] == 3 and Q.CollaborativeMethod().name == "collaborative"

@@ -232,18 +232,52 @@ def bootstrap_weights(df: DataFrame, replicate: int, *, unit: str = "id", seed:
     return df.withColumn("w", F.col("w") * count)
 
 
-def run_bootstrap(df: DataFrame, refit: Callable[[DataFrame], Mapping[str, float]], *, replicates: int = 50, unit: str = "id", seed: int = 0, parallel: int = 4) -> dict[str, np.ndarray]:
-    """Full refits under resampled weights, a few jobs at a time; failed replicates are dropped and counted."""
+def ranked_units(df: DataFrame, unit: str, seed: int) -> DataFrame:
+    """(unit, rank) from 0 in the order of a hash; ranks are counted by ranges of the hash first, so no order needs one task."""
+    from pyspark.sql import Window as W
+
+    units = df.select(unit).distinct().withColumn("h", F.xxhash64(F.col(unit), F.lit(seed))).withColumn("part", F.shiftright("h", 52))
+    parts = units.groupBy("part").agg(F.count("*").alias("c"))
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    units = units.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("h", unit)) - 1)
+    return units.join(parts, "part").select(unit, (F.col("r") + F.col("ahead")).alias("rank"))
+
+
+def multinomial_weights(df: DataFrame, replicate: int, *, unit: str = "id", seed: int = 0) -> DataFrame:
+    """``w`` times how often the unit is among as many draws with replacement as there are units.
+
+    Draw j of a replicate is a hash of j, so the counts add up to the number of units exactly.
+    """
+    units = ranked_units(df, unit, seed)
+    n = units.count()
+    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(replicate), F.lit(seed)), 11) / lit(2.0**53)
+    drawn = df.sparkSession.range(n).select(F.floor(u * n).alias("rank")).groupBy("rank").agg(F.count("*").alias("times__"))
+    counts = units.join(drawn, "rank").select(unit, "times__")
+    return df.join(counts, unit, "left").withColumn("w", F.col("w") * F.coalesce("times__", F.lit(0))).drop("times__")
+
+
+def map_parallel(function: Callable, items: Sequence, parallel: int = 4) -> list:
+    """``function`` of every item, a few at a time: each call submits Spark jobs of its own, whose results keep the items' order."""
     from concurrent.futures import ThreadPoolExecutor
 
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return list(pool.map(function, items))
+
+
+def run_bootstrap(df: DataFrame, refit: Callable[[DataFrame], Mapping[str, float]], *, replicates: int = 50, unit: str = "id", seed: int = 0, parallel: int = 4, exact: bool = False) -> dict[str, np.ndarray]:
+    """Full refits under resampled weights, a few jobs at a time; failed replicates are dropped and counted.
+
+    Counts are Poisson by default, which needs no shuffle; ``exact`` draws them with replacement.
+    """
+    weigh = multinomial_weights if exact else bootstrap_weights
+
     def one(b: int) -> Mapping[str, float] | None:
         try:
-            return refit(bootstrap_weights(df, b, unit=unit, seed=seed))
+            return refit(weigh(df, b, unit=unit, seed=seed))
         except (StudyError, np.linalg.LinAlgError):
             return None
 
-    with ThreadPoolExecutor(parallel) as pool:
-        found = [r for r in pool.map(one, range(replicates)) if r]
+    found = [r for r in map_parallel(one, range(replicates), parallel) if r]
     out = {k: np.array([r[k] for r in found]) for k in (found[0] if found else {})}
     out["__failed"] = np.array([replicates - len(found)])
     return out

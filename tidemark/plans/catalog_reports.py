@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import assessment as A
+from .. import study as Q
 from ..design import PointDesign, frame_from_arrays, point_frame
 from ..functions.expr import lit
 from ..operators import covariate as C
@@ -604,3 +605,25 @@ def known_binary_truth(spark, sf_dir):
     f = point_frame(df, PointDesign("Y", "A", "id", ("W1", "W2", "W3"), delta="Delta"))
     r = P.point_tmle(f, ("ey1", "ey0", "ate", "rr", "or"), P.Config())
     return spark.createDataFrame([(e.name, e.psi, e.std_err, truth[e.name]) for e in r.estimates], "estimand string, psi double, std_err double, truth double")
+
+
+@query("provenance", f"WITH {S.ORDERS} SELECT 7::INTEGER AS seed, 5::INTEGER AS folds, count(*) || ':' || sum(('0x' || substr(md5(id::VARCHAR || chr(31) || a::VARCHAR), 1, 15))::HUGEINT) AS data FROM d0")
+def provenance(spark, sf_dir):
+    """What a run was made of: settings and a digest of its data."""
+    p = store.provenance(orders(spark, sf_dir).select("id", "a"), seed=7, folds=5)
+    return spark.createDataFrame([(p["seed"], p["folds"], p["data"])], "seed int, folds int, data string")
+
+
+@query("multinomial_counts", "SELECT count(*)::BIGINT AS units, count(*)::BIGINT AS draws FROM orders")
+def multinomial_counts(spark, sf_dir):
+    """Counts with replacement add up to the number of units."""
+    df = I.multinomial_weights(orders(spark, sf_dir).withColumn("w", lit(1)), 0)
+    return df.agg(F.count("*").alias("units"), F.sum("w").cast("long").alias("draws"))
+
+
+@query("typed_methods", _ATE)
+def typed_methods(spark, sf_dir):
+    """A question answered by a method with typed settings."""
+    effect = Q.CausalStudy(orders(spark, sf_dir).select("id", "y", "a", "seg"), PointDesign("y", "a", "id", ("seg",))).identify(Q.ATE())
+    m = Q.TMLEMethod(outcome_learner="cells", treatment_learner="cells", outcome_cells=(), fluctuation="linear", stratify=False)
+    return shown(spark, effect.estimate(m).estimates).select("estimand", "psi", "std_err")

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from .design import LongitudinalDesign, LongitudinalFrame, PointDesign, PointFrame, longitudinal_frame, point_frame
@@ -20,7 +21,7 @@ from .errors import CapabilityError, StudyError
 from .operators import longitudinal as L
 from .operators import point as P
 from .operators.dose import Shift, shift_means
-from .operators.inference import bands, normal_critical
+from .operators.inference import bands, normal_critical, select_estimates
 
 
 @dataclass(frozen=True)
@@ -139,6 +140,28 @@ class Method:
         return Method(self.name, replace(self.config, **known), {**self.options, **{k: v for k, v in changes.items() if k not in known}})
 
 
+def TMLEMethod(**config: Any) -> Method:  # noqa: N802  (a method, spelt like a type)
+    """Plain targeting; keywords are those of the configuration, and no others."""
+    unknown = set(config) - set(P.Config.__dataclass_fields__)
+    if unknown:
+        raise StudyError(f"unknown settings {sorted(unknown)}")
+    return Method("tmle", P.Config(**config))
+
+
+def CollaborativeMethod(config: P.Config = P.Config(), *, strategy: str = "greedy", order: Sequence[str] | str = "logistic", selection_folds: int = 3, loss: str = "squared") -> Method:  # noqa: N802
+    """Covariates of the treatment model chosen by the targeted outcome loss."""
+    if strategy not in ("greedy", "ordered", "outcome_adaptive") or loss not in ("squared", "likelihood") or selection_folds < 2:
+        raise StudyError("a strategy, a loss and two selection folds or more are needed")
+    return Method("collaborative", config, {"strategy": strategy, "order": order, "selection_folds": selection_folds, "loss": loss})
+
+
+def GuardedMethod(config: P.Config = P.Config(), *, guard: Sequence[str] = ("q", "g"), rounds: int = 15, tol: float = 1e-6, learner: Any = None) -> Method:  # noqa: N802
+    """Inference that holds if either nuisance is consistent."""
+    if not guard or not set(guard) <= {"q", "g"} or rounds < 1 or tol <= 0:
+        raise StudyError("guards are q and g, with a positive number of rounds and tolerance")
+    return Method("drtmle", config, {"guard": tuple(guard), "rounds": rounds, "tol": tol, "learner": learner})
+
+
 _ARM = (ATE, ATT, ATC, CounterfactualMean, NaturalCourse, PopulationAttributableRisk, PopulationAttributableFraction, RiskRatio, OddsRatio)
 _SELECTIVE = (ATE, CounterfactualMean, RiskRatio, OddsRatio)
 
@@ -229,6 +252,7 @@ class CausalStudy:
             raise StudyError("a working model has terms")
 
 
-def simultaneous(result: P.Result, alpha: float = 0.05) -> list[tuple[str, float, float]]:
-    """Bands that hold for all of a result's parameters together."""
-    return bands(result.estimates, normal_critical(result.cov, alpha=alpha))
+def simultaneous(result: P.Result, alpha: float = 0.05, names: Sequence[str] | None = None) -> list[tuple[str, float, float]]:
+    """Bands that hold for all of a result's parameters together, or for the named ones, which makes them narrower."""
+    at = list(range(len(result.estimates))) if names is None else [result.estimates.index(e) for e in select_estimates(result.estimates, names)]
+    return bands([result.estimates[i] for i in at], normal_critical(result.cov[np.ix_(at, at)], alpha=alpha))
