@@ -595,14 +595,17 @@ def test_members_held_apart_are_compared_in_blocks(spark, monkeypatch, block):
 def test_comparisons_grow_with_the_group_not_with_its_square(spark, monkeypatch):
     from tidemark.llm import minhash as M
 
-    tables = {}
-    real = M.written
-    monkeypatch.setattr(M, "written", lambda df, name: tables.setdefault(name, real(df, name)) if name == "apart" else real(df, name))
-    pairs = []
+    pairs, real = [], M.written
+
+    def seen(df, name):
+        made = real(df, name)
+        if name == "apart":
+            pairs.append(made.agg(F.sum(F.col("minors") * F.col("crowd"))).first()[0])
+        return made
+
+    monkeypatch.setattr(M, "written", seen)
     for n in (200, 800):  # a growing group and the same few outliers
-        tables.clear()
         assert len({r.component_id for r in M.near_duplicates(spark.createDataFrame(near_group(n, 8), DOCS)).collect()}) > 1
-        pairs.append(tables["apart"].agg(F.sum(F.col("minors") * F.col("crowd"))).first()[0])
     assert pairs[1] < 7 * pairs[0]  # in proportion would be 4, all pairs 16
 
 
@@ -787,3 +790,49 @@ def test_carried_columns_may_not_take_the_names_of_results(spark):
     for run in (lambda c: langid.identify(df, carry=c), lambda c: quality.classify(df, carry=c), lambda c: toxicity.score_toxicity(df, labels, carry=c)):
         with pytest.raises(ValueError):
             run(("score",))
+
+
+def test_tables_that_nothing_reads_are_deleted(spark):
+    import os
+
+    from tidemark.llm._common import discard, shared_dir, written
+    from tidemark.llm.minhash import near_duplicates
+
+    place = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(place))
+    df, _ = corpus(spark, 30)
+    out = near_duplicates(df)
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(place)) - before}
+    assert {"signed", "labels"} <= left and not left & {"held", "placed", "members", "sets", "candidates", "open", "large"}
+    assert out.count() == df.count()
+    table = written(df, "t")
+    discard(table)
+    assert not any(n.startswith("t-") for n in os.listdir(place))
+    with pytest.raises(ValueError):
+        discard(df)
+
+
+class _Session:
+    """A session without the setting for shared folders."""
+
+    def __init__(self, master):
+        self.master, self.held = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.held
+
+    def setCheckpointDir(self, path):  # noqa: N802
+        self.held = path + "/own"
+
+
+def test_only_a_local_master_gets_a_folder_of_its_own():
+    from tidemark.llm._common import shared_dir
+
+    local = _Session("local[2]")
+    assert shared_dir(local).startswith("file://") and shared_dir(local) == shared_dir(local)
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session("spark://far:7077"))

@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(made)  # the setting itself cannot change in a running session
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +34,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path  # what ``discard`` deletes
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``written`` that no plan reads any more: what was made of them is itself written."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path is None:
+            raise ValueError("only tables made by written() are discarded")
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import pick, written
+from ._common import discard, pick, written
 
 K = 10
 #: Distinct codes in a shard and queries in a block, about: shards hold no more, blocks no less.
@@ -175,6 +175,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, *,
     # A query needs the best k + 1 ids of its code, whichever rows ask.
     best = near.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbor_id"))).where(F.col("r") <= k + 1)
     best = written(best.select("query", "neighbor_id", "distance"), "found")
+    discard(held, asked)
     asking = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
     out = asking.join(best, "query").where("query_id <> neighbor_id")
     out = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query").orderBy("distance", "neighbor_id")))

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import no_clash, pick, written
+from ._common import discard, no_clash, pick, written
 
 #: Texts to learn from, words and n-grams to know, all of them by language.
 PER_LANGUAGE, WORDS, GRAMS = 3000, 100_000, 50_000
@@ -274,7 +274,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, g
     counted = written(drawn.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     parts = written(counted.mapInArrow(_count_grams, "lang string, gram bigint, size int, n bigint").groupBy("lang", "gram", "size").agg(F.sum("n").alias("n")), "grams")
     languages = sorted(sizes)
-    return Model(languages, _most_frequent(counted, ["word"], words, languages), _most_frequent(parts, ["gram", "size"], grams, languages))
+    model = Model(languages, _most_frequent(counted, ["word"], words, languages), _most_frequent(parts, ["gram", "size"], grams, languages))
+    discard(counted, parts)
+    return model
 
 
 def _predict(model):

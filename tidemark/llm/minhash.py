@@ -7,7 +7,7 @@ counts give a collision-corrected similarity that discards hopeless candidates.
 on the full sets: 100 * |A n B| >= 75 * |A u B|.
 
 A bucket never compares all its pairs.  First each member is held against one pivot of its bucket, which
-differs from band to band: of all its pivots against the likeliest, and once the classes so connected are
+differs from band to band, in every second band: of all its pivots against the likeliest, and once the classes so connected are
 contracted, against those that are still in other components.  In a bucket that still holds several components,
 only members outside its largest one are held against the others: a bucket of N members of which r lie outside
 costs r * N comparisons, dealt in blocks of at most ``BLOCK`` by ``BLOCK`` members.  Pairs whose bit counts and
@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import BROADCAST_ROWS, pick, written
+from ._common import BROADCAST_ROWS, discard, pick, written
 
 SHINGLE, PERCENT = 5, 75
 #: Members of a bucket, or partners of a class, that one task handles together.
 BLOCK = 1024
+#: Every so manieth band lends its buckets' pivots to the first contraction; all bands are compared after it.
+PIVOT_BANDS = 2
 BANDS, ROWS, BITS = 32, 4, 4
 #: A candidate whose estimate is below this, five standard deviations under the threshold, is discarded.
 LEAST_ESTIMATE = 0.55
@@ -181,13 +183,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "large")
         down = large.groupBy("a").agg(F.min("b").alias("root"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b")
-        now = written(small.unionByName(down.select("a", F.col("root").alias("b"))).distinct(), "small")
+        before, now = now, written(small.unionByName(down.select("a", F.col("root").alias("b"))).distinct(), "small")
+        discard(before, large)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 2**40)).first()
         if seen == mark:
             break
         mark = seen
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return written(pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct()), "components")
+    found = written(pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct()), "components")
+    discard(now)
+    return found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,28 +219,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    spokes = members.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "crowd").where("a <> b").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    spokes = members.where(F.col("place") % PIVOT_BANDS == 0).select(F.col("node").alias("a"), F.col("pivot").alias("b"), "crowd").where("a <> b").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
     spokes = written(spokes.select("a", "b", deal("a", blocks("crowd")).alias("salt")), "pairs")
     opened = written(_open(spokes, signs), "open")
     best = written(opened.groupBy("a").agg(F.max(F.struct("est", "b", "salt")).alias("m")).select("a", "m.b", "m.salt"), "best")
     edges = written(_confirmed(best, sets), "spokes")
     roots = components(edges)
+    discard(spokes)
     rooted = signs.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = _beside(opened.join(best, ["a", "b"], "left_anti"), written(rooted, "rooted"), "root").where("a_root <> b_root")
-    further = written(_confirmed(written(second.select("a", "b", "salt"), "second"), sets), "further")
+    rooted = written(rooted, "rooted")
+    second = _beside(opened.join(best, ["a", "b"], "left_anti"), rooted, "root").where("a_root <> b_root")
+    second = written(second.select("a", "b", "salt"), "second")
+    further = written(_confirmed(second, sets), "further")
+    edges = edges.unionByName(further)
     if not further.isEmpty():
-        edges = edges.unionByName(further)
+        discard(roots)
         roots = components(edges)
+    discard(opened, best, rooted, second)
 
     # What a bucket still holds apart: members outside its largest component, against members of other components.
     placed = members.select("band", "place", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
+    discard(members, buckets)
     apart = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("crowd"), F.count("*").alias("kinds"))
     apart = apart.where("kinds > 1").select("band", F.col("major.root").alias("major"), "crowd", (F.col("crowd") - F.col("major.n")).alias("minors"))
-    held = placed.join(written(apart, "apart"), "band")
+    apart = written(apart, "apart")
+    held = placed.join(apart, "band")
     longer = sets.join(held.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_long_signs, "node bigint, long_sign array<bigint>")
-    facts = classes.select("node", "n", "sign", "bands").join(written(longer, "longer"), "node")
-    held = written(held.join(facts, "node"), "held")
+    longer = written(longer, "longer")
+    held = written(held.join(classes.select("node", "n", "sign", "bands").join(longer, "node"), "node"), "held")
+    discard(placed, apart, longer)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     p = held.withColumn("own", deal("node", blocks("crowd"))).withColumn("other", every(blocks("minors"))).alias("p")
     q = held.where("root <> major").withColumn("other", deal("node", blocks("minors"))).withColumn("own", every(blocks("crowd"))).alias("q")
@@ -246,15 +259,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     once = (F.col("p.root") != F.col("q.root")) & ((F.col("p.root") == F.col("p.major")) | (F.col("p.node") > F.col("q.node")))
     rest = p.join(q, together & once & _possible("p", "q") & (estimate(F.col("p.long_sign"), F.col("q.long_sign"), LONG_MINIMA, LONG_BITS) >= LONG_LEAST) & (first == F.col("p.place")))
     rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.own").alias("salt")), "rest")
+    discard(held)
     more = written(_confirmed(rest, sets), "links")
+    discard(rest, sets, signs)
     if not more.isEmpty():
+        discard(roots)
         roots = components(edges.unionByName(more))
 
     named = classes.select("node", "check", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    least = written(named.select("node", "check", "root").join(written(least, "least"), "root").select("node", "check", "component_id"), "labels")
-    out = some.select("doc_id", "n_shingles", "node", "check").join(least, ["node", "check"]).select("doc_id", "n_shingles", "component_id")
+    least = written(least, "least")
+    labels = written(named.select("node", "check", "root").join(least, "root").select("node", "check", "component_id"), "labels")
+    discard(classes, roots, named, least, more)
+    out = some.select("doc_id", "n_shingles", "node", "check").join(labels, ["node", "check"]).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, pick, written
+from ._common import BROADCAST_ROWS, discard, pick, written
 
 MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -125,7 +125,8 @@ def mix_sources(
     cuts = _small(sizes.select(F.col("source").alias("s"), F.ceil(F.col("n") * OCTAVE / SLICE_ROWS).alias("cuts"), (F.col("n") > SLICE_ROWS).alias("many")))
     place = F.when(F.col("many"), F.floor(F.log2(F.greatest(F.col("key"), F.lit(2.0**-60))) * F.col("cuts"))).otherwise(0)
     cut = docs.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("slice", place.cast("long")).drop("s", "cuts", "many")
-    parts = _running(written(cut.groupBy("source", "slice").agg(F.sum("size").alias("part")), "parts"))
+    summed = written(cut.groupBy("source", "slice").agg(F.sum("size").alias("part")), "parts")
+    parts = _running(summed)
     parts = parts.join(_small(goals), parts["source"].eqNullSafe(goals["source"])).select(parts["source"], "slice", "part", "ahead", "source_size", "target", "epochs", "rest")
     parts = written(parts, "slices")
     same = parts["source"].eqNullSafe(cut["source"]) & (parts["slice"] == cut["slice"])
@@ -138,6 +139,7 @@ def mix_sources(
     edge = placed.where("split").withColumn("run", F.col("ahead") + F.sum("size").over(order)).withColumn("picked", (F.col("run") <= F.col("rest")).cast("int"))
     even = placed.where("not split").withColumn("run", F.lit(0).cast("long")).withColumn("picked", (F.col("ahead") + F.col("part") <= F.col("rest")).cast("int"))
     chosen = written(edge.unionByName(even), "chosen")
+    discard(docs, summed, parts, placed)
 
     # The gap that is left, and the document not yet picked whose size is nearest to it.
     got = written(chosen.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("picked") * F.col("size")).alias("got")), "got")

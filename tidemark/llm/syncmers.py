@@ -147,7 +147,7 @@ def _ranges(ids: DataFrame) -> tuple[list[int], list[int]]:
         return [], [1]
     found = ids.agg(F.percentile_approx("at", _numbers([i / k for i in range(1, k)], "double"), max(10_000, 4 * k))).first()[0]
     times = {v: found.count(v) for v in dict.fromkeys(found)} if len(set(found)) < len(found) else dict.fromkeys(found, 1)
-    bounds = sorted({*times, *(v + 1 for v, m in times.items() if m > 1)})
+    bounds = sorted({*times, *(v + 1 for v, m in times.items() if m > 1 and v < 2**63 - 1)})
     return bounds, [1, *(times.get(v, 1) for v in bounds)]
 
 
