@@ -396,3 +396,29 @@ def test_typed_methods_and_narrow_bands(spark):
         with pytest.raises(StudyError):
             bad()
     assert Q.GuardedMethod(rounds=3).options["rounds"] == 3 and Q.CollaborativeMethod().name == "collaborative"
+
+
+class _Session:
+    """A session without the setting for shared folders."""
+
+    def __init__(self, master):
+        self.master, self.held = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.held
+
+    def setCheckpointDir(self, path):  # noqa: N802
+        self.held = path + "/own"
+
+
+def test_only_a_local_master_gets_a_folder_of_its_own():
+    from tidemark.sources.store import shared_dir
+
+    local = _Session("local[2]")
+    assert shared_dir(local).startswith("file://") and shared_dir(local) == shared_dir(local)
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session("spark://far:7077"))
