@@ -36,3 +36,21 @@ def test_queries_ask_for_whole_counts(spark, monkeypatch):
             f(spark, SF)
     assert asked["doubly_robust"].get("rounds", 15) >= 15 and asked["multiplier_critical"].get("draws", 1000) >= 1000
     assert asked["refute"]["replicates"] >= 5 and asked["bootstrap"]["replicates"] >= 200 and asked["coverage_study"]["replicates"] >= 100
+
+
+def test_given_orders_name_covariates(spark):
+    import numpy as np
+
+    from tidemark.design import PointDesign, point_frame
+    from tidemark.errors import StudyError
+    from tidemark.operators import point as P
+    from tidemark.operators import selective as X
+
+    g = np.random.default_rng(3)
+    rows = [(i, float(g.integers(0, 2)), int(g.integers(0, 2)), float(g.normal()), "pqr"[i % 3], 1.0) for i in range(300)]
+    f = point_frame(spark.createDataFrame(rows, "id long, y double, a int, u double, v string, one double"), PointDesign("y", "a", "id", ("u", "v", "one")))
+    assert X._ordered_columns(f, ("v", "one", "u", "x_u")) == ["x_v__q", "x_v__r", "x_u"]
+    (e,) = X.collaborative(f, ("ate",), P.Config(fluctuation="linear"), strategy="ordered", order=("u",)).select(["ate"])
+    assert e.n == 300 and 0 < e.std_err < 0.1 and abs(e.psi) < 0.2
+    with pytest.raises(StudyError):
+        X.collaborative(f, ("ey",), P.Config(), strategy="ordered", order=("nope",))
