@@ -72,3 +72,30 @@ def test_bootstrap_refits_on_sums_by_group(spark):
     psi = lambda df: {"ate": P.point_tmle(f.with_df(df), ("ate",), c)["ate"].psi}
     whole = I.run_bootstrap(f.df, psi, replicates=2, seed=5)["ate"]
     assert I.run_bootstrap(f.df, psi, replicates=2, draw=draw)["ate"] == pytest.approx(whole, abs=1e-9)
+
+
+def test_guarded_rounds_keep_one_table(spark):
+    import os
+
+    from tidemark.design import PointDesign, point_frame
+    from tidemark.operators import guarded as U
+    from tidemark.operators.learn import CellMean, LinearGram, Task
+    from tidemark.plans.catalog import saturated
+    from tidemark.sources.store import shared_dir
+
+    rows = [(i, (i * 37 % 101) / 10 + i % 2, i * 7 % 5 % 2, "uv"[i % 3 % 2], 0 if i % 7 == 0 else 1) for i in range(240)]
+    f = point_frame(spark.createDataFrame(rows, "id long, y double, a int, v string, d int"), PointDesign("y", "a", "id", ("v",), delta="d"))
+    place = shared_dir(spark).removeprefix("file:")
+    tables = lambda: {c for c in os.listdir(place) if c.startswith(("guarded-", "reduced-", "closing-"))}
+    before = tables()
+    r = U.doubly_robust(f, saturated(), rounds=2, closing=2)
+    assert len(tables() - before) == 1 and r.rows.count() == 240
+    before = tables()
+    r = U.doubly_robust(f, saturated(fluctuation="logistic"), rounds=1, closing=1, learner=CellMean())  # its reductions are tables too
+    assert len(tables() - before) <= 2 and r.rows.count() == 240 and all(e.std_err > 0 for e in r.estimates)
+    df = f.df.selectExpr("*", "cast(id % 3 as int) AS fold", "cast(id % 13 as double) AS x").where("delta = 1")
+    from pyspark.sql import functions as F
+
+    tasks = [(Task(F.col("y"), F.col("w"), F.col("a") == 1, 3), [F.col("x")]), (Task(F.col("y"), F.col("w"), None, 3), [F.col("x"), F.col("x") ** 2])]
+    for fit, (task, x) in zip(LinearGram().fit_all(df, tasks), tasks, strict=True):
+        assert fit.coefficients == pytest.approx(LinearGram().fit(df, task, x, []).coefficients, abs=1e-8)

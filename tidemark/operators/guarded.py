@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from ..design import PointFrame
 from ..errors import CapabilityError, StudyError
 from ..functions.expr import clip, expit, indicator, lit, safe_logit
-from ..sources.store import durable
+from ..sources.store import discard, durable
 from . import point as P
 from .inference import Estimate, covariance
-from .learn import FOLD, LinearGram, Task
+from .learn import FOLD, LinearGram, Task, solve
 from .target import moved, solve_fluctuation
 
 GUARDS = ("q", "g")
@@ -94,10 +94,15 @@ class _Arm:
         return self.complete / self.joint * self.residual()
 
 
+def _reductions(arms: Sequence[_Arm]) -> list[str]:
+    return [f"{c}_{x.k}" for x in arms for c in ("e", "gamma_a", "gamma_m", "r_a", "r_m")]
+
+
 def _reduce(df: DataFrame, arms: Sequence[_Arm], learner: Any, folds: int) -> DataFrame:
-    """Refit the reductions of every arm at the current mechanisms and regression."""
-    df = df.drop(*(f"{c}_{x.k}" for x in arms for c in ("e", "gamma_a", "gamma_m", "r_a", "r_m")))
+    """Refit the reductions of every arm at the current mechanisms and regression; a learner with ``fit_all`` does so in one pass."""
+    df = df.drop(*_reductions(arms))
     shape = lambda c: [c, c * c]
+    todo = []
     for x in arms:
         at = F.col("a") == x.k
         done = at & (F.col("delta") == 1)
@@ -105,45 +110,66 @@ def _reduce(df: DataFrame, arms: Sequence[_Arm], learner: Any, folds: int) -> Da
         parts = [("e", F.col("ys") - q, x.joint, done), ("gamma_a", x.here, q, None), ("r_a", (x.here - x.col("ga")) / x.col("ga"), q, None)]
         if x.missing:
             parts += [("gamma_m", F.col("delta"), q, at), ("r_m", (F.col("delta") - x.col("gm")) / x.joint, q, at)]
-        for name, target, on, where in parts:
-            fit = learner.fit(df, Task(target, F.col("w"), where, folds), shape(on), [on])
-            df = fit.predict(df, f"{name}_{x.k}", shape(on), [on])
-    return df
+        todo += [(f"{name}_{x.k}", on, Task(target, F.col("w"), where, folds)) for name, target, on, where in parts]
+    if hasattr(learner, "fit_all"):
+        fits = learner.fit_all(df, [(task, shape(on)) for _, on, task in todo])
+        return df.withColumns({out: fit.column(shape(on)) for fit, (out, on, _) in zip(fits, todo, strict=True)})
+    for out, on, task in todo:
+        df = learner.fit(df, task, shape(on), [on]).predict(df, out, shape(on), [on])
+    return durable(df, "reduced")
 
 
-def _tilt(df: DataFrame, g: Column, covariate: Column, hit: Column, weight: Column) -> float:
-    """One Newton step of the score of a mechanism's tilt."""
-    s = df.agg(F.sum(weight * covariate * (hit - g)), F.sum(weight * covariate**2 * g * (lit(1) - g))).first()
-    return float(np.clip((s[0] or 0.0) / s[1], -1, 1)) if s[1] and s[1] > 1e-12 else 0.0
+def _steps(df: DataFrame, arms: Sequence[_Arm], guard: Sequence[str], kind: str) -> tuple[float, list]:
+    """The largest mean score of any equation over its standard deviation, and what ``_move`` needs for a step of all.
 
-
-def _move(df: DataFrame, arms: Sequence[_Arm], guard: Sequence[str], kind: str) -> DataFrame:
-    """Fluctuate both mechanisms and the regression of every arm once."""
+    One pass: scores, a Newton step of every tilt, and a linear fluctuation are sums over the same rows.
+    """
     w = F.col("w")
+    sums: list[Column] = []
+
+    def ask(*columns: Column) -> slice:
+        sums.extend(columns)
+        return slice(len(sums) - len(columns), len(sums))
+
+    scored = [ask(F.avg(w * c), F.stddev_pop(w * c)) for x in arms for c in (x.main(), *x.corrections(guard).values())]
+    tilts, moves = [], []
     for x in arms:
-        new = {}
         if "q" in guard:
-            h = x.col("e") / x.col("ga")
-            eps = _tilt(df, x.col("ga"), h, x.here, w)
-            new["ga"] = clip(expit(safe_logit(x.col("ga"), 1 - 1e-9) + lit(eps) * h), x.low, 1.0)
-            if x.missing:
-                h = x.col("e") / x.joint
-                eps = _tilt(df, x.col("gm"), h, F.col("delta"), w * x.here)
-                new["gm"] = clip(expit(safe_logit(x.col("gm"), 1 - 1e-9) + lit(eps) * h), x.seen_low, 1.0)
+            parts = [("ga", x.col("e") / x.col("ga"), x.here, w, x.low)]
+            parts += [("gm", x.col("e") / x.joint, F.col("delta"), w * x.here, x.seen_low)] if x.missing else []
+            for name, h, hit, v, low in parts:
+                g = x.col(name)
+                tilts.append((f"{name}_{x.k}", g, h, low, ask(F.sum(v * h * (hit - g)), F.sum(v * h**2 * g * (lit(1) - g)))))
         at = [lit(1) / x.joint] + ([x.drift()] if "g" in guard else [])
-        comps = [P.C.Component(str(i), x.here * v, {0: v}) for i, v in enumerate(at)]
-        fl = solve_fluctuation(df.withColumn("q_obs", x.col("qs")), comps, kind=kind)
-        new["qs"] = moved(x.col("qs"), at, fl.epsilon, kind)
-        df = df.withColumns({f"new__{c}": v for c, v in new.items()}).drop(*(f"{c}_{x.k}" for c in new)).withColumnsRenamed({f"new__{c}": f"{c}_{x.k}" for c in new})
-    return df
-
-
-def _scores(df: DataFrame, arms: Sequence[_Arm], guard: Sequence[str]) -> float:
-    """The largest mean score of any equation, over its standard deviation."""
-    columns = [v for x in arms for v in (x.main(), *x.corrections(guard).values())]
-    r = df.agg(*(F.avg(F.col("w") * c) for c in columns), *(F.stddev_pop(F.col("w") * c) for c in columns)).first()
-    n = len(columns)
-    return max(abs(r[i] or 0.0) / max(r[n + i] or 0.0, 1e-12) if (r[n + i] or 0.0) > 1e-9 else 0.0 for i in range(n))
+        v = F.when(F.col("delta") == 1, w * x.here).otherwise(lit(0))
+        upper = np.triu_indices(len(at))
+        linear = ask(*(F.sum(v * at[i] * at[j]) for i, j in zip(*upper, strict=True)), *(F.sum(v * h * (F.col("ys") - x.col("qs"))) for h in at)) if kind == "linear" else None
+        moves.append((x, at, linear))
+    r = list(df.agg(*sums).first())
+    worst = max(abs(m or 0.0) / max(sd or 0.0, 1e-12) if (sd or 0.0) > 1e-9 else 0.0 for m, sd in (r[s] for s in scored))
+    new = {}
+    for name, g, h, low, s in tilts:
+        top, under = r[s]
+        eps = float(np.clip((top or 0.0) / under, -1, 1)) if under and under > 1e-12 else 0.0
+        new[name] = clip(expit(safe_logit(g, 1 - 1e-9) + lit(eps) * h), low, 1.0)
+    return worst, [new, moves, r]
+
+
+def _move(df: DataFrame, arms: Sequence[_Arm], kind: str, step: list) -> DataFrame:
+    """Fluctuate both mechanisms and the regression of every arm once, by what ``_steps`` found."""
+    new, moves, r = step
+    for x, at, linear in moves:
+        if linear is None:
+            comps = [P.C.Component(str(i), x.here * v, {0: v}) for i, v in enumerate(at)]
+            eps = solve_fluctuation(df.withColumn("q_obs", x.col("qs")), comps, kind=kind).epsilon
+        else:
+            d = len(at)
+            flat = np.array([v or 0.0 for v in r[linear]])
+            m = np.zeros((d, d))
+            m[np.triu_indices(d)] = flat[:-d]
+            eps = solve(m + np.triu(m, 1).T, flat[-d:])[None, :]
+        new[f"qs_{x.k}"] = moved(x.col("qs"), at, eps, kind)
+    return df.select(*(new[c].alias(c) if c in new else F.col(c) for c in df.columns))
 
 
 def doubly_robust(f: PointFrame, config: P.Config = P.Config(), *, guard: Sequence[str] = GUARDS, rounds: int = 15, tol: float = 1e-6, learner: Any = None, closing: int = 20) -> GuardedResult:
@@ -166,18 +192,32 @@ def doubly_robust(f: PointFrame, config: P.Config = P.Config(), *, guard: Sequen
     raw = [F.abs(F.col(f"g_{x.k}") - s.g(x.k)) > 1e-15 for x in arms]
     truncated = df.agg(F.avg(indicator(F.greatest(*(indicator(c) for c in raw)) > 0))).first()[0]
     df = df.select("id", "cluster", "w", "a", "ys", "delta", *([FOLD] if n.folds else []), *(s.g(x.k).alias(f"ga_{x.k}") for x in arms), *(s.pi(x.k).alias(f"gm_{x.k}") for x in arms), *(F.col(f"q_{x.k}").alias(f"qs_{x.k}") for x in arms))
-    done = 0
+    kept = durable(df, "guarded")
+    n.df.unpersist()  # the table has what is needed
+
+    def advanced(df: DataFrame, step: list, *gone: str) -> DataFrame:
+        """The written table after a step; the one before is deleted, so that two exist at most."""
+        nonlocal kept
+        before, reduced = kept, getattr(df, "_written_to", None)
+        kept = durable(_move(df, arms, config.fluctuation, step).drop(*gone), "guarded")
+        for old in [before] + ([df] if reduced and df is not before else []):
+            discard(old)
+        return kept
+
+    df, done = kept, 0
     for done in range(1, rounds + 1):
-        df = durable(_reduce(df, arms, learner, n.folds), "reduced")
-        if _scores(df, arms, guard) <= tol:
+        df = _reduce(df, arms, learner, n.folds)
+        score, step = _steps(df, arms, guard, config.fluctuation)
+        if score <= tol:
             break
-        df = durable(_move(df, arms, guard, config.fluctuation), "guarded")
+        df = advanced(df, step, *_reductions(arms))
     else:
-        df = durable(_reduce(df, arms, learner, n.folds), "reduced")
+        df = _reduce(df, arms, learner, n.folds)
     for _ in range(closing):
-        if _scores(df, arms, guard) <= 1e-8:
+        score, step = _steps(df, arms, guard, config.fluctuation)
+        if score <= 1e-8:
             break
-        df = durable(_move(df, arms, guard, config.fluctuation), "closing")
+        df = advanced(df, step)
     names, ref = [str(v) for v in f.levels], config.reference
     sums = df.agg(F.sum("w"), *(F.sum(F.col("w") * x.col("qs")) for x in arms)).first()
     psi = [v / sums[0] for v in sums[1:]]
