@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import written
+from tidemark.llm._common import settle, written
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mark_of, mix_sources
 from tidemark.llm.packing import pack_documents
@@ -21,13 +21,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    ship(spark)
+    settle(ship(spark))
     return classify(docs, carry=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; it learns from the labels of what is left."""
-    ship(spark)
+    settle(ship(spark))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs, labels, carry=tuple(COLUMNS[1:])).where("predicted = 0").select(*COLUMNS)
 
@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row is known by its id and a hash of all columns, so null and repeated ids are rows like others; rows
     that agree in every column are one document.
     """
-    ship(spark)
+    settle(ship(spark))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*COLUMNS).alias("mark"))
     keyed = docs.select(*COLUMNS, row.alias("row"))
     kept = near_duplicates(keyed, "row").where("kept").select(F.col("doc_id").alias("row"))
@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that agree in id, text and source share evenly what the mix takes of them together.
     """
-    ship(spark)
+    settle(ship(spark))
     times = mix_sources(docs).groupBy(F.struct("doc_id", "mark").alias("row")).agg(F.count("*").alias("rows"), F.sum(F.col("epochs") + F.col("picked")).alias("times")).where("times > 0")
     keyed = docs.select(*COLUMNS, F.struct("doc_id", mark_of("doc_id", "text", "source").alias("mark")).alias("row")).join(times, "row")
     nth = F.row_number().over(W.partitionBy("row").orderBy("lang", "n_chars"))
@@ -60,7 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    ship(spark)
+    settle(ship(spark))
     return pack_documents(docs, keep_ids=False)
 
 

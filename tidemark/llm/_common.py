@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The largest table, in rows, that an operator may hand to every executor.
@@ -50,6 +54,19 @@ def discard(*frames: DataFrame) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Give back what ended plans still hold on the driver, before the next ones add to it.
+
+    Plans that Python no longer refers to are collected in both processes, and with them Spark deletes their shuffle
+    files and broadcasts; the JVM shrinks its heap, Arrow and the C library return free pages of the Python process.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet, whatever the case."""
     taken = {c.lower() for c in df.columns}

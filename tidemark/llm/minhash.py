@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import BROADCAST_ROWS, discard, pick, written
+from ._common import BROADCAST_ROWS, discard, pick, settle, written
 
 SHINGLE, PERCENT = 5, 75
 #: Members of a bucket, or partners of a class, that one task handles together.
@@ -216,6 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     signs = written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least", "n", "sign"), "candidates")
     sets = _candidate_sets(docs, signs)
+    settle(docs.sparkSession)
 
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
@@ -226,6 +227,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = written(_confirmed(best, sets), "spokes")
     roots = components(edges)
     discard(spokes)
+    settle(docs.sparkSession)
     rooted = signs.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted")
     second = _beside(opened.join(best, ["a", "b"], "left_anti"), rooted, "root").where("a_root <> b_root")
@@ -236,6 +238,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         discard(roots)
         roots = components(edges)
     discard(opened, best, rooted, second)
+    settle(docs.sparkSession)
 
     # What a bucket still holds apart: members outside its largest component, against members of other components.
     placed = members.select("band", "place", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -249,6 +252,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     longer = written(longer, "longer")
     held = written(held.join(classes.select("node", "n", "sign", "bands").join(longer, "node"), "node"), "held")
     discard(placed, apart, longer)
+    settle(docs.sparkSession)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     p = held.withColumn("own", deal("node", blocks("crowd"))).withColumn("other", every(blocks("minors"))).alias("p")
     q = held.where("root <> major").withColumn("other", deal("node", blocks("minors"))).withColumn("own", every(blocks("crowd"))).alias("q")
@@ -262,6 +266,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(held)
     more = written(_confirmed(rest, sets), "links")
     discard(rest, sets, signs)
+    settle(docs.sparkSession)
     if not more.isEmpty():
         discard(roots)
         roots = components(edges.unionByName(more))
